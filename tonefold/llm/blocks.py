@@ -15,79 +15,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow, sections, spread
+from .common import Scratch, arrow, sections, spread, tune
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows token, ent in this order: those of tokens with two items or more, each with its token's first item."""
-    tail_t, tail_e = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Rows token, ent, need in this order: those of tokens with two items or more, each with its token's first item."""
+    tail = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
 
-    def out(t: np.ndarray, e: np.ndarray) -> dict | None:
-        if not len(t):
-            return None
+    def unique(t: np.ndarray, e: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
-        t, e = t[new], e[new]
+        return [t[new], e[new], n[new]]
+
+    def out(cols: list[np.ndarray]) -> dict | None:
+        t, e, n = unique(*cols)
+        if not len(t):
+            return None
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         sizes = np.diff(np.append(starts, len(t)))
-        first = np.repeat(e[starts], sizes)
         keep = np.repeat(sizes > 1, sizes)
-        return {"token": t[keep], "ent": e[keep], "first": first[keep]} if keep.any() else None
+        return {"token": t[keep], "ent": e[keep], "need": n[keep], "first": np.repeat(e[starts], sizes)[keep]} if keep.any() else None
 
     for batch in batches:
-        t = np.concatenate([tail_t, batch.column(0).to_numpy()])
-        e = np.concatenate([tail_e, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(t, t[-1])) if len(t) else 0  # rows of the last token may go on
-        if (got := out(t[:cut], e[:cut])) is not None:
+        cols = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(tail)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # rows of the last token may go on
+        if (got := out([x[:cut] for x in cols])) is not None:
             yield got
-        tail_t, tail_e = t[cut:], e[cut:]
-        if len(tail_t) > 1:  # of the open token, repeats of an item go at once
-            new = np.ones(len(tail_t), bool)
-            new[1:] = tail_e[1:] != tail_e[:-1]
-            tail_t, tail_e = tail_t[new], tail_e[new]
-            if len(tail_t) > 65536:  # a token that very many items have: only its first item is held on to
-                yield {"token": tail_t, "ent": tail_e, "first": np.full(len(tail_t), tail_e[0])}
-                tail_t, tail_e = tail_t[:1], tail_e[:1]
-    if (got := out(tail_t, tail_e)) is not None:
+        tail = unique(*(x[cut:] for x in cols))
+        if len(tail[0]) > 65536:  # a token that very many items have: only its first item is held on to
+            yield {"token": tail[0], "ent": tail[1], "need": tail[2], "first": np.full(len(tail[0]), tail[1][0])}
+            tail = [x[:1] for x in tail]
+    if (got := out(tail)) is not None:
         yield got
 
 
 def met(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """postings: token, ent. Of tokens that two items or more have: token, ent, first (the least item)."""
-    types = pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("first", pa.int64())])
-    rows = spread(postings.select("token", "ent"), "token").sortWithinPartitions("token", "ent")
+    """postings: token, ent, need. Of tokens that two items or more have: token, ent, need, first (the least item).
+
+    need: so many tokens an item shares with any item that it may link with.
+    """
+    types = pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32()), ("first", pa.int64())])
+    rows = spread(postings.select("token", "ent", "need"), "token").sortWithinPartitions("token", "ent")
     spark = postings.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    out = scratch.table(arrow(rows, _met, "token long, ent long, first long", types), "met")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    out = scratch.table(arrow(rows, _met, "token long, ent long, need int, first long", types), "met")
+    tune(spark)
     return out
 
 
-def grouped(shared: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """shared: met(). Returns ent, key, blk: the group of each item and its block in it."""
-    keys = scratch.table(shared.groupBy("ent").agg(F.min("first").alias("key")), "keys")
-    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    return scratch.table(keys.join(sizes, "key").select("ent", "key", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int").alias("blk"), "blocks"), "groups")
+def grouped(shared: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame, DataFrame]:
+    """shared: met(). Returns groups (ent, key, blk, blocks: the group of each item and its block in it) and
+    asks (ent, key: the groups that hold enough of an item's tokens), only of items that may link with any."""
+    keys = scratch.table(shared.groupBy("ent").agg(F.min("first").alias("own_key")), "keys")
+    at = scratch.table(shared.select("token", "ent", "need").join(keys, "ent"), "at")
+    held = at.groupBy("token", F.col("own_key").alias("key")).agg(F.count("*").alias("m"))
+    both = at.join(held, "token").where("key <> own_key or m > 1")
+    asks = both.groupBy("ent", "own_key", "key").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need")
+    asks = scratch.table(asks.select("ent", "own_key", "key"), "asks")
+    some = asks.select("ent", F.col("own_key").alias("key")).distinct()
+    sizes = some.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    groups = some.join(sizes, "key").select("ent", "key", F.pmod(F.xxhash64("ent"), F.col("blocks")).cast("int").alias("blk"), "blocks")
+    return scratch.table(groups, "groups"), asks.where("key <= own_key").select("ent", "key")
 
 
-def opened(shared: DataFrame, groups: DataFrame, payload: DataFrame, scratch: Scratch, block: int, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
+def opened(asks: DataFrame, groups: DataFrame, payload: DataFrame, scratch: Scratch, block: int, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
     """Calls fn with the rows of each pair of blocks that has to be opened.
 
     payload: ent and what fn needs. fn gets rows key, blk, part, query, ent, *payload, sorted by these:
-    the block's members (query 0) and items of later blocks that share a key with its group (query 1).
-    In part 0 the members are to be compared with each other too. Any two items that share a token
-    meet once.
+    the block's members (query 0) and items of later blocks that ask for its group (query 1).
+    In part 0 the members are to be compared with each other too. Any two items that may link meet once.
     """
     own = groups.select(F.col("ent"), F.col("key").alias("own_key"), F.col("blk").alias("own_blk"))
-    at = shared.select("token", "ent").join(groups.select("ent", "key", "blocks"), "ent")
-    seen = at.select("token", "key", "blocks").distinct()
-    asks = shared.select("token", "ent").join(seen, "token").select("ent", "key", "blocks").distinct()
-    asks = asks.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "ent")
-    asks = scratch.table(asks.where("key < own_key or (key = own_key and blk < own_blk)").select("ent", "key", "blk"), "asks")
-    parts = asks.groupBy("key", "blk").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    sizes = groups.select("key", "blocks").distinct()
+    wide = asks.join(sizes, "key").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "ent")
+    wide = scratch.table(wide.where("key < own_key or (key = own_key and blk < own_blk)").select("ent", "key", "blk"), "wide")
+    parts = wide.groupBy("key", "blk").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
     inside = groups.select("ent", "key", "blk").join(parts, ["key", "blk"], "left")
     inside = inside.select("key", "blk", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("query"), "ent")
-    outside = asks.join(parts, ["key", "blk"]).select("key", "blk", F.pmod(F.xxhash64("ent"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"), "ent")
+    outside = wide.join(parts, ["key", "blk"]).select("key", "blk", F.pmod(F.xxhash64("ent"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"), "ent")
     rest = [c for c in payload.columns if c != "ent"]
     rows = inside.unionByName(outside).join(payload, "ent").select("key", "blk", "part", "query", "ent", *rest)
     rows = spread(rows, "key", "blk", "part").sortWithinPartitions("key", "blk", "part", "query", "ent")

@@ -26,8 +26,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     """
     rule = Rule(words, percent, False, block)
     scratch = Scratch(docs.sparkSession, "ngram")
-    items, firsts, shared, groups, sets = joined_sets(docs, rule, scratch)
-    roots = connected(similar_edges(shared, groups, sets, rule, scratch), scratch)
+    items, firsts, asks, groups, sets = joined_sets(docs, rule, scratch)
+    roots = connected(similar_edges(asks, groups, sets, rule, scratch), scratch)
     by_sig = firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = by_sig.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(by_sig.join(least, "root").select("sig", "component_id"), "named")
@@ -36,10 +36,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 128) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of repeated rows of that doc_id, all but one go
-    if they have words. Documents without words stay."""
+    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id and documents without words stay.
+    Rows that repeat a doc_id stay or go together."""
     scratch = Scratch(docs.sparkSession, "ngram-keep")
     found = components(docs, words, percent, block)
     gone = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    return kept
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -3,7 +3,7 @@
 1. One pass hashes the shingles of every item, writes a row with the hash of its set (equal sets are one
    class from here on) and counts shingles in a sketch of fixed size, from which rarity is read.
 2. A second pass orders each set by rarity and emits its prefix: as two sets with Jaccard >= t share
-   an element of their first n - ceil(t n) + 1, only sets that share a prefix element can link.
+   SHARED elements of their first n - ceil(t n) + SHARED, only sets that share so many can link.
 3. blocks.py gathers such sets into groups and opens blocks against blocks; there the length,
    positional and union bounds are applied and overlaps counted exactly.
 
@@ -27,6 +27,8 @@ from .common import Scratch, WordIds, arrow, mixed, spread, texts_of
 #: Counters of the rarity sketch: 2 ** SKETCH_BITS, whatever the size of the corpus; one byte each when sent out.
 SKETCH_BITS = 22
 CHUNK = 1 << 16
+#: By so many elements prefixes have to meet (small sets: by as many as any link of theirs shares).
+SHARED = 4
 
 
 @dataclass(frozen=True)
@@ -150,7 +152,7 @@ def candidates(docs: DataFrame, rule: Rule, rarity: DataFrame, scratch: Scratch)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sh, seen, order = Shingler(rule), set(), sent.value
         for batch in batches:
-            tokens, ents = [], []
+            tokens, ents, needs = [], [], []
             for x in sh.items(texts_of(batch))[0]:
                 if not len(x):
                     continue
@@ -161,13 +163,15 @@ def candidates(docs: DataFrame, rule: Rule, rarity: DataFrame, scratch: Scratch)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sig)
-                p = len(x) - ceil_share(len(x), rule) + 1
+                need = min(SHARED, ceil_share(len(x), rule))
+                p = len(x) - ceil_share(len(x), rule) + need
                 tokens.append(ordered(x, order)[:p])
                 ents.append(np.full(p, sig, np.int64))
+                needs.append(np.full(p, need, np.int32))
             if tokens:
-                yield {"token": np.concatenate(tokens).view(np.int64), "ent": np.concatenate(ents)}
+                yield {"token": np.concatenate(tokens).view(np.int64), "ent": np.concatenate(ents), "need": np.concatenate(needs)}
 
-    return arrow(docs.select("text"), run, "token long, ent long", pa.schema([("token", pa.int64()), ("ent", pa.int64())]))
+    return arrow(docs.select("text"), run, "token long, ent long, need int", pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32())]))
 
 
 def payloads(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, rule: Rule, rarity: np.ndarray, scratch: Scratch) -> DataFrame:
@@ -192,7 +196,7 @@ def payloads(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, rule: Rule,
 
     rows = docs.select("doc_id", "text").join(at, docs["doc_id"].eqNullSafe(at["doc_id"])).select(docs["doc_id"], "text", "want")
     types = pa.schema([("ent", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("toks", pa.binary())])
-    return scratch.table(arrow(rows, run, "ent long, doc_id long, item int, toks binary", types), "sets")
+    return arrow(rows, run, "ent long, doc_id long, item int, toks binary", types)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -305,15 +309,15 @@ def block_links(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarr
 
 
 def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """items, firsts, met tokens, groups, payloads."""
+    """items, firsts, asks, groups, payloads."""
     items, rarity = survey(docs, rule, scratch)
     firsts = scratch.table(items.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "item")).alias("f")).select("sig", "f.doc_id", "f.item"), "firsts")
     shared = met(candidates(docs, rule, rarity, scratch), scratch)
-    groups = grouped(shared, scratch, rule.block)
-    return items, firsts, shared, groups, payloads(docs, firsts, groups, rule, rarity, scratch)
+    groups, asks = grouped(shared, scratch, rule.block)
+    return items, firsts, asks, groups, payloads(docs, firsts, groups, rule, rarity, scratch)
 
 
-def similar_edges(shared: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def similar_edges(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """u, v: links between different sets, of each pair of blocks a spanning forest."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -324,10 +328,10 @@ def similar_edges(shared: DataFrame, groups: DataFrame, sets: DataFrame, rule: R
                 e = spanning(i, j, len(ent))
                 yield {"u": ent[i[e]], "v": ent[j[e]]}
 
-    return scratch.table(opened(shared, groups, sets.select("ent", "toks"), scratch, rule.block, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])), "links")
+    return scratch.table(opened(asks, groups, sets.select("ent", "toks"), scratch, rule.block, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])), "links")
 
 
-def later_sets(shared: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def later_sets(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """sig: sets that link with a set which first occurs earlier, by (doc_id, item)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -338,4 +342,4 @@ def later_sets(shared: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule
                 late = {int(a if at[keep[a]] > at[keep[b]] else b) for a, b in zip(i, j, strict=True)}
                 yield {"sig": batch.column(4).to_numpy()[keep][sorted(late)]}
 
-    return scratch.table(opened(shared, groups, sets.select("ent", "doc_id", "item", "toks"), scratch, rule.block, run, "sig long", pa.schema([("sig", pa.int64())])).distinct(), "later")
+    return scratch.table(opened(asks, groups, sets.select("ent", "doc_id", "item", "toks"), scratch, rule.block, run, "sig long", pa.schema([("sig", pa.int64())])).distinct(), "later")

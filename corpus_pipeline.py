@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonefold.llm import ngram
+import public_tokenizers
+
+from tonefold.llm import bpe, decon, lines, ngram, quality
 from tonefold.llm.common import Scratch
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-labelling field rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that come again go, and with them documents of which no line with words is left."""
+    return lines.strip(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, Jaccard of 0.8 or more)."""
     return ngram.keep_first(docs)
 
 
-STAGES = [("ngram_join", near_copies)]
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which ten words of a benchmark item stand in a row go."""
+    return decon.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_classifier", good_documents), ("line_dedup", distinct_lines), ("ngram_join", near_copies), ("decontamination", clean_of_benchmarks), ("bpe", tokens)]
 
 #: Not expressible in SQL (a trained classifier, a tokenizer); tests hold each stage against brute force.
 ORACLE_SQL = None

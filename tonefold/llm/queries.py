@@ -6,26 +6,86 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram
+from . import bpe, decon, embed, lines, ngram, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near(_read(spark, sf_dir, "embeddings"))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.components(_read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decon.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zip": op1_warc_zip,
     "op2_bpe_automaton": op2_bpe_automaton,
+    "op3_embedding_itq": op3_embedding_itq,
+    "op4_quality_crf": op4_quality_crf,
+    "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+_BASE32 = """list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+        (((instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS INT), 1)) - 1) * 16
+          + instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS INT), 1)) - 1) >> CAST(3 - 5 * i % 4 AS INT)) % 32 + 1 AS INT), 1)), 'string_agg', '')"""
+
+ORACLE: dict[str, str] = {
+    "op1_warc_zip": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
+             d AS (SELECT *, sha1(html) AS h FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM d""",
+    "op3_embedding_itq": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+        top AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN top ON u = vec_id""",
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+        n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+        t AS (SELECT doc_id, unnest(s) AS t FROM s),
+        inter AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT u, v FROM inter JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 90 * (x.n_shingles + y.n_shingles - k)),
+        reach AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+        SELECT n.doc_id, n_shingles, min(v) AS component_id FROM n JOIN reach ON u = n.doc_id GROUP BY ALL""",
+}

@@ -196,6 +196,10 @@ class Encoder:
             return self._plain(text)
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(text)))
 
+    def ordinary(self, text: str) -> bytes:
+        """As encode(), but special tokens in the text are ordinary text."""
+        return self._plain(text)
+
     def decode(self, packed: bytes) -> bytes:
         """The labels of the ids, as UTF-8; bytes that are no character become U+FFFD."""
         out = b"".join(map(self.label.__getitem__, np.frombuffer(packed, "<u4").tolist()))

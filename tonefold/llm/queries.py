@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decon, embed, lines, ngram, pii, quality, tokens, warc
+from . import bpe, decon, embed, lines, ngram, pii, quality, substring, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.components(_read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op7_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(_read(spark, sf_dir, "documents"))
+
+
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_crf": op4_quality_crf,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_substring_chaining": op7_substring_chaining,
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,

@@ -1,4 +1,342 @@
-"""The engine's queries and their DuckDB counterparts."""
+"""The engine's queries over the fixture tables; oracle.py has the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+
+from tonefold import lexicon as L
+from tonefold import oracle, views
+from tonefold.functions import lexical as X
+from tonefold.functions import text as T
+from tonefold.operators import backtest as B
+from tonefold.operators import diarize as D
+from tonefold.operators import returns as R
+from tonefold.operators import signals as S
+from tonefold.operators import stats as St
+from tonefold.plans import service
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places (without -0.0), whole numbers as long: what two engines can be held to."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (Ty.DoubleType, Ty.FloatType)):
+            c = F.round(c.cast("double"), 6) + 0.0
+        elif isinstance(f.dataType, (Ty.IntegerType, Ty.ShortType)):
+            c = c.cast("long")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+    return fn
+
+
+raw = views.raw_transcripts
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.sentences(D.blocks(D.annotated(raw(spark, sf_dir))))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scored(_sentences(spark, sf_dir))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.transcript_signals(_scored(spark, sf_dir))
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.returns_index(views.calls(spark, sf_dir), views.bars(spark, sf_dir))
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.merged(views.stand_in_signals(spark, sf_dir), _returns(spark, sf_dir))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.configurations(_trades(spark, sf_dir))
+    return B.positions(rows, B.thresholds(rows))
+
+
+@query
+def lexicon_scores(spark, sf_dir):  # noqa: ANN001, ANN201
+    counts = X.category_counts(F.col("text"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", counts["n_tokens"].alias("n_tokens"), *[c.alias(k) for k, c in X.scores(counts).items()])
+
+
+@query
+def lexicon_by_lang(spark, sf_dir):  # noqa: ANN001, ANN201
+    counts = X.category_counts(F.col("text"))
+    s = X.scores(counts)
+    rows = views.table(spark, sf_dir, "documents").select("lang", counts["n_tokens"].alias("k"), s["lex_hedge_density"].alias("h"), s["sentiment_net"].alias("s"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n_tokens"), F.avg("h").alias("hedge"), F.avg("s").alias("net"))
+
+
+@query
+def hedge_phrases(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _sentences(spark, sf_dir).select("ticker", "date", "sentence_id", F.array_join(X.hedge_phrases(F.col("text")), "|").alias("phrases"))
+
+
+@query
+def hedge_span_density(spark, sf_dir):  # noqa: ANN001, ANN201
+    per = _sentences(spark, sf_dir).groupBy("ticker", "date").agg(F.sum(X.hedge_span_count(F.col("text"))).alias("spans"), F.sum("word_count").alias("n_words"))
+    return per.withColumn("span_hedge_density", F.try_divide(F.col("spans").cast("double"), F.col("n_words")))
+
+
+@query
+def clean_text(spark, sf_dir):  # noqa: ANN001, ANN201
+    c = T.clean_text(F.col("raw_text"))
+    return raw(spark, sf_dir).select("ticker", "date", c.alias("text"), (F.length("raw_text") - F.length(c)).alias("n_dropped"))
+
+
+@query
+def boilerplate_filter(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.lines(raw(spark, sf_dir)).groupBy("ticker", "date").agg(F.count("*").alias("n_lines"), F.count_if("boilerplate").alias("n_boilerplate"))
+
+
+@query
+def html_strip(spark, sf_dir):  # noqa: ANN001, ANN201
+    return views.table(spark, sf_dir, "pages").select("page_id", T.html_strip(F.col("html")).alias("text"))
+
+
+@query
+def date_normalize(spark, sf_dir):  # noqa: ANN001, ANN201
+    k, d = F.col("o_orderkey") % 7, F.col("o_orderdate")
+    text = F.lit("soon")
+    for i, f in enumerate(("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd")):
+        text = F.when(k == i, F.date_format(d, f)).otherwise(text)
+    text = F.when(k == 5, F.concat(F.lit("on "), F.date_format(d, "yyyy.MM.dd"))).otherwise(text)
+    date = T.normalize_date(F.col("raw"))
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("raw")).select("o_orderkey", date.alias("date"), T.is_valid_date(date, "2025-01-01").alias("valid"))
+
+
+@query
+def line_explode(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.lines(raw(spark, sf_dir))
+
+
+@query
+def section_markers(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.annotated(raw(spark, sf_dir)).where("marker is not null").select("ticker", "date", "line_no", "marker")
+
+
+@query
+def section_state(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.annotated(raw(spark, sf_dir)).select("ticker", "date", "line_no", "section_after", "section_flush", "block")
+
+
+@query
+def speaker_headers(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.annotated(raw(spark, sf_dir)).where("is_header").select("ticker", "date", "line_no", "speaker_name", "hint", "speaker_role")
+
+
+@query
+def speaker_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.blocks(D.annotated(raw(spark, sf_dir))).select("ticker", "date", "block", "speaker_name", "speaker_role", "section", "text")
+
+
+@query
+def sentences(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _sentences(spark, sf_dir)
+
+
+@query
+def sentence_filter(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _sentences(spark, sf_dir).groupBy("ticker", "date").agg(F.count("*").alias("n_sentences"), F.count_if(F.col("word_count") > 3).alias("n_api"))
+
+
+@query
+def role_section_hist(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.role_section_counts(_sentences(spark, sf_dir))
+
+
+@query
+def preprocess_stats(spark, sf_dir):  # noqa: ANN001, ANN201
+    return D.preprocessing_stats(raw(spark, sf_dir), _sentences(spark, sf_dir))
+
+
+@query
+def collection_stats(spark, sf_dir):  # noqa: ANN001, ANN201
+    s = St.collection_stats(raw(spark, sf_dir), "2025-01-01")
+    pairs = F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return s.withColumn("sources", F.array_join(F.array_sort(pairs), ",")).withColumn("tickers", F.array_join("tickers", ","))
+
+
+@query
+def dedup_keep_first(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.keep_first(raw(spark, sf_dir).select("ticker", "source", "dataset_row_id"), ("dataset_row_id",), ("ticker", "source"))
+
+
+@query
+def anti_existing(spark, sf_dir):  # noqa: ANN001, ANN201
+    r = raw(spark, sf_dir)
+    stored = r.where("dataset_row_id % 4 = 0").select("ticker", "date", F.length("raw_text").alias("size"))
+    return St.not_yet_stored(r, stored).select("ticker", "date", "dataset_row_id")
+
+
+@query
+def weak_labels(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _scored(spark, sf_dir).where("word_count >= 5").select("ticker", "date", "sentence_id", "label", "score")
+
+
+@query
+def class_cap(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.class_cap(_scored(spark, sf_dir).where("word_count >= 5").select("ticker", "date", "sentence_id", "label"), 150, ("ticker", "date", "sentence_id"))
+
+
+@query
+def stratified_split(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = views.table(spark, sf_dir, "labels").withColumnRenamed("quality", "label")
+    return St.stratified_split(rows, F.col("doc_id")).select("doc_id", "label", "part")
+
+
+@query
+def macro_f1(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.macro_f1(views.table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("predicted")))
+
+
+@query
+def daily_bars(spark, sf_dir):  # noqa: ANN001, ANN201
+    return views.bars(spark, sf_dir)
+
+
+@query
+def asof_entry(spark, sf_dir):  # noqa: ANN001, ANN201
+    return R.entries(views.calls(spark, sf_dir), views.bars(spark, sf_dir)).select("ticker", "call_date", "entry_date", "entry_price")
+
+
+@query
+def forward_returns(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _returns(spark, sf_dir)
+
+
+@query
+def returns_null_share(spark, sf_dir):  # noqa: ANN001, ANN201
+    return R.null_shares(_returns(spark, sf_dir))
+
+
+@query
+def price_window(spark, sf_dir):  # noqa: ANN001, ANN201
+    return R.price_window(views.calls(spark, sf_dir))
+
+
+@query
+def transcript_signals(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _signals(spark, sf_dir).drop("has_qa", "certainty", "specificity")
+
+
+@query
+def confidence_score(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _signals(spark, sf_dir).select("ticker", "call_date", "certainty", "specificity", "has_qa", "confidence_score")
+
+
+@query
+def alpha_composite(spark, sf_dir):  # noqa: ANN001, ANN201
+    return S.alpha(_signals(spark, sf_dir)).select("ticker", "call_date", "alpha_signal")
+
+
+@query
+def qoq_delta(spark, sf_dir):  # noqa: ANN001, ANN201
+    return S.qoq_delta(_signals(spark, sf_dir)).select("ticker", "call_date", "confidence_delta")
+
+
+@query
+def zscore_expanding(spark, sf_dir):  # noqa: ANN001, ANN201
+    return S.zscore_history(views.stand_in_signals(spark, sf_dir)).select("ticker", "call_date", "confidence_z")
+
+
+@query
+def signal_returns_join(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _trades(spark, sf_dir).select("ticker", "call_date", "trade_date", "confidence_score", *B.RETURNS)
+
+
+@query
+def quantile_positions(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _positions(spark, sf_dir).select("config", "ticker", "call_date", "position", "trade_return")
+
+
+@query
+def backtest_single(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.single(_trades(spark, sf_dir))
+
+
+@query
+def backtest_grid(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.grid(_trades(spark, sf_dir))
+
+
+@query
+def backtest_best(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.best(B.grid(_trades(spark, sf_dir)))
+
+
+@query
+def equity_curve(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.equity_curve(_positions(spark, sf_dir))
+
+
+@query
+def max_drawdown(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.max_drawdown(_positions(spark, sf_dir))
+
+
+@query
+def pearson(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.pearson(_trades(spark, sf_dir))
+
+
+@query
+def pearson_p_values(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.p_values(B.pearson(_trades(spark, sf_dir)))
+
+
+@query
+def ic_by_quarter(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.ic_by_quarter(_trades(spark, sf_dir))
+
+
+@query
+def quintile_returns(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.quintile_returns(_trades(spark, sf_dir))
+
+
+@query
+def sharpe_rollup(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = _positions(spark, sf_dir).where("actual_signal_used = 'confidence_score' and holding_period = 'ret_5d'")
+    users = views.table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("sector")).distinct()
+    return B.sharpe_rollup(rows, users)
+
+
+@query
+def oos_split(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.out_of_sample(_trades(spark, sf_dir), "20240115")
+
+
+@query
+def ablation(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.ablation(_trades(spark, sf_dir), {"model_only": F.col("qa_sentiment"), "lexicon_only": F.col("hedge_density"), "composite": 0.5 * F.col("confidence_score") + 0.5 * F.col("qa_sentiment")})
+
+
+@query
+def ticker_lookup(spark, sf_dir):  # noqa: ANN001, ANN201
+    return service.signals_of(_signals(spark, sf_dir).drop("has_qa", "certainty", "specificity"), "tk5")
+
+
+@query
+def latency_percentiles(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.latency_percentiles(views.table(spark, sf_dir, "events"), "value", "event_type")
+
+
+ORACLE: dict[str, str] = dict(oracle.SQL)
+assert set(ORACLE) <= set(QUERIES) and L.FINANCE

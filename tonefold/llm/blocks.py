@@ -78,13 +78,10 @@ def grouped(shared: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame,
     return scratch.table(groups, "groups"), asks.where("key <= own_key").select("ent", "key")
 
 
-def opened(asks: DataFrame, groups: DataFrame, payload: DataFrame, scratch: Scratch, block: int, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
-    """Calls fn with the rows of each pair of blocks that has to be opened.
-
-    payload: ent and what fn needs. fn gets rows key, blk, part, query, ent, *payload, sorted by these:
-    the block's members (query 0) and items of later blocks that ask for its group (query 1).
-    In part 0 the members are to be compared with each other too. Any two items that may link meet once.
-    """
+def placed(asks: DataFrame, groups: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """key, blk, part, query, ent: which items have to come together. Each block's members have query 0, items of later
+    blocks that ask for its group query 1; these are dealt over parts, and members go to each part. Any two items that may link meet once,
+    if in part 0 the members are compared with each other, too."""
     own = groups.select(F.col("ent"), F.col("key").alias("own_key"), F.col("blk").alias("own_blk"))
     sizes = groups.select("key", "blocks").distinct()
     wide = asks.join(sizes, "key").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "ent")
@@ -93,9 +90,13 @@ def opened(asks: DataFrame, groups: DataFrame, payload: DataFrame, scratch: Scra
     inside = groups.select("ent", "key", "blk").join(parts, ["key", "blk"], "left")
     inside = inside.select("key", "blk", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("query"), "ent")
     outside = wide.join(parts, ["key", "blk"]).select("key", "blk", F.pmod(F.xxhash64("ent"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("query"), "ent")
-    rest = [c for c in payload.columns if c != "ent"]
-    rows = inside.unionByName(outside).join(payload, "ent").select("key", "blk", "part", "query", "ent", *rest)
-    rows = spread(rows, "key", "blk", "part").sortWithinPartitions("key", "blk", "part", "query", "ent")
+    return scratch.table(inside.unionByName(outside), "placed")
+
+
+def opened(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
+    """Calls fn with the rows of each key, blk, part, sorted by query and ent. rows: placed() and what else fn needs, in this order."""
+    rest = [c for c in rows.columns if c not in ("key", "blk", "part", "query", "ent")]
+    rows = spread(rows.select("key", "blk", "part", "query", "ent", *rest), "key", "blk", "part").sortWithinPartitions("key", "blk", "part", "query", "ent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         return fn(sections(batches, 3))

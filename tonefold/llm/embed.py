@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import grouped, met, opened
+from .blocks import grouped, met, opened, placed
 from .common import Scratch, arrow, mixed
 from .components import components as connected
 from .setjoin import spanning
@@ -145,9 +145,9 @@ def near(vectors: DataFrame, least: float = 0.98, block: int = 128) -> DataFrame
             k = np.flatnonzero(n)
             yield {"u": np.concatenate([ent[i[e]], ent[k]]), "v": pa.array([*ent[j[e]].tolist(), *[None] * len(k)], pa.int64()), "n": np.concatenate([np.zeros(len(e), np.int64), n[k].astype(np.int64)])}
 
-    payload = distinct.select("ent", "unit", "size", "label")
+    rows_at = placed(asks, groups, scratch, block).join(distinct.select("ent", "unit", "size", "label"), "ent")
     types = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
-    found = scratch.table(opened(asks, groups, payload, scratch, block, rerank, "u long, v long, n long", types), "found")
+    found = scratch.table(opened(rows_at, rerank, "u long, v long, n long", types), "found")
     links = found.where("v is null").groupBy(F.col("u").alias("ent")).agg(F.sum("n").alias("others"))
     roots = connected(found.where("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "ent")
     known = distinct.select("ent", "size", "least").join(links, "ent", "left").join(roots, "ent", "left").withColumn("root", F.coalesce("root", "ent"))

@@ -26,8 +26,8 @@ from .setjoin import Rule, joined_sets, later_sets
 def removed_lines(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """doc_id, gone (line numbers from 0) of documents that lose lines."""
     rule = Rule(words, percent, True, block)
-    items, firsts, asks, groups, sets = joined_sets(docs, rule, scratch)
-    later = later_sets(asks, groups, sets, rule, scratch)
+    items, firsts, sets = joined_sets(docs, rule, scratch)
+    later = later_sets(sets, rule, scratch)
     fate = scratch.table(firsts.join(later.withColumn("late", F.lit(True)), "sig", "left").select("sig", F.col("doc_id").alias("d"), F.col("item").alias("i"), "late"), "fate")
     rows = items.where("sig is not null").select("sig", "doc_id", "item").join(fate, "sig")
     rows = rows.where("late or not (doc_id <=> d and item = i)")

@@ -26,8 +26,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     """
     rule = Rule(words, percent, False, block)
     scratch = Scratch(docs.sparkSession, "ngram")
-    items, firsts, asks, groups, sets = joined_sets(docs, rule, scratch)
-    roots = connected(similar_edges(asks, groups, sets, rule, scratch), scratch)
+    items, firsts, sets = joined_sets(docs, rule, scratch)
+    roots = connected(similar_edges(sets, rule, scratch), scratch)
     by_sig = firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
     least = by_sig.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(by_sig.join(least, "root").select("sig", "component_id"), "named")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import grouped, met, opened
+from .blocks import grouped, met, opened, placed
 from .common import Scratch, WordIds, arrow, mixed, spread, texts_of
 
 #: Counters of the rarity sketch: 2 ** SKETCH_BITS, whatever the size of the corpus; one byte each when sent out.
@@ -174,29 +174,44 @@ def candidates(docs: DataFrame, rule: Rule, rarity: DataFrame, scratch: Scratch)
     return arrow(docs.select("text"), run, "token long, ent long, need int", pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32())]))
 
 
-def payloads(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, rule: Rule, rarity: np.ndarray, scratch: Scratch) -> DataFrame:
-    """ent, doc_id, item, toks of the wanted sets, made anew from the first text that has each."""
-    at = firsts.join(wanted.select(F.col("ent").alias("sig")), "sig").groupBy("doc_id").agg(F.collect_list(F.struct("item", "sig")).alias("want"))  # as many as a document has lines
+#: Bytes of sets that a task hands on at once.
+HANDED = 8 << 20
+
+
+def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
+    """places (see placed()) with doc_id, item, toks: sets made anew from the first text that has each, straight to where they are needed."""
+    at = firsts.join(places.withColumnRenamed("ent", "sig"), "sig").groupBy("doc_id").agg(F.collect_list(F.struct("item", "sig", "key", "blk", "part", "query")).alias("want")).hint("merge")
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sh, order = Shingler(rule), sent.value
+        out: dict[str, list] = {f.name: [] for f in types}
+        size = 0
         for batch in batches:
             ids, wants = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             sets, doc, no, _ = sh.items(texts_of(batch))
-            want = [{(x["item"], x["sig"]) for x in w} for w in wants]
-            out: dict[str, list] = {"ent": [], "doc_id": [], "item": [], "toks": []}
+            want: list[dict] = [{} for _ in wants]
+            for w, rows in zip(want, wants, strict=True):
+                for x in rows:
+                    w.setdefault((x["item"], x["sig"]), []).append((x["key"], x["blk"], x["part"], x["query"]))
             for x, i, j in zip(sets, doc, no, strict=True):
                 if len(x) and want[i]:
                     x = distinct(x)
-                    if (j, sig := set_hash(x)) in want[i]:
-                        for k, v in zip(out, (sig, ids[i], j, ordered(x, order).tobytes()), strict=True):
+                    sig = set_hash(x)
+                    raw = None
+                    for place in want[i].get((j, sig), ()):
+                        raw = raw or ordered(x, order).tobytes()
+                        for k, v in zip(out, (*place, sig, ids[i], j, raw), strict=True):
                             out[k].append(v)
-            yield out
+                        size += len(raw)
+                        if size > HANDED:
+                            yield out
+                            out, size = {f.name: [] for f in types}, 0
+        yield out
 
     rows = docs.select("doc_id", "text").join(at, docs["doc_id"].eqNullSafe(at["doc_id"])).select(docs["doc_id"], "text", "want")
-    types = pa.schema([("ent", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("toks", pa.binary())])
-    return arrow(rows, run, "ent long, doc_id long, item int, toks binary", types)
+    types = pa.schema([("key", pa.int64()), ("blk", pa.int32()), ("part", pa.int32()), ("query", pa.int32()), ("ent", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("toks", pa.binary())])
+    return arrow(rows, run, "key long, blk int, part int, query int, ent long, doc_id long, item int, toks binary", types)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -308,16 +323,15 @@ def block_links(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_i) if out_i else none, np.concatenate(out_j) if out_j else none, keep
 
 
-def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """items, firsts, asks, groups, payloads."""
+def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """items, firsts, and the sets where they are to be compared."""
     items, rarity = survey(docs, rule, scratch)
     firsts = scratch.table(items.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "item")).alias("f")).select("sig", "f.doc_id", "f.item"), "firsts")
-    shared = met(candidates(docs, rule, rarity, scratch), scratch)
-    groups, asks = grouped(shared, scratch, rule.block)
-    return items, firsts, asks, groups, payloads(docs, firsts, groups, rule, rarity, scratch)
+    groups, asks = grouped(met(candidates(docs, rule, rarity, scratch), scratch), scratch, rule.block)
+    return items, firsts, payloads(docs, firsts, placed(asks, groups, scratch, rule.block), rule, rarity)
 
 
-def similar_edges(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def similar_edges(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """u, v: links between different sets, of each pair of blocks a spanning forest."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -328,10 +342,10 @@ def similar_edges(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rul
                 e = spanning(i, j, len(ent))
                 yield {"u": ent[i[e]], "v": ent[j[e]]}
 
-    return scratch.table(opened(asks, groups, sets.select("ent", "toks"), scratch, rule.block, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])), "links")
+    return scratch.table(opened(sets, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])), "links")
 
 
-def later_sets(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def later_sets(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """sig: sets that link with a set which first occurs earlier, by (doc_id, item)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -342,4 +356,4 @@ def later_sets(asks: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule,
                 late = {int(a if at[keep[a]] > at[keep[b]] else b) for a, b in zip(i, j, strict=True)}
                 yield {"sig": batch.column(4).to_numpy()[keep][sorted(late)]}
 
-    return scratch.table(opened(asks, groups, sets.select("ent", "doc_id", "item", "toks"), scratch, rule.block, run, "sig long", pa.schema([("sig", pa.int64())])).distinct(), "later")
+    return scratch.table(opened(sets, run, "sig long", pa.schema([("sig", pa.int64())])).distinct(), "later")

@@ -167,7 +167,7 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 first[carried], first_at[carried] = last[1], last[2]
             if len(seed):
                 last = (int(seed[-1]), int(first[-1]), int(first_at[-1]))
-            keep = ~new
+            keep = ~new & ((doc != first) | (at != first_at))  # a row that repeats a doc_id matches itself
             yield {"doc_id": doc[keep], "first_id": first[keep], "at": at[keep], "first_at": first_at[keep]}
 
     rows = arrow(docs.select("doc_id", "text"), run, "seed long, doc_id long, at int", pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())]))

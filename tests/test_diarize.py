@@ -55,7 +55,7 @@ def test_blocks_follow_the_rules(spark):
 
 
 def test_sentence_ids_are_dense(spark):
-    text = "Ann Lee: Chief Executive Officer\nThis is one long sentence here. This is another long sentence. No.\nCy Poe: Analyst\nThis is the third long sentence."
+    text = "Ann Lee: Chief Executive Officer\nThis is one long sentence here. This is another long sentence. No.\nCy Poe: Analyst\nThis is the 3rd long sentence, again."
     raw = spark.createDataFrame([("A", "20240101", text), ("B", "20240101", "short"), ("C", "20240101", None)], "ticker string, date string, raw_text string")
     rows = sorted(D.preprocess(raw, least_chars=20).collect(), key=lambda r: r.sentence_id)
     assert [r.sentence_id for r in rows] == [0, 1, 2]

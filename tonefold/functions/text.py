@@ -32,7 +32,7 @@ def html_blocks(c: Column) -> Column:
     """As html_strip(), but ends of block elements stay line breaks, so that line operators work on filings."""
     c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br\s*/?>", "\n")
     c = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"[^\S\n]+", " ")
-    return F.trim(F.regexp_replace(c, r" ?\n[ \n]*", "\n"))
+    return strip(F.regexp_replace(c, r" ?\n[ \n]*", "\n"))
 
 
 def is_boilerplate(c: Column) -> Column:

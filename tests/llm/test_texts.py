@@ -6,12 +6,11 @@ import re
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from tonefold.llm import decon, pii, quality, substring
 from tonefold.llm.queries import ORACLE, QUERIES
 
-from .helpers import corpus, frame
+from .helpers import corpus, frame, jaccard_links, shingles
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -178,17 +177,37 @@ def test_queries_are_registered(sf_dir):
     assert set(ORACLE) <= set(QUERIES)
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_is_its_stages_by_brute_force(spark, sf_dir):
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as C
 
+    from .test_joins import classes, removed
+
     assert [n for n, _ in C.STAGES] == ["quality_classifier", "line_dedup", "ngram_join", "decontamination", "bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = C.good_documents(spark, docs, sf_dir)
-    assert first.columns == docs.columns
-    assert 0 < first.count() < docs.count()
-    out = C.run(spark, sf_dir)
-    assert 0 < out.count() < docs.count()
-    assert out.where(F.col("n_tokens") > 0).count() > 0
+    assert all(stage(spark, docs, sf_dir).columns == docs.columns for _, stage in C.STAGES[:2])
+    good = {r.doc_id for r in quality.predictions(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
+    assert 0 < len(rows) < docs.count()
+    gone, left = removed(rows), []
+    for i, t in rows:
+        kept = [x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ())]
+        if i not in gone or any(x.strip() for x in kept):
+            left.append((i, "\n".join(kept)))
+    sets = [shingles(t, 5) for _, t in left]
+    roots = classes(len(left), lambda a, b: jaccard_links(sets[a], sets[b], 80))
+    least = {r: min(left[i][0] for i in range(len(left)) if roots[i] == r) for r in set(roots)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = []
+    for (i, t), r in zip(left, roots, strict=True):
+        if least[r] == i and not hits(t, items, 10)[1]:
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in C.run(spark, sf_dir).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("name", ["op1_warc_zip", "op3_embedding_itq", "op6_ngram_jaccard"])

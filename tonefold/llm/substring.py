@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordIds, arrow, mixed, sections, spread, texts_of, tune
+from .common import Scratch, WordHashes, arrow, mixed, sections, spread, texts_of, tune
 
 K, W = 6, 8
 #: Words that a gap in a chain may skip on either side; cost of a skipped word, against 1 for a matched one.
@@ -42,7 +42,8 @@ def seeds(ids: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.array([int(np.argmin(h))])
     else:
         view = np.lib.stride_tricks.sliding_window_view(h, W)
-        at = np.unique(np.argmin(view, 1) + np.arange(n - W + 1))
+        at = np.argmin(view, 1) + np.arange(n - W + 1)
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # places never go back
     return h[at], at
 
 
@@ -141,15 +142,19 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     factor = rng.integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cache = WordIds()
+        hashes = WordHashes()
         for batch in batches:
-            out_h, out_d, out_p = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                h, at = seeds(cache.of(text.lower().split()), factor)
-                out_h.append(h)
-                out_p.append(at)
-                out_d.append(np.full(len(h), d, np.int64))
-            yield {"seed": np.concatenate(out_h).view(np.int64), "doc_id": np.concatenate(out_d), "at": np.concatenate(out_p).astype(np.int32)}
+            if not batch.num_rows:
+                continue
+            texts = texts_of(batch)
+            w, start = hashes.of(b"\n".join(texts).lower())
+            ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) - 1).tolist()
+            found = [seeds(w[a:b], factor) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield {
+                "seed": np.concatenate([h for h, _ in found]).view(np.int64),
+                "doc_id": np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found]),
+                "at": np.concatenate([at for _, at in found]).astype(np.int32),
+            }
 
     def pair(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """Rows seed, doc_id, at sorted so: matches with the first row of each seed."""
@@ -201,11 +206,20 @@ def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
     sides = chained.hint("merge").join(docs, "doc_id").hint("merge").join(docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cache = WordIds()
+        hashes = WordHashes()
+        recent: dict[bytes, np.ndarray] = {}  # first documents come again and again
+
+        def of(text: bytes) -> np.ndarray:
+            if (known := recent.get(text)) is None:
+                if len(recent) >= 16:
+                    recent.clear()
+                known = recent[text] = hashes.of(text.lower())[0]
+            return known
+
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "first_id": [], "spans": []}
             for d, f, cs, x, y in zip(batch.column("doc_id").to_pylist(), batch.column("first_id").to_pylist(), batch.column("chains").to_pylist(), texts_of(batch), texts_of(batch, "first_text"), strict=True):
-                a, b = cache.of(x.lower().split()), cache.of(y.lower().split())
+                a, b = hashes.of(x.lower())[0], of(y)
                 spans = []
                 for c in cs:
                     pairs = list(zip(c[::2], c[1::2], strict=True))

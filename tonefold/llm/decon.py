@@ -16,7 +16,6 @@ remove_contaminated() and ignored by report().
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow, texts_of, tune
+from .common import arrow, texts_of, tune
 
 #: Benchmark words that a pass sends to the executors at most.
 BLOCK_WORDS = 2_000_000
@@ -137,19 +136,21 @@ def shard_hits(texts: list[bytes], test: Suffixes) -> tuple[np.ndarray, np.ndarr
     return n, doc, pos - begins[doc], k
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int, scratch: Scratch) -> list[DataFrame]:
-    """For each block of the benchmark: row, doc_id, n_words, spans (start and end word of merged hits), items."""
+def sent_blocks(benchmark: DataFrame) -> Iterator:
+    """The benchmark's items in broadcast blocks of about BLOCK_WORDS words, one after another."""
     count = F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     sized = benchmark.select("item_id", "text", count.cast("long").alias("size"))
     total = sized.agg(F.sum("size")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    out = []
     for b in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         items = [(r.item_id, (r.text or "").encode()) for r in part.select("item_id", "text").toLocalIterator()]
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-        out.append(_pass(docs, sent, window))
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(items)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int) -> list[DataFrame]:
+    """For each block of the benchmark: doc_id, n_words, spans (start and end word of merged hits), items."""
+    return [_pass(docs, sent, window) for sent in sent_blocks(benchmark)]
 
 
 def _pass(docs: DataFrame, sent, window: int) -> DataFrame:  # noqa: ANN001
@@ -178,12 +179,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 
     With a benchmark of several blocks, rows are joined by a hash of doc_id and text, so equal rows keep equal results.
     """
-    scratch = Scratch(docs.sparkSession, "decon")
-    if (size := len(parts := hits(docs, benchmark, window, scratch))) == 1:
+    if len(parts := hits(docs, benchmark, window)) == 1:
         return parts[0]
-    del size
     named = docs.select(F.struct("doc_id", "text").alias("row")).withColumn("doc_id", F.xxhash64("row")).select("doc_id", "row.text")
-    parts = hits(named, benchmark, window, scratch)
+    parts = hits(named, benchmark, window)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -206,9 +205,19 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs in which no window of a benchmark item occurs; rows without a doc_id stay if their text is clean."""
-    scratch = Scratch(docs.sparkSession, "decon-keep")
-    keyed = docs.withColumn("_h", F.xxhash64(F.struct("doc_id", "text")))
-    gone = report(keyed.select(F.col("_h").alias("doc_id"), "text"), benchmark, window).where(F.size("items") > 0).select(F.col("doc_id").alias("_h")).distinct()
-    gone = scratch.table(gone, "gone")
-    return keyed.join(gone, "_h", "left_anti").drop("_h")
+    """The rows of docs in which no window of a benchmark item occurs: one filter a block of the benchmark, and no shuffle."""
+    tune(docs.sparkSession)
+
+    def clean(sent):  # noqa: ANN001, ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            test = Suffixes(sent.value, window)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[shard_hits(texts_of(batch), test)[1]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for sent in sent_blocks(benchmark):
+        docs = docs.mapInArrow(clean(sent), docs.schema)
+    return docs

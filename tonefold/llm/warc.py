@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, written and read without extraction.
 
-A package is a ZIP file with stored (uncompressed) members: archive/*.warc, and indexes/index.cdxj with a line for
-each record (key, offset and length in its archive member). The reader fetches the end of the file, parses the end-of-central-directory
+A package is a ZIP file with stored (uncompressed) members: archive/*.warc.gz, in which each record is a gzip member of its own,
+and indexes/index.cdxj with a line for each record (key, offset and length in its archive member). The reader fetches the end of the file, parses the end-of-central-directory
 record (the ZIP64 one where a field is saturated), the central directory and the local headers, and so finds where a
 stored member's bytes lie in the package. With the index it then fetches ranges of records.
 
@@ -14,6 +14,7 @@ page_id are all responses). Rows without a page_id are records, too; they rank l
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -150,15 +151,15 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         name = f"{uuid.uuid4().hex}.wacz"
         index: list[str] = []
         with where.open_output_stream(f"{at}/{name}", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as pack:
-            with pack.open("archive/data.warc", "w", force_zip64=True) as f:
+            with pack.open("archive/data.warc.gz", "w", force_zip64=True) as f:
                 offset = 0
                 for batch in batches:
                     for page, url, html, kind, ref in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                         payload = (html or "").encode()
                         url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
                         digest = digest32(payload)
-                        raw = record(kind, url, page, payload, digest, ref)
-                        index.append(f"{page} {json.dumps({'url': url, 'digest': digest, 'offset': offset, 'length': len(raw), 'filename': 'data.warc'})}\n")
+                        raw = gzip.compress(record(kind, url, page, payload, digest, ref), 3, mtime=0)
+                        index.append(f"{page} {json.dumps({'url': url, 'digest': digest, 'offset': offset, 'length': len(raw), 'filename': 'data.warc.gz'})}\n")
                         f.write(raw)
                         offset += len(raw)
             if index:
@@ -211,7 +212,7 @@ def read(packages: DataFrame) -> DataFrame:
                     raw = f.read_at(size, start)
                 out: dict[str, list] = {k.name: [] for k in types}
                 for a, b in zip(starts, [*starts[1:], size], strict=True):
-                    head, block = parsed(raw[a:b])
+                    head, block = parsed(gzip.decompress(raw[a:b]))
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
                     row = (number("X-Page-ID"), number("X-Payload-Length"), head["WARC-Payload-Digest"][5:], head["WARC-Type"], number("X-Refers-To-Page"), head["WARC-Target-URI"], block if head["WARC-Type"] == "response" else None)
                     for k, v in zip(out, row, strict=True):

@@ -19,22 +19,22 @@ from .common import Scratch, arrow, sections, spread, tune
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows token, ent, need in this order: those of tokens with two items or more, each with its token's first item."""
-    tail = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    """Rows token, ent in this order: those of tokens with two items or more, each with its token's first item."""
+    tail = [np.empty(0, np.int64), np.empty(0, np.int64)]
 
-    def unique(t: np.ndarray, e: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    def unique(t: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
-        return [t[new], e[new], n[new]]
+        return [t[new], e[new]]
 
     def out(cols: list[np.ndarray]) -> dict | None:
-        t, e, n = unique(*cols)
+        t, e = unique(*cols)
         if not len(t):
             return None
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         sizes = np.diff(np.append(starts, len(t)))
         keep = np.repeat(sizes > 1, sizes)
-        return {"token": t[keep], "ent": e[keep], "need": n[keep], "first": np.repeat(e[starts], sizes)[keep]} if keep.any() else None
+        return {"token": t[keep], "ent": e[keep], "first": np.repeat(e[starts], sizes)[keep]} if keep.any() else None
 
     for batch in batches:
         cols = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(tail)]
@@ -43,34 +43,34 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield got
         tail = unique(*(x[cut:] for x in cols))
         if len(tail[0]) > 65536:  # a token that very many items have: only its first item is held on to
-            yield {"token": tail[0], "ent": tail[1], "need": tail[2], "first": np.full(len(tail[0]), tail[1][0])}
+            yield {"token": tail[0], "ent": tail[1], "first": np.full(len(tail[0]), tail[1][0])}
             tail = [x[:1] for x in tail]
     if (got := out(tail)) is not None:
         yield got
 
 
 def met(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """postings: token, ent, need. Of tokens that two items or more have: token, ent, need, first (the least item).
-
-    need: so many tokens an item shares with any item that it may link with.
-    """
-    types = pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32()), ("first", pa.int64())])
-    rows = spread(postings.select("token", "ent", "need"), "token").sortWithinPartitions("token", "ent")
+    """postings: token, ent. Of tokens that two items or more have: token, ent, first (the least item)."""
+    types = pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("first", pa.int64())])
+    rows = spread(postings.select("token", "ent"), "token").sortWithinPartitions("token", "ent")
     spark = postings.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    out = scratch.table(arrow(rows, _met, "token long, ent long, need int, first long", types), "met")
+    out = scratch.table(arrow(rows, _met, "token long, ent long, first long", types), "met")
     tune(spark)
     return out
 
 
-def grouped(shared: DataFrame, scratch: Scratch, block: int) -> tuple[DataFrame, DataFrame]:
-    """shared: met(). Returns groups (ent, key, blk, blocks: the group of each item and its block in it) and
-    asks (ent, key: the groups that hold enough of an item's tokens), only of items that may link with any."""
+def grouped(shared: DataFrame, scratch: Scratch, block: int, need: int = 1) -> tuple[DataFrame, DataFrame]:
+    """shared: met(). need: so many tokens an item shares with any item that it may link with.
+
+    Returns groups (ent, key, blk, blocks: the group of each item and its block in it) and asks (ent, key: the
+    groups that hold enough of an item's tokens), only of items that may link with any.
+    """
     keys = scratch.table(shared.groupBy("ent").agg(F.min("first").alias("own_key")), "keys")
-    at = scratch.table(shared.select("token", "ent", "need").join(keys, "ent"), "at")
+    at = scratch.table(shared.select("token", "ent").join(keys, "ent"), "at")
     held = at.groupBy("token", F.col("own_key").alias("key")).agg(F.count("*").alias("m"))
     both = at.join(held, "token").where("key <> own_key or m > 1")
-    asks = both.groupBy("ent", "own_key", "key").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need")
+    asks = both.groupBy("ent", "own_key", "key").agg(F.count("*").alias("c")).where(F.col("c") >= need)
     asks = scratch.table(asks.select("ent", "own_key", "key"), "asks")
     some = asks.select("ent", F.col("own_key").alias("key")).distinct()
     sizes = some.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))

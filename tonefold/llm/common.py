@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a text column that go to Python at once; a batch stays small however long its texts are.
@@ -19,8 +20,10 @@ BATCH_BYTES = 16 << 20
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/tonefold-shared"
+    if not root:  # a single machine, as in tests: a folder that goes with the process
+        folder = tempfile.mkdtemp(prefix="tonefold-")
+        atexit.register(shutil.rmtree, folder, True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -47,16 +50,9 @@ class Scratch:
         """Writes df and reads it again, which also cuts its lineage."""
         path = self.path(name)
         df.write.option("compression", "lz4").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table that nothing will read again."""
-        for f in df.inputFiles()[:1]:
-            self.remove(f.rsplit("/", 1)[0])
-
-    def remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.spark._jvm.System.gc()  # Spark deletes shuffle files when the driver collects what refers to them, else after 30 minutes
+        return out
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -104,33 +100,63 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
-class WordIds(dict):
-    """64-bit ids of words (bytes); the cache is emptied when full, which changes no id."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all output bits."""
     with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(32))
-        x = x * np.uint64(0xD6E8FEB86659FD93)
-        x = x ^ (x >> np.uint64(32))
-        x = x * np.uint64(0xD6E8FEB86659FD93)
+        for _ in range(2):
+            x = x ^ (x >> np.uint64(32))
+            x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
 
 
+class WordHashes:
+    """Words (runs outside [\\x20\\x09-\\x0D]) of a byte string and their 64-bit hashes, by array operations.
+
+    A word's hash is the difference of two prefix sums of values times powers, divided by the power at its start.
+    """
+
+    PIECE = 1 << 17
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(977)
+        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+        self.base = int(rng.integers(1, 2**63, dtype=np.uint64)) | 5
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * self.PIECE)
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                x = np.full(n, b, np.uint64)
+                x[0] = 1
+                with np.errstate(over="ignore"):
+                    setattr(self, name, np.multiply.accumulate(x))
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first bytes of the words."""
+        raw = np.frombuffer(text, np.uint8)
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = self.space[raw]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
+        start, end = edge[::2], edge[1::2]
+        out = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):  # pieces that stay in a processor's cache
+            a = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, a + self.PIECE, "right")))
+            b = int(end[j - 1])
+            self._powers(b - a + 1)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(b - a + 1, np.uint64)
+                np.cumsum(self.value[raw[a:b]] * self.up[: b - a], out=sums[1:])
+                s = start[i:j] - a
+                out[i:j] = mixed((sums[end[i:j] - a] - sums[s]) * self.down[s])
+            i = j
+        return out, start
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 of a string column; null: empty."""
     col = batch.column(batch.schema.get_field_index(name))

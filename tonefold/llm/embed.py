@@ -116,9 +116,9 @@ def near(vectors: DataFrame, least: float = 0.98, block: int = 128) -> DataFrame
                 token = p[:, :, None] ^ flips
                 token = mixed(token + where[:, None, None] + (np.arange(PIECES, dtype=np.uint64) << np.uint64(20))[None, :, None])
                 n = PIECES * (width + 1)
-                yield {"token": token.reshape(-1).view(np.int64), "ent": np.repeat(ent[at], n), "need": np.ones(len(at) * n, np.int32)}
+                yield {"token": token.reshape(-1).view(np.int64), "ent": np.repeat(ent[at], n)}
 
-    posts = arrow(distinct.select("ent", "label", "unit"), index, "token long, ent long, need int", pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32())]))
+    posts = arrow(distinct.select("ent", "label", "unit"), index, "token long, ent long", pa.schema([("token", pa.int64()), ("ent", pa.int64())]))
     groups, asks = grouped(met(posts, scratch), scratch, block)
 
     def rerank(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import grouped, met, opened, placed
-from .common import Scratch, WordIds, arrow, mixed, spread, texts_of
+from .common import Scratch, WordHashes, arrow, mixed, spread, texts_of
 
 #: Counters of the rarity sketch: 2 ** SKETCH_BITS, whatever the size of the corpus; one byte each when sent out.
 SKETCH_BITS = 22
 CHUNK = 1 << 16
-#: By so many elements prefixes have to meet (small sets: by as many as any link of theirs shares).
+#: By so many elements prefixes have to meet, if the smallest sets that can link have as many.
 SHARED = 4
+#: Shingles are made from so many words at a time.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -40,30 +42,47 @@ class Rule:
     lines: bool = False
     block: int = 128
 
+    @property
+    def smallest(self) -> int:
+        """The size of the smallest set that can link with a different set (a larger one)."""
+        return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 30
+
+    @property
+    def shared(self) -> int:
+        """By so many elements the prefixes of sets that link have to meet."""
+        return min(SHARED, self.smallest)
+
 
 class Shingler:
     def __init__(self, rule: Rule) -> None:
-        self.rule, self.ids = rule, WordIds()
+        self.rule, self.hashes = rule, WordHashes()
         rng = np.random.default_rng(20_240_117)
         self.factor = rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
     def items(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[int], list[int], np.ndarray]:
         """Of each item: its shingles (not distinct yet); document index; number in it. Last: all shingles."""
-        words: list[bytes] = []
-        ends, doc, no = [], [], []
-        for i, text in enumerate(texts):
-            parts = text.lower().split(b"\n") if self.rule.lines else (text.lower(),)
-            for j, part in enumerate(parts):
-                words += part.split()
-                ends.append(len(words))
-                doc.append(i)
-                no.append(j)
-        w, k = self.ids.of(words), self.rule.words
+        if not texts:
+            return [], [], [], np.empty(0, np.uint64)
+        k = self.rule.words
+        joined = b"\n".join(texts).lower()
+        w, start = self.hashes.of(joined)
+        if self.rule.lines:
+            count = [t.count(b"\n") + 1 for t in texts]
+            doc = np.repeat(np.arange(len(texts)), count).tolist()
+            no = [j for c in count for j in range(c)]
+            stop = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), len(joined))
+        else:
+            doc, no = list(range(len(texts))), [0] * len(texts)
+            stop = np.cumsum([len(t) + 1 for t in texts]) - 1
+        ends = np.searchsorted(start, stop).tolist()
+        s = np.zeros(len(w), np.uint64)
         with np.errstate(over="ignore"):
-            s = np.zeros(len(w), np.uint64)
-            for j in range(min(k, len(w))):
-                s[: len(w) - j] += w[j:] * self.factor[j]
-            s = mixed(s)
+            for a in range(0, len(w), PIECE):
+                part = s[a : a + PIECE]
+                for j in range(k):
+                    more = w[a + j : a + j + len(part)]
+                    part[: len(more)] += more * self.factor[j]
+                part[:] = mixed(part)
             out, a = [], 0
             for b in ends:
                 if b - a >= k:
@@ -73,7 +92,7 @@ class Shingler:
                 else:
                     out.append(s[:0])
                 a = b
-        return out, doc, no, np.concatenate(out) if out else s[:0]
+        return out, doc, no, np.concatenate(out)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -86,11 +105,17 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def set_hash(x: np.ndarray) -> int:
-    """Of a sorted set; a signed 64-bit number."""
-    with np.errstate(over="ignore"):
-        h = mixed(x + np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(x)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return int(mixed(np.array([h], np.uint64)).view(np.int64)[0])
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """Of sorted sets; signed 64-bit numbers (of empty sets: any number)."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros(len(sets), np.uint64)
+    if n.any():
+        with np.errstate(over="ignore"):
+            spread_ = mixed(np.concatenate(sets) + np.uint64(0x9E3779B97F4A7C15))
+            full = n > 0
+            out[full] = np.add.reduceat(spread_, (np.cumsum(n) - n)[full])
+            out = mixed(out + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return out.view(np.int64)
 
 
 def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
@@ -108,7 +133,7 @@ def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np
                 counts += np.bincount(np.concatenate(held), minlength=size)
                 held, n_held = [], 0
             sets = [distinct(x) for x in sets]
-            yield {"doc_id": ids.take(pa.array(doc, pa.int64())), "item": no, "n": [len(x) for x in sets], "sig": [set_hash(x) if len(x) else None for x in sets], "counts": [None] * len(sets)}
+            yield {"doc_id": ids.take(pa.array(doc, pa.int64())), "item": no, "n": [len(x) for x in sets], "sig": pa.array(set_hashes(sets), pa.int64(), mask=np.array([not len(x) for x in sets], bool)), "counts": [None] * len(sets)}
         if held:
             counts += np.bincount(np.concatenate(held), minlength=size)
         for c in range(0, size, CHUNK):
@@ -135,43 +160,46 @@ def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np
     return rows.where("item >= 0").drop("counts"), table
 
 
-def ordered(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """The distinct elements in the one order that all sets share: rare ones first."""
+def ordered(sets: list[np.ndarray], rarity: np.ndarray) -> list[np.ndarray]:
+    """The elements of each set in the one order that all sets share: rare ones first."""
+    x = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     cls = rarity[(x & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
-    return distinct((cls << np.uint64(56)) | (x >> np.uint64(8)))
+    x, out, a = (cls << np.uint64(56)) | (x >> np.uint64(8)), [], 0
+    for s in sets:
+        out.append(np.sort(x[a : a + len(s)]))
+        a += len(s)
+    return out
 
 
 def ceil_share(n: int, rule: Rule) -> int:
     return -(-n * rule.percent // 100)
 
 
-def candidates(docs: DataFrame, rule: Rule, rarity: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings token, ent (a set's hash) of the prefixes; a task emits the same set once."""
+def candidates(docs: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
+    """Postings token, ent (a set's hash) of the prefixes; a task emits the same set once. Sets too small to link with a different one are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sh, seen, order = Shingler(rule), set(), sent.value
         for batch in batches:
-            tokens, ents, needs = [], [], []
-            for x in sh.items(texts_of(batch))[0]:
-                if not len(x):
-                    continue
-                x = distinct(x)
-                sig = set_hash(x)
-                if sig in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sig)
-                need = min(SHARED, ceil_share(len(x), rule))
-                p = len(x) - ceil_share(len(x), rule) + need
-                tokens.append(ordered(x, order)[:p])
-                ents.append(np.full(p, sig, np.int64))
-                needs.append(np.full(p, need, np.int32))
+            tokens, ents = [], []
+            sets = [distinct(x) for x in sh.items(texts_of(batch))[0] if len(x) >= rule.smallest]
+            new = []
+            for i, sig in enumerate(set_hashes(sets).tolist()):
+                if sig not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(sig)
+                    new.append((i, sig))
+            for (_, sig), x in zip(new, ordered([sets[i] for i, _ in new], order), strict=True):
+                if len(x) >= rule.smallest:
+                    x = x[: len(x) - ceil_share(len(x), rule) + rule.shared]
+                    tokens.append(x)
+                    ents.append((sig, len(x)))
             if tokens:
-                yield {"token": np.concatenate(tokens).view(np.int64), "ent": np.concatenate(ents), "need": np.concatenate(needs)}
+                yield {"token": np.concatenate(tokens).view(np.int64), "ent": np.repeat(np.array([e for e, _ in ents], np.int64), [n for _, n in ents])}
 
-    return arrow(docs.select("text"), run, "token long, ent long, need int", pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("need", pa.int32())]))
+    return arrow(docs.select("text"), run, "token long, ent long", pa.schema([("token", pa.int64()), ("ent", pa.int64())]))
 
 
 #: Bytes of sets that a task hands on at once.
@@ -194,13 +222,11 @@ def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule,
             for w, rows in zip(want, wants, strict=True):
                 for x in rows:
                     w.setdefault((x["item"], x["sig"]), []).append((x["key"], x["blk"], x["part"], x["query"]))
-            for x, i, j in zip(sets, doc, no, strict=True):
-                if len(x) and want[i]:
-                    x = distinct(x)
-                    sig = set_hash(x)
-                    raw = None
-                    for place in want[i].get((j, sig), ()):
-                        raw = raw or ordered(x, order).tobytes()
+            sets = [distinct(x) for x in sets]
+            found = [(x, i, j, sig) for x, i, j, sig in zip(sets, doc, no, set_hashes(sets).tolist(), strict=True) if len(x) and (j, sig) in want[i]]
+            for (_, i, j, sig), x in zip(found, ordered([f[0] for f in found], order), strict=True):
+                if raw := x.tobytes():
+                    for place in want[i][j, sig]:
                         for k, v in zip(out, (*place, sig, ids[i], j, raw), strict=True):
                             out[k].append(v)
                         size += len(raw)
@@ -251,19 +277,40 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def few_linked(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """linked() for a few sets: the length filter, the positional filter (what is left behind the first element that
+    two prefixes share bounds the overlap), then the overlap itself."""
+    t = rule.percent
+    sets, found = [set(y.tolist()) for y in b], []
+    place = [{e: q for q, e in enumerate(y[: len(y) - ceil_share(len(y), rule) + 1].tolist())} for y in b]
+    for i, x in enumerate(a):
+        n, every = len(x), x.tolist()
+        prefix, own = every[: n - ceil_share(n, rule) + 1], None
+        for j, y in enumerate(sets):
+            m = len(y)
+            if 100 * min(n, m) < t * max(n, m):
+                continue
+            at = place[j]
+            hit = next((p for p, e in enumerate(prefix) if e in at), None)
+            if hit is None or (100 + t) * min(n - hit, m - at[prefix[hit]]) < t * (n + m):
+                continue
+            own = own or set(every)
+            k = len(own & y)
+            if 100 * k >= t * (n + m - k):
+                found.append((i, j))
+    out = np.array(found, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
 def linked(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs that link: length and positional filters first, then the union bound, then counts."""
+    """Indices of the pairs that link: the length filter first, then the union bound, then counts of whole blocks."""
     none = np.empty(0, np.int64)
     if not a or not b:
         return none, none
+    if len(a) * len(b) <= 36:
+        return few_linked(a, b, rule)
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     fit = 100 * np.minimum(na[:, None], nb) >= rule.percent * np.maximum(na[:, None], nb)
-    for i, j in np.argwhere(fit) if fit.size <= 4 else ():  # positional filter: what is left behind the first common element
-        x, y = a[i], b[j]
-        p, q = x[: len(x) - ceil_share(len(x), rule) + 1], y[: len(y) - ceil_share(len(y), rule) + 1]
-        hit = np.flatnonzero(np.isin(p, q, assume_unique=True))
-        most = min(len(x) - hit[0], len(y) - np.searchsorted(y, p[hit[0]])) if len(hit) else 0
-        fit[i, j] = (100 + rule.percent) * most >= rule.percent * (len(x) + len(y))
     rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
     if not len(rows) or not len(cols):
         return none, none
@@ -327,7 +374,7 @@ def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFram
     """items, firsts, and the sets where they are to be compared."""
     items, rarity = survey(docs, rule, scratch)
     firsts = scratch.table(items.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "item")).alias("f")).select("sig", "f.doc_id", "f.item"), "firsts")
-    groups, asks = grouped(met(candidates(docs, rule, rarity, scratch), scratch), scratch, rule.block)
+    groups, asks = grouped(met(candidates(docs, rule, rarity), scratch), scratch, rule.block, rule.shared)
     return items, firsts, payloads(docs, firsts, placed(asks, groups, scratch, rule.block), rule, rarity)
 
 

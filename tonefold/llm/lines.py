@@ -52,7 +52,7 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512)
                 texts.append(None if text is None else "\n".join(kept))
                 lines.append(len(parts))
                 removed.append(len(parts) - len(kept))
-                left.append(sum(not x.isspace() for x in kept if x))
+                left.append(sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in kept))
             cols = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.int64())], names=[*names, "n_lines", "n_removed", "n_left"])
 

@@ -75,7 +75,36 @@ _BASE32 = """list_aggregate(list_transform(range(32), lambda i:
         (((instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS INT), 1)) - 1) * 16
           + instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS INT), 1)) - 1) >> CAST(3 - 5 * i % 4 AS INT)) % 32 + 1 AS INT), 1)), 'string_agg', '')"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE: dict[str, str] = {
+    "op5_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, i AS item, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
+        w AS (SELECT *, regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+') AS w FROM l),
+        s AS (SELECT *, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        t AS (SELECT doc_id, item, len(s) AS n, unnest(s) AS t FROM s),
+        inter AS (SELECT a.doc_id, a.item, a.n, b.n AS m, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.item < a.item)
+                  GROUP BY a.doc_id, a.item, a.n, b.doc_id, b.item, b.n),
+        gone AS (SELECT DISTINCT doc_id, item, true AS g FROM inter WHERE 100 * k >= 80 * (n + m - k)),
+        per AS (SELECT doc_id, count(*) AS n_lines, count(g) AS n_removed, count(*) FILTER (g IS NULL AND len(w) > 0) AS n_left,
+                       coalesce(string_agg(line, chr(10) ORDER BY item) FILTER (g IS NULL), '') AS kept FROM s LEFT JOIN gone USING (doc_id, item) GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN kept END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_left, 0) AS n_left
+        FROM documents d LEFT JOIN per USING (doc_id)""",
+    "op10_decontamination": rf"""
+        WITH w AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM sized, unnest(range(1, len(w) - n + 2)) AS u(i)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        placed AS (SELECT doc_id, w, n FROM w, sizes WHERE len(w) >= n),
+        dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM placed, unnest(range(1, len(w) - n + 2)) AS u(i)),
+        h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN win USING (n, k)),
+        pos AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h) AS p, unnest(range(n)) AS v(j) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op1_warc_zip": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
              d AS (SELECT *, sha1(html) AS h FROM p)

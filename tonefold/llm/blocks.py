@@ -19,40 +19,52 @@ from .common import Scratch, arrow, sections, spread, tune
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows token, ent in this order: those of tokens with two items or more, each with its token's first item."""
+    """Rows token, ent sorted by token: those of tokens with two items or more, each with its token's first item."""
     tail = [np.empty(0, np.int64), np.empty(0, np.int64)]
-
-    def unique(t: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
-        return [t[new], e[new]]
-
-    def out(cols: list[np.ndarray]) -> dict | None:
-        t, e = unique(*cols)
+    lead: int | None = None  # the first item of the tail's token, if rows of it have gone out already
+
+    def several(t: np.ndarray) -> np.ndarray:
+        """Which rows share their token with another row."""
+        same = t[1:] == t[:-1]
+        return np.concatenate([[False], same]) | np.concatenate([same, [False]])
+
+    def out(t: np.ndarray, e: np.ndarray) -> dict | None:
+        keep = several(t) if len(t) else np.zeros(0, bool)
+        t, e = t[keep], e[keep]
+        order = np.lexsort((e, t))
+        t, e = t[order], e[order]
+        if len(t):
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (e[1:] != e[:-1])
+            t, e = t[new], e[new]
+            keep = several(t)
+            t, e = t[keep], e[keep]
         if not len(t):
             return None
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        sizes = np.diff(np.append(starts, len(t)))
-        keep = np.repeat(sizes > 1, sizes)
-        return {"token": t[keep], "ent": e[keep], "first": np.repeat(e[starts], sizes)[keep]} if keep.any() else None
+        return {"token": t, "ent": e, "first": np.repeat(e[starts], np.diff(np.append(starts, len(t))))}
 
     for batch in batches:
-        cols = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(tail)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # rows of the last token may go on
-        if (got := out([x[:cut] for x in cols])) is not None:
+        t, e = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(tail))
+        cut = int(np.searchsorted(t, t[-1])) if len(t) else 0  # rows of the last token may go on
+        if (got := out(t[:cut], e[:cut])) is not None:
             yield got
-        tail = unique(*(x[cut:] for x in cols))
-        if len(tail[0]) > 65536:  # a token that very many items have: only its first item is held on to
-            yield {"token": tail[0], "ent": tail[1], "first": np.full(len(tail[0]), tail[1][0])}
-            tail = [x[:1] for x in tail]
-    if (got := out(tail)) is not None:
+        if cut:
+            lead = None
+        t, e = t[cut:], np.unique(e[cut:])
+        if len(e) > 65536:  # a token that very many items have: all go to one of them
+            lead = int(e[0]) if lead is None else lead
+            yield {"token": np.full(len(e), t[0]), "ent": e, "first": np.full(len(e), lead)}
+            e = np.array([lead])
+        tail = [t[: len(e)], e]
+    if (got := out(*tail)) is not None:
         yield got
 
 
 def met(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """postings: token, ent. Of tokens that two items or more have: token, ent, first (the least item)."""
+    """postings: token, ent. Of tokens that two items or more have: token, ent, first (one item for all rows of a token)."""
     types = pa.schema([("token", pa.int64()), ("ent", pa.int64()), ("first", pa.int64())])
-    rows = spread(postings.select("token", "ent"), "token").sortWithinPartitions("token", "ent")
+    rows = spread(postings.select("token", "ent"), "token").sortWithinPartitions("token")  # one number to sort by: a radix sort
     spark = postings.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     out = scratch.table(arrow(rows, _met, "token long, ent long, first long", types), "met")

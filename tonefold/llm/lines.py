@@ -38,7 +38,7 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 512)
     """docs with texts that lack the removed lines, and columns n_lines, n_removed, n_left (lines with words that stay)."""
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "n_left")])
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = scratch.table(removed_lines(docs, scratch, words, percent, block), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone")).hint("merge")
+    gone = scratch.table(removed_lines(docs, scratch, words, percent, block), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone")).hint("shuffle_hash")
     both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left").select(docs["*"], "_gone")
     names, at = docs.columns, docs.columns.index("text")
 

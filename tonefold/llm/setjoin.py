@@ -105,6 +105,26 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
+def distinct_each(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """distinct() of many arrays."""
+    if not sets:
+        return []
+    flat = np.concatenate(sets)
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(n)
+    bounds = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
+    for a, b in bounds:
+        flat[a:b].sort()
+    again = np.zeros(len(flat), bool)
+    again[1:] = flat[1:] == flat[:-1]
+    again[(ends - n)[n > 0]] = False
+    if again.any():
+        upto = np.concatenate([[0], np.cumsum(~again)])
+        flat = flat[~again]
+        bounds = list(zip(upto[ends - n].tolist(), upto[ends].tolist(), strict=True))
+    return [flat[a:b] for a, b in bounds]
+
+
 def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """Of sorted sets; signed 64-bit numbers (of empty sets: any number)."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -132,7 +152,7 @@ def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np
             if n_held > 4_000_000:
                 counts += np.bincount(np.concatenate(held), minlength=size)
                 held, n_held = [], 0
-            sets = [distinct(x) for x in sets]
+            sets = distinct_each(sets)
             yield {"doc_id": ids.take(pa.array(doc, pa.int64())), "item": no, "n": [len(x) for x in sets], "sig": pa.array(set_hashes(sets), pa.int64(), mask=np.array([not len(x) for x in sets], bool)), "counts": [None] * len(sets)}
         if held:
             counts += np.bincount(np.concatenate(held), minlength=size)
@@ -183,7 +203,7 @@ def candidates(docs: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
         sh, seen, order = Shingler(rule), set(), sent.value
         for batch in batches:
             tokens, ents = [], []
-            sets = [distinct(x) for x in sh.items(texts_of(batch))[0] if len(x) >= rule.smallest]
+            sets = distinct_each([x for x in sh.items(texts_of(batch))[0] if len(x) >= rule.smallest])
             new = []
             for i, sig in enumerate(set_hashes(sets).tolist()):
                 if sig not in seen:
@@ -208,7 +228,7 @@ HANDED = 8 << 20
 
 def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
     """places (see placed()) with doc_id, item, toks: sets made anew from the first text that has each, straight to where they are needed."""
-    at = firsts.join(places.withColumnRenamed("ent", "sig"), "sig").groupBy("doc_id").agg(F.collect_list(F.struct("item", "sig", "key", "blk", "part", "query")).alias("want")).hint("merge")
+    at = firsts.join(places.withColumnRenamed("ent", "sig"), "sig").groupBy("doc_id").agg(F.collect_list(F.struct("item", "sig", "key", "blk", "part", "query")).alias("want")).hint("shuffle_hash")
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -222,7 +242,7 @@ def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule,
             for w, rows in zip(want, wants, strict=True):
                 for x in rows:
                     w.setdefault((x["item"], x["sig"]), []).append((x["key"], x["blk"], x["part"], x["query"]))
-            sets = [distinct(x) for x in sets]
+            sets = distinct_each(sets)
             found = [(x, i, j, sig) for x, i, j, sig in zip(sets, doc, no, set_hashes(sets).tolist(), strict=True) if len(x) and (j, sig) in want[i]]
             for (_, i, j, sig), x in zip(found, ordered([f[0] for f in found], order), strict=True):
                 if raw := x.tobytes():

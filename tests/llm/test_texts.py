@@ -122,6 +122,15 @@ def test_substring_passages(spark):
     assert substring.passages(frame(spark, [])).count() == 0
 
 
+def test_poor_gap_keeps_the_passages_beside_it(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    p, q, long = fresh(60), fresh(20), fresh(55)
+    docs = [(1, p + fresh(25) + q), (2, p + fresh(25) + q), (3, fresh(7) + long + fresh(30) + q), (4, long + fresh(35) + q + fresh(35) + p)]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substring.passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert got == {(2, 0, 60), (4, 0, 55), (4, 145, 205)}
+
+
 def quality_tables(spark, n=400):
     rnd = random.Random(8)
     docs, labels = [], []

@@ -4,7 +4,8 @@ Seeds are hashes of k words; of each run of w seeds the least is kept (minimizer
 words leaves a seed. Documents are joined to the first document (by doc_id) that has a seed: rows grow with the
 documents, not with their pairs. Between a document and an earlier one, or earlier words of its own, the matches that keep their order are chained: the
 best chain ends are found through a Fenwick tree over the earlier document's positions, with a cost for the words that
-a gap skips. Chains are then aligned word by word between their seeds and beyond their ends, and what the alignments of
+a gap skips. Chains are then aligned word by word between their seeds and beyond their ends; a chain that isn't equal enough
+as a whole is cut at its gaps into the longest parts that are. What the alignments of
 a document cover is merged: passages of at least `least` words are repeats.
 
 The first occurrence of a passage, by (doc_id, word), is never marked. Words are runs outside [\\x20\\x09-\\x0D], A-Z
@@ -101,39 +102,70 @@ def chains(here: list[int], there: list[int]) -> list[list[int]]:
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], wall: int = 1 << 60) -> tuple[int, int] | None:
-    """The range of words of a that an alignment with b through the seeds covers, if IDENTITY of it is equal.
+def runs(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The equal runs (word here, word there, length) of a chain, joined where they touch on one diagonal and cut where they overlap."""
+    out: list[tuple[int, int, int]] = []
+    for x, y, n in parts:
+        if out:
+            p, q, m = out[-1]
+            if x - y == p - q and x <= p + m:
+                out[-1] = p, q, max(m, x + n - p)
+                continue
+            cut = max(0, p + m - x, q + m - y)
+            if cut >= n:
+                continue
+            x, y, n = x + cut, y + cut, n - cut
+        out.append((x, y, n))
+    return out
+
+
+def aligned(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], own: bool = False) -> list[tuple[int, int]]:
+    """The ranges of words of a that an alignment with b through a chain covers: its longest parts of which IDENTITY is equal.
 
-    Between seeds of one diagonal words are compared one by one, else over the better of both diagonals; beyond the first and last seed
-    the alignment goes on while words are equal, across single changed words. wall: b is read before it only.
+    Between runs of one diagonal words are compared one by one, else over the better of both diagonals. Beyond its first and last run
+    a part goes on while words are equal, across single changed words, as far as the next run of the chain. A part begins and ends
+    with a run, so each run is in one at least. own: b is a itself and read before the run only.
     """
-    (s, t), (e, f) = pairs[0], (pairs[-1][0] + K, pairs[-1][1] + K)
-    equal, total = 0, 0
-    for (x, y), (x2, y2) in zip(pairs[:-1], pairs[1:], strict=True):
-        n = x2 - x
-        equal += int(max((a[x:x2] == b[y : y + n]).sum() if y + n <= len(b) else 0, (a[x2 - min(n, y2) : x2] == b[y2 - min(n, y2) : y2]).sum()))
-        total += n
-    equal, total = equal + K, total + K
-
-    def on(x: int, y: int, d: int) -> int:
+    parts = runs(parts)
+
+    def on(x: int, y: int, d: int, most: int, wall: int) -> int:
         """How far words agree from x, y on (d = 1) or back (-1), over single changes that three equal words follow."""
         n = 0
-        while True:
-            i, j = x + d * n, y + d * n
-            if not (0 <= i < len(a) and 0 <= j < min(len(b), wall)):
-                return n
-            if a[i] == b[j]:
+        inside = lambda k: k < most and 0 <= x + d * k < len(a) and 0 <= y + d * k < wall
+        while inside(n):
+            if a[x + d * n] == b[y + d * n]:
                 n += 1
-                continue
-            i, j = i + d, j + d
-            if not all(0 <= i + d * k < len(a) and 0 <= j + d * k < min(len(b), wall) and a[i + d * k] == b[j + d * k] for k in range(3)):
-                return n
-            n += 4
-
-    left, right = on(s - 1, t - 1, -1), on(e, f, 1)
-    if equal + left + right < IDENTITY * (total + left + right):
-        return None
-    return s - left, e + right
+            elif all(inside(k) and a[x + d * k] == b[y + d * k] for k in range(n + 1, n + 4)):
+                n += 4
+            else:
+                break
+        return n
+
+    need, have, starts, ends = [], [], [], []
+    at = 0.0  # equal words less IDENTITY of all words
+    for i, (x, y, n) in enumerate(parts):
+        e, f = x + n, y + n
+        wall = x if own else len(b)
+        before = x - parts[i - 1][0] - parts[i - 1][2] if i else x
+        after = parts[i + 1][0] - e if i + 1 < len(parts) else len(a) - e
+        left, right = on(x - 1, y - 1, -1, before, wall), on(e, f, 1, after, wall)
+        need.append(at - (1 - IDENTITY) * left)
+        at += (1 - IDENTITY) * n
+        have.append(at + (1 - IDENTITY) * right)
+        starts.append(x - left)
+        ends.append(e + right)
+        if i + 1 < len(parts):
+            x2, y2, _ = parts[i + 1]
+            m = min(after, y2 - f)
+            at += max((a[e : e + m] == b[f : f + m]).sum(), (a[x2 - m : x2] == b[y2 - m : y2]).sum()) - IDENTITY * after
+    top = np.maximum.accumulate(np.array(have)[::-1])[::-1]
+    reach = np.searchsorted(-top, 1e-9 - np.array(need), "right") - 1  # the last run with which a part that begins here is equal enough
+    out, far = [], -1
+    for i, j in enumerate(reach.tolist()):
+        if j > far:
+            out.append((starts[i], ends[j]))
+            far = j
+    return out
 
 
 def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,9 +257,7 @@ def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
                     pairs = list(zip(c[::2], c[1::2], strict=True))
                     if pairs[-1][0] + K > len(a) or pairs[-1][1] + K > len(b):
                         continue  # of another row with the same doc_id
-                    got = aligned(a, b, pairs, pairs[0][0] if d == f else 1 << 60)
-                    if got:
-                        spans.append(got)
+                    spans += aligned(a, b, [(i, j, K) for i, j in pairs], d == f)
                 for k, v in zip(out, (d, f, spans), strict=True):
                     out[k].append(v)
             yield out

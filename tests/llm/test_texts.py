@@ -131,6 +131,16 @@ def test_poor_gap_keeps_the_passages_beside_it(spark):
     assert got == {(2, 0, 60), (4, 0, 55), (4, 145, 205)}
 
 
+def test_fuzzy_passage_after_a_long_one(spark):
+    rnd = random.Random(10)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    long, second = fresh(400), fresh(168)
+    fuzzy = [x for a in range(0, 168, 22) for x in (*second[a : a + 14], "some", "other", *second[a + 16 : a + 20], "more", "words")][:168]  # 14 and 4 equal words by turns
+    docs = [(1, long + fresh(60) + second), (2, long + fresh(60) + fuzzy + fresh(10))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substring.passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert got == {(2, 0, 400), (2, 460, 628)}
+
+
 def quality_tables(spark, n=400):
     rnd = random.Random(8)
     docs, labels = [], []

@@ -2,8 +2,8 @@
 
 Seeds are hashes of k words; of each run of w seeds the least is kept (minimizers), so any exact repeat of k + w - 1
 words leaves a seed. Documents are joined to the first document (by doc_id) that has a seed: rows grow with the
-documents, not with their pairs. Between a document and an earlier one, or earlier words of its own, the matches that keep their order are chained: the
-best chain ends are found through a Fenwick tree over the earlier document's positions, with a cost for the words that
+documents, not with their pairs. Between a document and an earlier one, or earlier words of its own, matches that touch are
+joined to equal runs, and the runs that keep their order are chained: the best of all predecessors within reach is taken, with a cost for the words that
 a gap skips. Chains are then aligned word by word between their seeds and beyond their ends; a chain that isn't equal enough
 as a whole is cut at its gaps into the longest parts that are. What the alignments of
 a document cover is merged: passages of at least `least` words are repeats.
@@ -15,7 +15,6 @@ one document; rows without a doc_id are left alone. Other columns are ignored by
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,54 +47,44 @@ def seeds(ids: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], at
 
 
-class Fenwick:
-    """Prefix maxima over positions 0..n-1, each with the element that attains it."""
+def anchors(here: np.ndarray, there: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal runs (word here, word there, length) of matches: those of one diagonal that overlap or touch are one. Ordered by place."""
+    order = np.lexsort((here, here - there))
+    x, y = here[order], there[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (np.diff(x - y) != 0) | (np.diff(x) > K)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x)) - 1
+    return sorted(zip(x[first].tolist(), y[first].tolist(), (x[last] - x[first] + K).tolist(), strict=True))
 
-    def __init__(self, n: int) -> None:
-        self.best: list[tuple[float, int]] = [(float("-inf"), -1)] * (n + 1)
 
-    def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
+def chains(parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of equal runs in order of both texts; each run is in one chain.
 
-    def top(self, i: int) -> tuple[float, int]:
-        """The maximum over positions below i."""
-        out = (float("-inf"), -1)
-        while i > 0:
-            out = max(out, self.best[i])
-            i -= i & -i
-        return out
-
-
-def chains(here: list[int], there: list[int]) -> list[list[int]]:
-    """Chains of matches (word here = word there), each a list of indices, in order of both texts.
-
-    A chain's score is K words a match (less what two matches share) minus GAP_COST for each word that the longer side of a gap skips.
-    With the gap cost split into a part for each end, the best predecessor is a prefix maximum.
+    A chain's score is a word's worth for each equal word (less what two runs share) minus GAP_COST for each word that the longer side
+    of a gap skips and for each word of a change of diagonal. Predecessors are all runs that end at most MOST_GAP words before on
+    both sides: runs come by their first words, and those that have fallen out of reach leave the window.
     """
-    order = sorted(range(len(here)), key=lambda m: (here[m], -there[m]))
-    places = sorted(set(there))
-    tree = Fenwick(len(places))
-    score, back = [0.0] * len(here), [-1] * len(here)
-    for m in order:
-        value, p = tree.top(bisect_left(places, there[m]))
-        score[m] = float(K)
-        if p >= 0:
-            dx, dy = here[m] - here[p], there[m] - there[p]
-            if 0 < dx and 0 < dy and max(dx, dy) - K <= MOST_GAP:
-                gain = score[p] + min(K, dx, dy) - GAP_COST * (max(dx - K, dy - K, 0) + abs(dx - dy))
-                if gain > score[m]:
-                    score[m], back[m] = gain, p
-        tree.put(bisect_left(places, there[m]), (score[m] + GAP_COST * (here[m] + there[m]), m))
+    score, back = [0.0] * len(parts), [-1] * len(parts)
+    window: list[int] = []
+    for m, (x, y, n) in enumerate(parts):
+        window = [p for p in window if parts[p][0] + parts[p][2] >= x - MOST_GAP]
+        score[m] = float(n)
+        for p in window:
+            u, v, k = parts[p]
+            if u < x and v < y and y - v - k <= MOST_GAP:
+                shared = max(0, u + k - x, v + k - y)
+                if shared < n:
+                    gain = score[p] + n - shared - GAP_COST * (max(x - u - k, y - v - k, 0) + abs((x - u) - (y - v)))
+                    if gain > score[m]:
+                        score[m], back[m] = gain, p
+        window.append(m)
     used, out = set(), []
-    for m in sorted(range(len(here)), key=lambda m: -score[m]):
+    for m in sorted(range(len(parts)), key=lambda m: -score[m]):
         path = []
         while m >= 0 and m not in used:
             used.add(m)
-            path.append(m)
+            path.append(parts[m])
             m = back[m]
         if path:
             out.append(path[::-1])
@@ -220,8 +209,7 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows doc_id, first_id, at, first_at sorted so: chains that may be part of a repeat."""
     for part in sections(batches, 2):
-        here, there = part.column(2).to_pylist(), part.column(3).to_pylist()
-        found = [[(here[m], there[m]) for m in c] for c in chains(here, there)]
+        found = chains(anchors(part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64)))
         if found:
             yield {"doc_id": [part.column(0)[0].as_py()], "first_id": [part.column(1)[0].as_py()], "chains": [[[v for p in c for v in p] for c in found]]}
 
@@ -254,10 +242,10 @@ def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
                 a, b = hashes.of(x.lower())[0], of(y)
                 spans = []
                 for c in cs:
-                    pairs = list(zip(c[::2], c[1::2], strict=True))
-                    if pairs[-1][0] + K > len(a) or pairs[-1][1] + K > len(b):
+                    parts = list(zip(c[::3], c[1::3], c[2::3], strict=True))
+                    if any(i + n > len(a) or j + n > len(b) for i, j, n in parts):
                         continue  # of another row with the same doc_id
-                    spans += aligned(a, b, [(i, j, K) for i, j in pairs], d == f)
+                    spans += aligned(a, b, parts, d == f)
                 for k, v in zip(out, (d, f, spans), strict=True):
                     out[k].append(v)
             yield out

@@ -141,6 +141,19 @@ def test_fuzzy_passage_after_a_long_one(spark):
     assert got == {(2, 0, 400), (2, 460, 628)}
 
 
+def test_evenly_spread_changes(spark):
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    docs, want = [], set()
+    for k in range(40):
+        step, first = 5 + k % 4, fresh(60)
+        fuzzy = [f"new{j}" if j % step == step - 1 else w for j, w in enumerate(first)]
+        docs += [(2 * k, fresh(20) + first + fresh(20)), (2 * k + 1, fresh(9) + fuzzy + fresh(9))]
+        want.add((2 * k + 1, 9, 69 - (60 % step == 0)))  # a change at the end isn't in the passage
+    got = {(r.doc_id, r.start_word, r.end_word) for r in substring.passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert got == want
+
+
 def quality_tables(spark, n=400):
     rnd = random.Random(8)
     docs, labels = [], []

@@ -1,12 +1,11 @@
 """Substring dedup by collinear chaining.
 
-Seeds are hashes of k words; of each run of w seeds the least is kept (minimizers), so any exact repeat of k + w - 1
-words leaves a seed. Documents are joined to the first document (by doc_id) that has a seed: rows grow with the
-documents, not with their pairs. Between a document and an earlier one, or earlier words of its own, matches that touch are
+Seeds are hashes of all runs of k words, so any exact repeat of k words leaves a seed. Documents are joined to the first
+document (by doc_id) that has a seed: rows grow with the documents, not with their pairs. Between a document and an earlier one, or earlier words of its own, matches that touch are
 joined to equal runs, and the runs that keep their order are chained: the best of all predecessors within reach is taken, with a cost for the words that
 a gap skips. Chains are then aligned word by word between their seeds and beyond their ends; a chain that isn't equal enough
 as a whole is cut at its gaps into the longest parts that are. What the alignments of
-a document cover is merged: passages of at least `least` words are repeats.
+a document cover is merged, from alignments of six words on: passages of at least `least` words are repeats.
 
 The first occurrence of a passage, by (doc_id, word), is never marked. Words are runs outside [\\x20\\x09-\\x0D], A-Z
 lower-cased. Null and empty texts and texts of fewer than k words have no passages. Rows that repeat a doc_id count as
@@ -24,27 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, arrow, mixed, sections, spread, texts_of, tune
 
-K, W = 6, 8
+#: Words of a seed: where IDENTITY of 50 words or more are equal and the others changed, so many equal ones stand together somewhere.
+K = 4
+#: Words that an alignment has at least: shorter ones are stock phrases.
+SHORTEST = 6
 #: Words that a gap in a chain may skip on either side; cost of a skipped word, against 1 for a matched one.
 MOST_GAP, GAP_COST = 40, 0.25
 #: Share of the words of an alignment that must be equal.
 IDENTITY = 0.8
 
 
-def seeds(ids: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the minimizers of a word sequence."""
+def seeds(ids: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of K words of a word sequence, by first word."""
     n = len(ids) - K + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = mixed(sum(ids[j : n + j] * factor[j] for j in range(K)))
-    if n <= W:
-        at = np.array([int(np.argmin(h))])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, W)
-        at = np.argmin(view, 1) + np.arange(n - W + 1)
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # places never go back
-    return h[at], at
+        return mixed(sum(ids[j : n + j] * factor[j] for j in range(K)))
 
 
 def anchors(here: np.ndarray, there: np.ndarray) -> list[tuple[int, int, int]]:
@@ -172,9 +167,9 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
             ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) - 1).tolist()
             found = [seeds(w[a:b], factor) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield {
-                "seed": np.concatenate([h for h, _ in found]).view(np.int64),
-                "doc_id": np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found]),
-                "at": np.concatenate([at for _, at in found]).astype(np.int32),
+                "seed": np.concatenate(found).view(np.int64),
+                "doc_id": np.repeat(batch.column(0).to_numpy(), [len(h) for h in found]),
+                "at": np.concatenate([np.arange(len(h), dtype=np.int32) for h in found]),
             }
 
     def pair(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -245,7 +240,7 @@ def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
                     parts = list(zip(c[::3], c[1::3], c[2::3], strict=True))
                     if any(i + n > len(a) or j + n > len(b) for i, j, n in parts):
                         continue  # of another row with the same doc_id
-                    spans += aligned(a, b, parts, d == f)
+                    spans += [s for s in aligned(a, b, parts, d == f) if s[1] - s[0] >= SHORTEST]
                 for k, v in zip(out, (d, f, spans), strict=True):
                     out[k].append(v)
             yield out

@@ -102,6 +102,15 @@ def test_disclosing_words(spark):
     assert pii.sanitised(frame(spark, rows), False).where("doc_id = 50").first().text == "  at [PHONE] please"
 
 
+def test_words_that_tell_a_value_of_one_document(spark):
+    rows = [(i, f"plain text number {i} and words that all documents have") for i in range(40)]
+    told = "Quillfeather, badge 90417 and k77x, " + "words that all documents have " * 9 + "write to q.f@mail.example and text"
+    got = pii.digests(frame(spark, [*rows, (50, told)])).where("doc_id = 50").first()
+    spans = [s.split(":") for s in got.spans.split(",")]
+    assert [told[int(a) : int(b)] for k, a, b in spans if k == "email"] == ["q.f@mail.example"]
+    assert [told[int(a) : int(b)] for k, a, b in spans if k == "term"] == ["Quillfeather", "badge", "90417", "k77x", "write"]
+
+
 def test_main_path_is_native(spark):
     plan = pii.digests(frame(spark, [(1, "a@b.cd")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

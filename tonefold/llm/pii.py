@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame and SQL functions only.
 
 Base spans come from patterns: e-mail and IP addresses, payment cards, telephone numbers. Every distinct value is a
-protected entity. Over the whole corpus, the words near an entity are counted with it, and a word's
+protected entity. Over the whole corpus, the words of its documents are counted with an entity, and a word's
 pointwise mutual information with the entity is held against the entity's information content:
 
-    PMI(t; e) = log(n(t, e) N / (n(t) n(e)))  >=  IC(e) / alpha = log(N / n(e)) / alpha
+    PMI(t; e) = log(P(e | t) N / n(e))  >=  IC(e) / alpha = log(N / n(e)) / alpha
+    P(e | t) = (n(t, e) + prior n(e) / N) / (n(t) + prior)
 
-(n: documents; n(t, e): documents in which t stands within `reach` characters of e, at least `support` of them).
+(n: documents; n(t, e): documents that hold both; smoothed by `prior` documents in which t and e are independent, so that
+an entity of a single document can be told too). Words are runs of letters and digits, of three at least.
 Such a word gives the entity away; in the documents that hold the entity its occurrences become spans of kind term.
 sanitised() generalises base spans to their kind and generalises or removes the terms.
 
@@ -68,31 +70,36 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: F.char_length(w) >= 3)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 1.25, support: int = 2, reach: int = 80) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
     """row, terms: of the rows of found (row, text, spans of all kinds), the words to hide in each.
 
     found: only documents with base spans. docs: text of all documents.
     """
-    around = "concat_ws(' ', substr(text, cast(greatest(x.start - {r}, 0) as int) + 1, cast(least(x.start, {r}) as int)), substr(text, cast(x.end as int) + 1, {r}))".format(r=reach)
-    near = found.select("row", "text", F.explode("spans").alias("x")).select("row", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity"), F.array_distinct(_words(F.expr(around))).alias("near"))
-    near = scratch.table(near, "near")
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("row", "entity", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = scratch.table(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    held = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    held = held.join(terms, "term", "left_semi")
-    total = docs.count()
-    pmi = F.log(F.col("n_te") * F.lit(float(max(total, 1))) / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    told = pairs.join(entities, "entity").join(held, "term").where(pmi >= content / F.lit(alpha)).groupBy("entity").agg(F.collect_set("term").alias("terms"))  # bounded by the words near an entity that hardly occur elsewhere
-    return near.select("row", "entity").distinct().join(told, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-
-
-def spans(docs: DataFrame, alpha: float = 1.25, support: int = 2, reach: int = 80) -> DataFrame:
+    total = float(max(docs.count(), 1))
+    held = scratch.table(docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "held")
+    holds = scratch.table(found.select("row", F.explode("spans").alias("x")).select("row", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")).distinct(), "holds")
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
+    holds = scratch.table(holds.join(entities, "entity"), "entities")
+    # as n(t, e) <= n(e), a more frequent word can't reach the threshold: words are dropped by this bound, which loses none, before pairs are made
+    most = lambda n: (F.col(n) + prior * F.col(n) / total) * F.pow(total / F.col(n), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+    rows = holds.groupBy("row").agg(F.max("n_e").alias("top_e"))
+    # values of the patterns aren't words of the text: they are hidden anyway
+    masked = F.expr("concat_ws(' ', transform(sequence(0, size(spans)), i -> substr(text, cast(if(i = 0, 0, ends[i - 1]) as int) + 1, cast(if(i = size(spans), char_length(text), starts[i]) - if(i = 0, 0, ends[i - 1]) as int))))")
+    near = found.withColumn("starts", F.expr("array_sort(transform(spans, s -> s.start))")).withColumn("ends", F.expr("array_sort(transform(spans, s -> s.end))"))
+    near = near.select("row", F.explode(F.array_distinct(_words(masked))).alias("term")).join(rows, "row")
+    top = rows.agg(F.max("top_e").alias("top_e")).first()["top_e"] or 1
+    rare = held.where(F.col("n_t") + prior <= (top + prior * top / total) * (total / top) ** (1 - 1 / alpha) * (1 + 1e-9))
+    near = scratch.table(near.join(rare, "term").where(F.col("n_t") + prior <= most("top_e")).select("row", "term", "n_t"), "near")
+    pairs = near.join(holds, "row").where(F.col("n_t") + prior <= most("n_e"))
+    pmi = F.log((F.col("n_te") + prior * F.col("n_e") / total) / (F.col("n_t") + prior) * total / F.col("n_e"))
+    told = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(pmi >= F.log(total / F.col("n_e")) / F.lit(alpha)).select("entity", "term")
+    return pairs.select("row", "entity", "term").join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))  # as many as the document has words
+
+
+def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
     """doc_id, row, one column of spans for each kind, term (spans of disclosing words outside the base spans)."""
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -101,9 +108,9 @@ def spans(docs: DataFrame, alpha: float = 1.25, support: int = 2, reach: int = 8
     known = known.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))  # only these are looked at again
     known = scratch.table(known, "base")
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
-    hide = scratch.table(disclosing(rows.select("text"), some, scratch, alpha, support, reach), "hide")
+    hide = scratch.table(disclosing(rows.select("text"), some, scratch, alpha, prior), "hide")
     both = known.join(hide, "row", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
     marked = _occurrences(F.col("text"), pattern, "term", both.where("terms is not null"))
     marked = marked.withColumn("term", F.expr("filter(term, t -> not exists(spans, s -> s.start < t.end and t.start < s.end))"))
     plain = both.where("terms is null").withColumn("term", F.expr(f"cast(array() as {_SPAN})"))

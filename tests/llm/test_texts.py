@@ -111,6 +111,12 @@ def test_words_that_tell_a_value_of_one_document(spark):
     assert [told[int(a) : int(b)] for k, a, b in spans if k == "term"] == ["Quillfeather", "badge", "90417", "k77x", "write"]
 
 
+def test_repeated_rows_count_once_in_disclosure(spark):
+    rows = [(i, f"plain text number {i}") for i in range(40)] + [(50, "Quillfeather writes to q.f@mail.example")] * 30
+    got = {r.spans for r in pii.digests(frame(spark, rows)).where("doc_id = 50").collect()}
+    assert got == {"email:23:39,term:0:12,term:13:19"}
+
+
 def test_main_path_is_native(spark):
     plan = pii.digests(frame(spark, [(1, "a@b.cd")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

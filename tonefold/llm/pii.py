@@ -76,10 +76,10 @@ def _words(text: Column) -> Column:
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
     """row, terms: of the rows of found (row, text, spans of all kinds), the words to hide in each.
 
-    found: only documents with base spans. docs: text of all documents.
+    found: only documents with base spans. docs: row and text of all documents; repeated rows count once.
     """
-    total = float(max(docs.count(), 1))
-    held = scratch.table(docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "held")
+    total = float(max(docs.select("row").distinct().count(), 1))
+    held = scratch.table(docs.select("row", "text").distinct().select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "held")
     holds = scratch.table(found.select("row", F.explode("spans").alias("x")).select("row", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")).distinct(), "holds")
     entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
     holds = scratch.table(holds.join(entities, "entity"), "entities")
@@ -108,7 +108,7 @@ def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame
     known = known.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))  # only these are looked at again
     known = scratch.table(known, "base")
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
-    hide = scratch.table(disclosing(rows.select("text"), some, scratch, alpha, prior), "hide")
+    hide = scratch.table(disclosing(rows.select("row", "text"), some, scratch, alpha, prior), "hide")
     both = known.join(hide, "row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
     marked = _occurrences(F.col("text"), pattern, "term", both.where("terms is not null"))

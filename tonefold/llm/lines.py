@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
 The tokens of a line are its word shingles (k words; shorter lines are one token). They are ordered by rarity over
-the whole corpus; prefix, length and positional filters leave the lines that can reach the threshold, whose Jaccard
-is then counted exactly. A line goes if an earlier line, by (doc_id, line number), has the same tokens or a Jaccard
+the whole corpus; prefix and length filters, and a positional filter in blocks of few pairs or a union bound in larger ones, leave
+the lines that can reach the threshold, whose Jaccard is then counted exactly. A line goes if an earlier line, by (doc_id, line number), has the same tokens or a Jaccard
 of at least percent / 100, whether that line itself stays or goes.
 
 Lines are what newline characters separate; lines without words always stay. A null text stays null and has no lines.

@@ -4,8 +4,8 @@
    class from here on) and counts shingles in a sketch of fixed size, from which rarity is read.
 2. A second pass orders each set by rarity and emits its prefix: as two sets with Jaccard >= t share
    SHARED elements of their first n - ceil(t n) + SHARED, only sets that share so many can link.
-3. blocks.py gathers such sets into groups and opens blocks against blocks; there the length,
-   positional and union bounds are applied and overlaps counted exactly.
+3. blocks.py gathers such sets into groups and opens blocks against blocks; there the length
+   filter and the positional one (up to 36 pairs) or the union bound (more) are applied and overlaps counted exactly.
 
 Words are maximal runs outside [\\x20\\x09-\\x0D] after A-Z are lower-cased; an item with fewer than k
 words is one shingle; an item without words has the empty set and links with nothing.

@@ -3,18 +3,16 @@
 The automaton's labels are tokens; it accepts exactly the token sequences that the merge list yields. It
 begins with one state in which every byte loops. Each merge (u, v) -> w, in order of rank, adds a
 gadget: wherever an arc u is followed by an arc v, the state between them is split so that v can no longer
-follow, and an arc w leads past both. As every arc of a label leads to one state, states are labels, and
-whether p has an arc s is settled by the younger of the two: its gadget copied the arc row of its second
-part (if p is younger), or was added next to the arc of its first part (if s is younger), unless a
-merge had removed that arc before. The arc rows of 50,000 states aren't written out; an entry of the
-transition table is derived from the gadgets when first asked for and then looked up.
+follow, and an arc w leads past both. Every arc of a label leads to one state, so states are labels: w's arc row is
+a copy of v's, its column a copy of u's. Rows are compiled into ranges of the columns that they lack.
 
-A word is encoded by table-driven transitions along the one path whose labels spell it: any prefix of an
-accepted sequence is itself what the merges make of its bytes, so each position is reached in one way at
-most. Decoding emits the labels of the arcs.
+A word is encoded by transitions alone: a byte automaton tells which tokens end at a place, and the one to which an arc leads
+from the state before it is taken; there is exactly one, as any prefix of an accepted sequence is itself
+what the merges make of its bytes. Nothing is tried twice. Decoding emits the labels of the arcs.
 
 Texts are split into words by the pre-tokenizer's pattern; special tokens in a text are cut out first.
-A null text counts as empty: no tokens, empty decoded text. Repeated rows, ties and other columns don't matter.
+A null text counts as empty: no tokens, empty decoded text. Very long texts and words take time in proportion to their bytes.
+Repeated rows get a row each; nothing is ordered, so there are no ties; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +21,8 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,85 +43,157 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Automaton:
+    """States are labels (the token read last) and a start; the arc of a label leads to its state."""
+
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
-        """Compiles merges by adding a gadget for each, in order."""
-        self.label = [b""] * (max(vocab.values()) + 1)
+        """Compiles merges by adding a gadget for each, in order. Merges of what isn't in the vocabulary, and those that can never happen
+        as their parts never meet, add none; two merges that make one token raise ValueError."""
+        self.n = n = max(vocab.values()) + 1
+        self.label = [b""] * n
         for t, i in vocab.items():
             self.label[i] = t
-        n = len(self.label)
-        self.born = [0] * n  # when the label's gadget was added; bytes: 0
-        self.left, self.right = [-1] * n, [-1] * n
-        self.cut: dict[int, int] = {}  # arc (p, s), as p * n + s: when a gadget removed it
-        self.n = n
+        born, left, right = [0] * n, [-1] * n, [-1] * n
+        made = [len(t) == 1 for t in self.label]
+        gone: dict[int, int] = {}  # arc (p, s), as p * n + s: when a gadget removed it
+
+        def alive(p: int, s: int, when: int) -> bool:
+            """Whether the arc is there before the gadget numbered when: rows and columns are followed back to what they were copied from."""
+            while True:
+                if gone.get(p * n + s, when) < when:
+                    return False
+                if not born[p] and not born[s]:
+                    return True
+                if born[p] > born[s]:  # p's row is a copy of its second part's
+                    when, p = born[p], right[p]
+                else:  # s was added beside its first part, in states split already
+                    when, s = born[s] + 1, left[s]
+
+        gadgets: list[tuple[int, int, int]] = []
         for rank, (u, v) in enumerate(merges, 1):
-            a, b = vocab[u], vocab[v]
-            if (w := vocab.get(u + v)) is None:
+            a, b, w = vocab.get(u, -1), vocab.get(v, -1), vocab.get(u + v, -1)
+            if min(a, b, w) < 0 or not (made[a] and made[b] and alive(a, b, rank)):
                 continue
-            self.cut.setdefault(a * n + b, rank)
-            if self.left[w] < 0 and len(self.label[w]) > 1:
-                self.born[w], self.left[w], self.right[w] = rank, a, b
-        self.ids = vocab
+            if made[w]:
+                raise ValueError(f"two merges make {u + v!r}")
+            born[w], left[w], right[w], made[w] = rank, a, b, True
+            gone[a * n + b] = rank
+            gadgets.append((a, b, rank))
+        self._rows(gadgets, born, left, right)
+        self._words([t for t in range(n) if made[t]])
         self.arcs: dict[int, bool] = {}
-        #: By the first four bytes: the length of the longest token that begins so.
-        self.reach: dict[bytes, int] = {}
-        for t in vocab:
-            if len(t) > 3:
-                self.reach[t[:4]] = max(self.reach.get(t[:4], 4), len(t))
+
+    def _rows(self, gadgets: list[tuple[int, int, int]], born: list[int], left: list[int], right: list[int]) -> None:
+        """The arc rows of all states. Rows that were copied from a's after a gadget removed its arc b lack the arc, and so do the columns
+        copied from b's; with copies numbered next to what they were copied from, youngest first, both are ranges of numbers.
+        Each row holds the ranges of columns that it lacks; all rows stand in one ascending array of row * n + column."""
+        row, rows = _numbered(right, born)
+        col, cols = _numbered(left, born)
+        lacks = [(row[a], rows(a, k + 1), col[b], cols(b, k)) for a, b, k in gadgets]
+        first, many, start, width = (np.array(x, np.int64) for x in zip(*lacks, strict=True)) if lacks else [np.empty(0, np.int64)] * 4
+        each = np.repeat(np.arange(len(many)), many)
+        at = (first[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)) * self.n + start[each]
+        order = np.argsort(at, kind="stable")
+        at, end = at[order], np.maximum.accumulate((at + width[each])[order])
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] > end[:-1]
+        last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+        self.bounds = array("q", np.column_stack([at[new], end[last] if len(at) else end]).reshape(-1).tolist())
+        self.row, self.col = [r * self.n for r in row], col
+
+    def _words(self, tokens: list[int]) -> None:
+        """The transitions over bytes: a state for each beginning of a token, the longest token that ends there, and after it the next shorter one."""
+        self.go: dict[int, int] = {}
+        at, parent, letter, node_of = [-1], [0], [0], {}
+        for t in tokens:
+            node = 0
+            for byte in self.label[t]:
+                if (to := self.go.get(node << 8 | byte)) is None:
+                    to = self.go[node << 8 | byte] = len(at)
+                    at.append(-1)
+                    parent.append(node)
+                    letter.append(byte)
+                node = to
+            at[node], node_of[t] = t, node
+        depth = [0] * len(at)
+        for x in range(1, len(at)):
+            depth[x] = depth[parent[x]] + 1
+        self.back, longest, own = [0] * len(at), [-1] * len(at), dict(self.go)
+        for x in sorted(range(1, len(at)), key=depth.__getitem__):
+            if parent[x]:
+                f = self.back[parent[x]]
+                while f and (f << 8 | letter[x]) not in own:
+                    f = self.back[f]
+                self.back[x] = own.get(f << 8 | letter[x], 0)
+            longest[x] = at[x] if at[x] >= 0 else longest[self.back[x]]
+        self.longest = longest
+        self.shorter = [-1] * self.n
+        for t, x in node_of.items():
+            self.shorter[t] = longest[self.back[x]]
+        self.size = [len(t) for t in self.label]
+
+    def _step(self, node: int, byte: int) -> int:
+        """An entry of the byte transitions that follows from others; kept from then on."""
+        x = node
+        while (to := self.go.get(x << 8 | byte)) is None and x:
+            x = self.back[x]
+        to = to or 0
+        if len(self.go) < 4_000_000:
+            self.go[node << 8 | byte] = to
+        return to
 
     def arc(self, p: int, s: int) -> bool:
         """The transition table: whether s may follow p."""
-        key = p * self.n + s
-        if (known := self.arcs.get(key)) is None:
-            if len(self.arcs) > 2_000_000:
-                self.arcs.clear()
-            known = self.arcs[key] = self._alive(p, s, 1 << 60)
-        return known
-
-    def _alive(self, p: int, s: int, when: int) -> bool:
-        """Whether the arc is there before the gadget numbered when is added."""
-        born, cut, n = self.born, self.cut, self.n
-        while True:
-            if cut.get(p * n + s, when) < when:
-                return False
-            if not born[p] and not born[s]:
-                return True
-            if born[p] > born[s]:  # p's row is a copy of its second part's
-                when, p = born[p], self.right[p]
-            else:  # s was added beside its first part, in states split already
-                when, s = born[s] + 1, self.left[s]
+        return not bisect_right(self.bounds, self.row[p] + self.col[s]) & 1
 
     def run(self, word: bytes) -> list[int]:
-        """The token ids of a word: the one accepting path. Longer arcs are tried first; a position that the
-        merges reach in one way only and that leads nowhere is never entered twice, so a run takes linear time."""
-        n, ids, arcs, width, reach = len(word), self.ids, self.arcs, self.n, self.reach
-        out: list[int] = []
-        dead: set[int] = set()
-        i, p = 0, -1
-        while i < n:
-            for j in range(min(n, i + reach.get(word[i : i + 4], 3)), i, -1):
-                if (t := ids.get(word[i:j])) is None or j in dead:
-                    continue
-                if p < 0:
-                    ok = self._reached(word[:j], t)
-                elif (ok := arcs.get(p * width + t)) is None:
-                    ok = self.arc(p, t)
+        """The token ids of a word: the labels of its one accepting path.
+
+        What precedes any place on the path is the path of the bytes before it, so one token ends at each place: of the tokens that
+        end there the one to which an arc leads from the state that stands before it. Bytes are read once, from left to right.
+        """
+        n, go, longest, shorter, size, arcs = self.n, self.go, self.longest, self.shorter, self.size, self.arcs
+        last = [-1] * (len(word) + 1)
+        node = 0
+        for i, byte in enumerate(word, 1):
+            if (to := go.get(node << 8 | byte)) is None:
+                to = self._step(node, byte)
+            node = to
+            t = longest[node]
+            while (p := last[i - size[t]]) >= 0:
+                if (ok := arcs.get(p * n + t)) is None:
+                    if len(arcs) > 2_000_000:
+                        arcs.clear()
+                    ok = arcs[p * n + t] = self.arc(p, t)
                 if ok:
-                    out.append(t)
-                    i, p = j, t
                     break
-            else:
-                dead.add(i)
-                i -= len(self.label[out.pop()])
-                p = out[-1] if out else -1
-        return out
-
-    @lru_cache(maxsize=None)  # noqa: B019  at most one entry for each token
-    def _reached(self, word: bytes, t: int) -> bool:
-        """Whether the merges make the token out of its own bytes: its parts are made, and an arc joins them when it is born."""
-        if len(word) == 1:
-            return True
-        a, b = self.left[t], self.right[t]
-        return a >= 0 and self._reached(self.label[a], a) and self._reached(self.label[b], b) and self._alive(a, b, self.born[t])
+                t = shorter[t]
+            last[i] = t
+        out, i = [], len(word)
+        while i:
+            out.append(last[i])
+            i -= size[last[i]]
+        return out[::-1]
+
+
+def _numbered(parent: list[int], born: list[int]) -> tuple[list[int], Callable[[int, int], int]]:
+    """A number for each node, ahead of its children's, younger children first; and a function of a node and a time: how many numbers from
+    the node's on belong to it and to what descends from its children born then or later."""
+    n = len(parent)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for t in sorted(range(n), key=born.__getitem__):
+        if parent[t] >= 0:
+            kids[parent[t]].append(t)
+    number, seen, stack = [0] * n, [], [t for t in range(n) if parent[t] < 0]
+    while stack:
+        t = stack.pop()
+        number[t] = len(seen)
+        seen.append(t)
+        stack += kids[t]  # the youngest is taken next
+    size = [1] * n
+    for t in reversed(seen):
+        if parent[t] >= 0:
+            size[parent[t]] += size[t]
+    return number, lambda t, when: 1 + sum(size[c] for c in kids[t] if born[c] >= when)
 
 
 class _Words(dict):

@@ -43,6 +43,52 @@ def test_arcs_of_a_small_automaton():
     assert auto.run(b"aaab") == [aa, ab] and auto.run(b"aab") == [aa, b] and auto.run(b"aaaa") == [aa, aa]
 
 
+def gadgets(n, merges):
+    """The definition on whole rows: split the state between, let the new label past it."""
+    rows = {i: set(range(n)) for i in range(n)}
+    for w, (u, v) in enumerate(merges, n):
+        rows[w] = set(rows[v])
+        rows[u].discard(v)
+        for p in rows:
+            if u in rows[p]:
+                rows[p].add(w)
+    return rows
+
+
+def merged(word, merges, n):
+    out = list(word)
+    for w, (u, v) in enumerate(merges, n):
+        i = 0
+        while i + 1 < len(out):
+            if (out[i], out[i + 1]) == (u, v):
+                out[i : i + 2] = [w]
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_compiled_rows_are_those_of_the_gadgets(seed):
+    rnd = np.random.default_rng(seed)
+    n, label, merges = 3, [b"a", b"b", b"c"], []
+    while len(merges) < 25:  # as merges are learnt: of tokens that meet in a text, each making a new token
+        text = merged(rnd.integers(0, n, 400).tolist(), merges, n)
+        i = int(rnd.integers(0, len(text) - 1))
+        if label[text[i]] + label[text[i + 1]] not in label:
+            merges.append((text[i], text[i + 1]))
+            label.append(label[text[i]] + label[text[i + 1]])
+    auto = bpe.Automaton({t: i for i, t in enumerate(label)}, [(label[u], label[v]) for u, v in merges])
+    want = gadgets(n, merges)
+    assert all(auto.arc(p, s) == (s in want[p]) for p in range(len(label)) for s in range(len(label)))
+    for _ in range(50):
+        word = rnd.integers(0, n, int(rnd.integers(1, 40))).tolist()
+        assert auto.run(bytes(97 + x for x in word)) == merged(word, merges, n)
+
+
+def test_a_merge_that_never_happens():
+    vocab = {b"a": 0, b"b": 1, b"aa": 2, b"ab": 3, b"aab": 4}
+    assert bpe.Automaton(vocab, [(b"a", b"a"), (b"aa", b"b"), (b"aa", b"b")]).run(b"aab") == [4]  # the second never happens
+
+
 def test_digests_and_round_trip(spark):
     rows = corpus(20)
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(frame(spark, rows), PATH).collect()}
@@ -57,7 +103,7 @@ def test_digests_and_round_trip(spark):
 
 @pytest.mark.parametrize("block", [16, 4096])
 def test_token_counts(spark, block):
-    rows = [*corpus(30), (5000, "x<|endoftext|>y")]
+    rows = [*corpus(30), (5000, "x<|endoftext|>y"), (5001, "long text. " * 20_000)]
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
     got = tokens.counted(frame(spark, rows), PATH, 50256, block)

@@ -7,11 +7,14 @@ running maximum of separator positions gives the token at which a block's first
 sum of separator counts the number of that document in the file.
 
 A file that doesn't end with a separator ends with an unfinished document, which is counted, too (finished: false).
-Empty documents have 0 tokens; empty files hold none. A null text is an empty document; a repeated row is written again.
+Empty documents have 0 tokens; empty files hold none. A null text is an empty document; a repeated row is written again
+and counted again; a document may run over any number of blocks. Documents stand in a file in the order in which a task
+reads them, so there are no ties. A null doc_id is carried along; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -21,28 +24,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, arrow, tune
+from .common import Scratch, arrow
 from .warc import opened
 
 #: Bytes of a file that one search covers.
 BLOCK = 4 << 20
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, eod: int) -> DataFrame:
-    """Writes token files (32-bit, one a task, under a name of its own). Returns file, ordinal, doc_id of every document, and for each file a row with its size.
+def width_of(tokenizer: str, eod: int) -> int:
+    """Bytes of an id: 2 where all ids of the tokenizer and the separator fit."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max(eod, *spec["model"]["vocab"].values()) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, eod: int, width: int = 4) -> DataFrame:
+    """Writes token files (ids of width bytes, one file a task, under a name of its own). Returns file, ordinal, doc_id of every document, and for each file a row with its size.
 
     Lazily: materialise it, as each run writes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc, end = encoder(tokenizer), np.array([eod], "<u4").tobytes()
+        enc, end = encoder(tokenizer), np.array([eod], f"<u{width}").tobytes()
         where, at = opened(folder)
         where.create_dir(at, recursive=True)
         name, n, size = f"{uuid.uuid4().hex}.bin", 0, 0
         with where.open_output_stream(f"{at}/{name}", compression=None) as out:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
-                    size += out.write(enc.ordinary(text or "") + end)
+                    ids = enc.ordinary(text or "")
+                    size += out.write((ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()) + end)
                 k = batch.num_rows
                 yield {"file": [f"{folder}/{name}"] * k, "ordinal": np.arange(n, n + k), "doc_id": batch.column(0), "size": [None] * k}
                 n += k
@@ -85,7 +96,9 @@ def count(files: DataFrame, eod: int, width: int = 4, block: int = BLOCK) -> Dat
 def counted(docs: DataFrame, tokenizer: str, eod: int, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens of every row of docs: writes token files to the shared folder and scans them."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    tune(docs.sparkSession)
-    rows = scratch.table(write(docs, f"{scratch.root}/files", tokenizer, eod), "manifest")
-    found = count(rows.where("size is not null").select("file", "size"), eod, 4, block)
+    width = width_of(tokenizer, eod)
+    rows = scratch.table(write(docs, f"{scratch.root}/files", tokenizer, eod, width), "manifest")
+    found = scratch.table(count(rows.where("size is not null").select("file", "size"), eod, width, block), "counts")
+    where, at = opened(f"{scratch.root}/files")
+    where.delete_dir(at)  # all that is asked of them has been written
     return rows.where("ordinal is not null").join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,18 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def wide(spark: SparkSession) -> Iterator[None]:
+    """Larger Arrow batches for rows of a few numbers, while a table is written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder in place of caches: they survive the loss of executors."""
 
@@ -71,6 +84,24 @@ def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]
     return df.mapInArrow(run, schema)
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column (an integer), batches that hold all rows of each key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # rows of the last key may go on
+        if held and (cut or held[0].column(0)[0].as_py() != key[0]):
+            yield joined([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield joined(held)
+
+
 def sections(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by their first columns (integers), the rows of each key, one after another."""
     held: list[pa.RecordBatch] = []

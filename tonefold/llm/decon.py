@@ -1,223 +1,313 @@
 """Benchmark decontamination over suffix arrays of the training text.
 
-Each batch of documents is a shard: its words, joined, have a suffix array over all positions from which a
-benchmark word sequence can start. Every suffix of every benchmark item is searched in it by binary search,
-which gives its longest verbatim match and the places of that match. An item's windows are its runs of
-`window` words (the whole item, if it has fewer); a suffix whose match is as long as its window contaminates
-the words at those places.
-
-The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over the documents each,
-so what is sent out stays bounded; a single item larger than that is a block of its own.
-
-Words: A-Z lower-cased, then runs of digits, letters and anything beyond ASCII. Null and empty texts have no words, are
-never contaminated and, as items, never occur. Repeated rows are reported each; other columns are kept by
-remove_contaminated() and ignored by report().
+Documents are taken together into shards of about SHARD_WORDS words. A shard's words, with a separator of its own behind each
+document, get a suffix array over all positions. Every suffix of every benchmark item is searched in it by binary search, which
+gives its longest verbatim match and the places of that match. An item's windows are its runs of `window` words (the whole item,
+if it has fewer); where a suffix matches for a window at least, the words at those places are contaminated.
+
+The benchmark is written to the shared folder as word hashes, in files of about BLOCK_WORDS words (a longer item
+makes a longer file). Each shard is built once and held against one file after another, so a task holds one shard and one file, the driver
+holds neither, and documents are read once whatever the size of the benchmark.
+
+Words: A-Z lower-cased, then runs of digits, letters and anything beyond ASCII; they are compared by 64-bit hashes. Null and empty
+texts have no words, are never contaminated and, as items, never occur. A text longer than a shard is a shard of its own.
+Repeated rows are reported each. Items without an item_id contaminate, but aren't counted or named; items that repeat an item_id count once.
+Of equally long matches the first by place counts. Other columns are kept by remove_contaminated() and ignored by the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, texts_of, tune
+from .common import Scratch, WordHashes, arrow, texts_of
+from .warc import opened
 
-#: Benchmark words that a pass sends to the executors at most.
+#: Words of benchmark items in a file, and of documents in a shard; bytes of a shard's texts.
 BLOCK_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
+SHARD_BYTES = 16 << 20
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().translate(_WORD).split()
-
-
-class Suffixes:
-    """The suffixes of benchmark items, as queries: ids of their first `window` words, sorted."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int) -> None:
-        self.window, self.ids, rows, own, short = window, {}, [], [], []
-        for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if w else 0):
-                rows.append(w[i : i + size] + [0] * (window - size))
-                own.append(item)
-                short.append(size)
-        self.rows = np.array(rows, np.int64).reshape(-1, window)
-        self.item, self.size = np.array(own, np.int64), np.array(short, np.int64)
-        #: Hashes of the pairs of words (single words, for items of one word) with which a window begins.
-        heads = self.rows[:, 0] << 32 | (self.rows[:, 1] if window > 1 else 0)
-        self.heads = np.unique(heads[(self.size > 1) | (window == 1)])
-        self.ones = np.unique(self.rows[self.size == 1, 0])
-
-    def starts(self, w: np.ndarray) -> np.ndarray:
-        """Positions of w (word ids, 0 for words that no item has) that begin as a window does."""
-        ok = np.zeros(len(w), bool)
-        if self.window > 1:
-            pair = w[:-1] << 32 | w[1:]
-            at = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0))
-            k = np.searchsorted(self.heads, pair[at])
-            k[k == len(self.heads)] = 0
-            if len(self.heads):
-                ok[at[self.heads[k] == pair[at]]] = True
-        if len(self.ones):
-            ok |= np.isin(w, self.ones)
-        return np.flatnonzero(ok)
-
-
-def suffix_array(w: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The positions at, sorted by the depth words that begin there (w has depth zeros at its end)."""
-    order = np.arange(len(at))
-    for d in range(depth - 1, -1, -1):  # a radix sort, last word first
-        order = order[np.argsort(w[at[order] + d], kind="stable")]
-    return at[order]
-
-
-def matches(w: np.ndarray, sa: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of q: the length of its longest match among the suffixes and the range lo..hi of sa that has it.
-
-    Binary search narrows the range word by word and stops where it would become empty.
-    """
-    lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(sa), np.int64)
-    found = np.zeros(len(q), np.int64)
-    live = np.arange(len(q)) if len(sa) else np.empty(0, np.int64)
-    for d in range(q.shape[1]):
-        live = live[q[live, d] > 0]
-        if not len(live):
-            break
-
-        def edge(right: bool, want: np.ndarray, live: np.ndarray = live, d: int = d) -> np.ndarray:
-            a, b = lo[live].copy(), hi[live].copy()
-            while (open_ := a < b).any():
-                mid = (a + b) // 2
-                x = w[sa[np.minimum(mid, len(sa) - 1)] + d]
-                less = (x <= want) if right else (x < want)
-                a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-            return a
-
-        want = q[live, d]
-        a, b = edge(False, want), edge(True, want)
-        ok = a < b
-        live = live[ok]
-        lo[live], hi[live] = a[ok], b[ok]
-        found[live] = d + 1
-    return found, lo, hi
-
-
-def shard_hits(texts: list[bytes], test: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word counts; then document, first word, item of every occurrence of a window (with repeats of an item's windows)."""
-    words: list[bytes] = []
-    ends = []
-    gap = [b" "] * test.window  # stands between documents, so that no match runs across
-    for t in texts:
-        words += words_of(t)
-        ends.append(len(words))
-        words += gap
-    ids = test.ids
-    w = np.fromiter(map(ids.get, words, [0] * len(words)), np.int64, len(words))
-    begins = np.concatenate([[0], np.array(ends[:-1], np.int64) + test.window]) if ends else np.empty(0, np.int64)
-    at = test.starts(w)
-    none = np.empty(0, np.int64)
-    n = np.array(ends, np.int64) - begins
-    if not len(at):
-        return n, none, none, none
-    sa = suffix_array(w, at, test.window)
-    found, lo, hi = matches(w, sa, test.rows)
-    full = np.flatnonzero(found >= test.size)
-    if not len(full):
-        return n, none, none, none
-    count = hi[full] - lo[full]
-    k = np.repeat(full, count)
-    pos = sa[np.repeat(lo[full], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    doc = np.searchsorted(begins, pos, side="right") - 1
-    return n, doc, pos - begins[doc], k
-
-
-def sent_blocks(benchmark: DataFrame) -> Iterator:
-    """The benchmark's items in broadcast blocks of about BLOCK_WORDS words, one after another."""
-    count = F.size(F.split(F.coalesce("text", F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
-    sized = benchmark.select("item_id", "text", count.cast("long").alias("size"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    for b in range(blocks):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = [(r.item_id, (r.text or "").encode()) for r in part.select("item_id", "text").toLocalIterator()]
-        yield benchmark.sparkSession.sparkContext.broadcast(items)
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int) -> list[DataFrame]:
-    """For each block of the benchmark: doc_id, n_words, spans (start and end word of merged hits), items."""
-    return [_pass(docs, sent, window) for sent in sent_blocks(benchmark)]
-
-
-def _pass(docs: DataFrame, sent, window: int) -> DataFrame:  # noqa: ANN001
+def words_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, one after another, and how many each text has."""
+    w, start = hashes.of(b"\n".join(texts).lower().translate(_WORD))
+    return w, np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+
+@dataclass
+class Block:
+    """Words of benchmark items, one after another. Of each word, as the first of a suffix: the item it is of, the words from
+    it to the item's end, and the words that a window takes there (0 where none begins)."""
+
+    words: np.ndarray
+    item: np.ndarray
+    left: np.ndarray
+    need: np.ndarray
+    ids: list
+
+
+@lru_cache(maxsize=2)
+def block(file: str, window: int) -> Block:
+    where, path = opened(file)
+    with where.open_input_file(path) as f:
+        rows = pq.read_table(f)
+    size = np.array([len(x) // 8 for x in rows["words"].to_pylist()], np.int64)
+    words = np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint64)
+    item = np.repeat(np.arange(len(size)), size)
+    left = np.cumsum(size)[item] - np.arange(len(words))
+    least = np.minimum(window, size)[item]
+    return Block(words, item, left, np.where(left >= least, least, 0), rows["item_id"].to_pylist())
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """All positions of t (numbers below 2 ** 21, if t is no longer than that), sorted by what follows, by prefix doubling; t has to end with a number that it has once."""
+    n = len(t)
+    bits = max(1, int(t.max()).bit_length()) if n else 1
+    depth = max(1, min(63 // bits, 3))  # so many numbers go into the first key
+    padded = np.concatenate([t, np.zeros(depth, np.int64)])
+    key = np.zeros(n, np.int64)
+    for d in range(depth):
+        key = key << bits | padded[d : d + n]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a position's rank: where those equal so far begin
+    rank = np.empty(n + 1, np.int64)
+    rank[order], rank[n] = first, -1
+    single = np.append(new[1:], True) & new
+    open_ = np.flatnonzero(~single)
+    while len(open_):  # only what is equal so far is sorted on
+        group, then = first[open_], rank[np.minimum(order[open_] + depth, n)]
+        turn = np.lexsort((then, group))
+        order[open_] = order[open_][turn]
+        then = then[turn]
+        new = np.ones(len(open_), bool)
+        new[1:] = (group[1:] != group[:-1]) | (then[1:] != then[:-1])
+        first[open_] = np.maximum.accumulate(np.where(new, open_, 0))
+        rank[order[open_]] = first[open_]
+        open_ = open_[~(np.append(new[1:], True) & new)]
+        depth *= 2
+    return order
+
+
+class Shard:
+    def __init__(self, words: np.ndarray, size: np.ndarray) -> None:
+        """words: of documents, one after another; size: how many each has."""
+        docs = len(size)
+        self.alphabet, number = np.unique(words, return_inverse=True)
+        self.begin = np.cumsum(size + 1) - size - 1
+        self.t = np.empty(len(words) + docs, np.int64)
+        own = np.ones(len(self.t), bool)
+        own[self.begin + size] = False
+        self.t[own] = number + docs
+        self.t[~own] = np.arange(docs)  # separators
+        self.sa = suffix_array(self.t)
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.t, minlength=docs + len(self.alphabet)))])
+        self.docs = docs
+
+    def search(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each suffix of the benchmark: the length of its longest match, the range of the suffix array that has it, and the range
+        that matches for a window (empty, if none does). The range is narrowed word by word until it would become empty."""
+        m, docs = len(b.words), self.docs
+        found, lo, hi = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        wlo, whi = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        k = np.minimum(np.searchsorted(self.alphabet, b.words), max(len(self.alphabet) - 1, 0))
+        known = self.alphabet[k] == b.words if len(self.alphabet) else np.zeros(m, bool)
+        symbol = np.where(known, k + docs, -1)
+        live = np.flatnonzero(known)
+        lo[live], hi[live] = self.at[symbol[live]], self.at[symbol[live] + 1]
+        d = 1
+        while len(live):
+            found[live] = d
+            full = live[b.need[live] == d]
+            wlo[full], whi[full] = lo[full], hi[full]
+            live = live[b.left[live] > d]
+            live = live[symbol[live + d] >= 0]
+            want = symbol[live + d]
+            start = self._edge(lo[live], hi[live], want, d)
+            end = self._edge(start, hi[live], want + 1, d)
+            ok = start < end
+            live = live[ok]
+            lo[live], hi[live] = start[ok], end[ok]
+            d += 1
+        return found, lo, hi, wlo, whi
+
+    def _edge(self, a: np.ndarray, b: np.ndarray, want: np.ndarray, d: int) -> np.ndarray:
+        """The first place in a..b whose suffix has, d words on, the word wanted or a later one."""
+        a, b = a.copy(), b.copy()
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            less = self.t[self.sa[mid] + d] < want[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        return a
+
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ranges of the suffix array: number of the range, document and word of each place."""
+        n = hi - lo
+        k = np.repeat(np.arange(len(n)), n)
+        pos = self.sa[np.repeat(lo, n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)]
+        doc = np.searchsorted(self.begin, pos, "right") - 1
+        return k, doc, pos - self.begin[doc]
+
+
+def prepared(benchmark: DataFrame, scratch: Scratch) -> list[str]:
+    """Writes the words of the items that have any; returns the files."""
+    types = pa.schema([("item_id", pa.int64()), ("words", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        test = Suffixes(sent.value, window)
+        hashes = WordHashes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            n, doc, first, k = shard_hits(texts_of(batch), test)
-            spans: list[list] = [[] for _ in ids]
-            items: list[set] = [set() for _ in ids]
-            order = np.lexsort((first, doc))
-            for d, a, b, i in zip(doc[order].tolist(), first[order].tolist(), (first + test.size[k])[order].tolist(), test.item[k][order].tolist(), strict=True):
-                items[d].add(i)
+            w, n = words_of(texts_of(batch), hashes)
+            parts = np.split(w, np.cumsum(n)[:-1]) if len(n) else []
+            keep = np.flatnonzero(n)
+            yield {"item_id": batch.column(0).take(pa.array(keep)), "words": [parts[i].tobytes() for i in keep]}
+
+    items = scratch.table(arrow(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, "item_id long, words binary", types), "items")
+    total = items.agg(F.sum(F.length("words") / 8)).first()[0]
+    if not total:
+        return []
+    return sorted(scratch.table(items.repartition(int(-(-total // BLOCK_WORDS))), "benchmark").inputFiles())
+
+
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], Shard, np.ndarray]]:
+    """Batches, taken together, with the shard of their texts (of about `most` words) and the number of words of each text."""
+    hashes = WordHashes()
+    held: list[pa.RecordBatch] = []
+    words: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    total = 0
+
+    def out() -> tuple[list[pa.RecordBatch], Shard, np.ndarray]:
+        size = np.concatenate(sizes)
+        return held, Shard(np.concatenate(words), size), size
+
+    for batch in batches:
+        texts = texts_of(batch)
+        a = 0
+        while a < len(texts):  # a shard ends before the text that would make it too large
+            b, n = a + 1, len(texts[a])
+            while b < len(texts) and n + len(texts[b]) <= SHARD_BYTES:
+                n += len(texts[b])
+                b += 1
+            w, size = words_of(texts[a:b], hashes)
+            if held and total + len(w) > most:
+                yield out()
+                held, words, sizes, total = [], [], [], 0
+            held.append(batch.slice(a, b - a))
+            words.append(w)
+            sizes.append(size)
+            total += len(w)
+            a = b
+    if held:
+        yield out()
+
+
+def _hits(shard: Shard, files: list[str], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Block]]:
+    """For each file: document, first word, suffix and words of every occurrence of a window."""
+    for file in files:
+        b = block(file, window)
+        _, _, _, lo, hi = shard.search(b)
+        full = np.flatnonzero(lo < hi)
+        k, doc, at = shard.places(lo[full], hi[full])
+        yield doc, at, full[k], b.need[full[k]], b
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, spans (contaminated words, merged: start, end), items (sorted item_ids), longest (words of the longest run that a document and an
+    item have in common, of those that hold a window; else 0), of every row of docs."""
+    scratch = Scratch(docs.sparkSession, "decon")
+    files = prepared(benchmark, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for held, array, size in _shards(batches, shard):
+            spans: list[list] = [[] for _ in size]
+            items: list[set] = [set() for _ in size]
+            longest = [0] * len(size)
+            every = []
+            for doc, at, suffix, n, b in _hits(array, files, window):
+                for d, i in np.unique(np.column_stack([doc, b.item[suffix]]), axis=0).tolist():
+                    items[d].add(b.ids[i])
+                # occurrences one word on in both texts are one match
+                order = np.lexsort((at, suffix - at, doc))
+                d, x, s, n = doc[order], at[order], suffix[order], n[order]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1) | (s[1:] != s[:-1] + 1) | (b.item[s[1:]] != b.item[s[:-1]])
+                a = np.flatnonzero(new)
+                last = np.append(a[1:], len(d)) - 1 if len(a) else a
+                every.append(np.column_stack([d[a], x[a], x[last] + n[last]]))
+            for d, a, e in np.unique(np.concatenate(every), axis=0).tolist() if every else []:
+                longest[d] = max(longest[d], e - a)
                 if spans[d] and a <= spans[d][-1][1]:
-                    spans[d][-1][1] = max(b, spans[d][-1][1])
+                    spans[d][-1][1] = max(e, spans[d][-1][1])
                 else:
-                    spans[d].append([a, b])
-            yield {"doc_id": ids, "n_words": n, "spans": spans, "items": [sorted(x, key=lambda y: (y is None, y)) for x in items]}
-
-    types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, spans array<array<long>>, items array<long>", types)
-
-
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (merged, in words), items (sorted item_ids), of every row of docs.
-
-    With a benchmark of several blocks, rows are joined by a hash of doc_id and text, so equal rows keep equal results.
-    """
-    if len(parts := hits(docs, benchmark, window)) == 1:
-        return parts[0]
-    named = docs.select(F.struct("doc_id", "text").alias("row")).withColumn("doc_id", F.xxhash64("row")).select("doc_id", "row.text")
-    parts = hits(named, benchmark, window)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merge = """aggregate(array_sort(all), cast(array() as array<array<bigint>>), (acc, x) ->
-        case when size(acc) > 0 and x[0] <= element_at(acc, -1)[1]
-        then concat(slice(acc, 1, size(acc) - 1), array(array(element_at(acc, -1)[0], greatest(x[1], element_at(acc, -1)[1]))))
-        else concat(acc, array(x)) end)"""
-    found = found.select(F.col("doc_id").alias("h"), "n_words", F.expr(merge).alias("spans"), "items")
-    keyed = docs.select("doc_id", F.xxhash64(F.struct("doc_id", "text")).alias("h"))
-    return keyed.join(found, "h").select("doc_id", "n_words", "spans", "items")
-
-
-def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    tune(docs.sparkSession)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
-    names = F.array_sort(F.transform(F.filter("items", lambda x: x.isNotNull()), lambda x: x.cast("string")))
-    return report(docs, benchmark, window).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+                    spans[d].append([a, e])
+            ids = [x for batch in held for x in batch.column(0).to_pylist()]
+            yield {"doc_id": ids, "n_words": size, "spans": spans, "items": [sorted(x - {None}) for x in items], "longest": longest}
 
+    types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64())), ("longest", pa.int64())])
+    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, spans array<array<long>>, items array<long>, longest long", types)
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs in which no window of a benchmark item occurs: one filter a block of the benchmark, and no shuffle."""
-    tune(docs.sparkSession)
 
-    def clean(sent):  # noqa: ANN001, ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = Suffixes(sent.value, window)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[shard_hits(texts_of(batch), test)[1]] = False
-                yield batch.filter(pa.array(keep))
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, shard: int = SHARD_WORDS) -> DataFrame:
+    """item_id, word (the first of a suffix), length (of its longest verbatim match in docs, of least words or more), doc_id, place (the first word there;
+    of equally long matches that of the smallest doc_id, then the first). Of items that repeat an item_id the longest counts."""
+    scratch = Scratch(docs.sparkSession, "decon-longest")
+    files = prepared(benchmark, scratch)
 
-        return run
-
-    for sent in sent_blocks(benchmark):
-        docs = docs.mapInArrow(clean(sent), docs.schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for held, array, _ in _shards(batches, shard):
+            ids = [x for batch in held for x in batch.column(0).to_pylist()]
+            order = np.array([-1 << 62 if x is None else x for x in ids], np.int64)
+            for file in files:
+                b = block(file, 1)
+                found, lo, hi, _, _ = array.search(b)
+                some = np.flatnonzero(found >= least)
+                k, doc, at = array.places(lo[some], hi[some])
+                turn = np.lexsort((at, order[doc], k))
+                best = turn[np.searchsorted(k[turn], np.arange(len(some)))]
+                doc, at = doc[best], at[best]
+                begin = np.flatnonzero(np.diff(b.item, prepend=-1))
+                yield {"item_id": [b.ids[i] for i in b.item[some]], "word": some - begin[b.item[some]], "length": found[some], "doc_id": [ids[d] for d in doc], "place": at}
+
+    types = pa.schema([("item_id", pa.int64()), ("word", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    rows = arrow(docs.select("doc_id", "text"), run, "item_id long, word long, length long, doc_id long, place long", types)
+    best = rows.groupBy("item_id", "word").agg(F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "place")).alias("b"))
+    return best.select("item_id", "word", (-F.col("b.less")).alias("length"), "b.doc_id", "b.place")
+
+
+def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest."""
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return report(docs, benchmark, window, shard).select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard: int = SHARD_WORDS) -> DataFrame:
+    """The rows of docs in which no window of a benchmark item occurs: one pass, and no shuffle."""
+    scratch = Scratch(docs.sparkSession, "decon-remove")
+    files = prepared(benchmark, scratch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, array, size in _shards(batches, shard):
+            keep = np.ones(len(size), bool)
+            for doc, *_ in _hits(array, files, window):
+                keep[doc] = False
+            a = 0
+            for batch in held:
+                yield batch.filter(pa.array(keep[a : a + batch.num_rows]))
+                a += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

@@ -96,15 +96,18 @@ ORACLE: dict[str, str] = {
         WITH w AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
         sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
-        win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM sized, unnest(range(1, len(w) - n + 2)) AS u(i)),
-        sizes AS (SELECT DISTINCT n FROM win),
+        win AS (SELECT row_number() OVER () AS r, * FROM sized),
+        wpos AS (SELECT r, item_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS k FROM win, unnest(range(1, len(w) - n + 2)) AS u(j)),
+        sizes AS (SELECT DISTINCT n FROM sized),
         placed AS (SELECT doc_id, w, n FROM w, sizes WHERE len(w) >= n),
         dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM placed, unnest(range(1, len(w) - n + 2)) AS u(i)),
-        h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN win USING (n, k)),
-        pos AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h) AS p, unnest(range(n)) AS v(j) GROUP BY doc_id),
-        named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
-        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)""",
+        h AS (SELECT doc_id, i, n, r, j, item_id FROM dw JOIN wpos USING (n, k)),
+        pos AS (SELECT doc_id, count(DISTINCT i + d) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM h) AS p, unnest(range(n)) AS v(d) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(x) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id),
+        runs AS (SELECT doc_id, count(*) + n - 1 AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS run FROM h) GROUP BY doc_id, r, n, i - j, run),
+        far AS (SELECT doc_id, max(len) AS longest FROM runs GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+        FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN far USING (doc_id)""",
     "op1_warc_zip": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
              d AS (SELECT *, sha1(html) AS h FROM p)

@@ -1,5 +1,6 @@
-"""The windowed section and block logic against a line-by-line model of its rules."""
+"""The windowed section and block logic against blocks written by hand and against its rules, stated by place."""
 
+import itertools
 import random
 import re
 
@@ -12,35 +13,34 @@ LINES = [
 ]
 
 
-def model(text):
-    """Rules one by one: boilerplate goes; every line may move the section; a header ends a block, which gets the section then."""
-    section, name, role, body, out = "unknown", "unknown", "other", [], []
+def stated(text):
+    """The rules as statements about places: a block's lines lie between two headers; its section is the last marker up to the header
+    that ends it, or else the first speaker who is named before that header and tells a section."""
+    lines = [x for x in map(str.strip, text.split("\n")) if len(x) > 2 and not re.search("|".join(L.BOILERPLATE), x, re.I)]
+    marks = ["qa" if any(m in x.lower() for m in L.QA_MARKERS) else "remarks" if any(m in x.lower() for m in L.REMARKS_MARKERS) else None for x in lines]
+    heads = {i: m for i, x in enumerate(lines) if (m := re.match(L.HEADER, x))}
+    named = {i: ((m[1] or "").strip(), (m[2] or "").strip()) for i, m in heads.items()}
+    roles = {i: next((r for r, keys in L.ROLE_KEYWORDS.items() if any(k in " ".join(n).lower() for k in keys)), "other") for i, n in named.items()}
+    tells = {i: {"analyst": "qa", "ceo": "remarks", "cfo": "remarks"}[r] for i, r in roles.items() if r in ("analyst", "ceo", "cfo")}
+    edges, out = [-1, *heads, len(lines)], []
+    for begin, end in itertools.pairwise(edges):
+        said = [m for m in marks[: end + 1] if m][-1:] or [t for i, t in tells.items() if i < end][:1] or ["unknown"]
+        if body := " ".join(lines[begin + 1 : end]).strip():
+            out.append((named.get(begin, ("unknown",))[0], roles.get(begin, "other"), said[0], body))
+    return out
 
-    def flush():
-        if " ".join(body).strip():
-            out.append((name, role, section, " ".join(body).strip()))
 
-    for line in text.split("\n"):
-        s = line.strip()
-        if len(s) < 3 or any(re.search(p, s, re.I) for p in L.BOILERPLATE):
-            continue
-        low = line.lower()
-        if any(m in low for m in L.QA_MARKERS):
-            section = "qa"
-        elif any(m in low for m in L.REMARKS_MARKERS):
-            section = "remarks"
-        if m := re.match(L.HEADER, s):
-            flush()
-            body = []
-            name, hint = m[1].strip(), (m[2] or "").strip()
-            both = f"{name} {hint}".lower()
-            role = next((r for r, ks in L.ROLE_KEYWORDS.items() if any(k in both for k in ks)), "other")
-            if section == "unknown" and role in ("analyst", "ceo", "cfo"):
-                section = "qa" if role == "analyst" else "remarks"
-        else:
-            body.append(s)
-    flush()
-    return out
+#: Blocks (speaker, role, section, text) of short transcripts, written by hand.
+BY_HAND = [
+    ("", []),
+    ("Revenue of $5 grew and grew again.", [("unknown", "other", "unknown", "Revenue of $5 grew and grew again.")]),
+    ("Ann Lee: Chief Executive Officer\nIt was, in all, a fine year for us!", [("Ann Lee", "ceo", "remarks", "It was, in all, a fine year for us!")]),
+    ("Cy Poe: Analyst\nOne, two or 3?\nAnn Lee: Chief Executive Officer\nIt was 4, in all.", [("Cy Poe", "analyst", "qa", "One, two or 3?"), ("Ann Lee", "ceo", "qa", "It was 4, in all.")]),
+    ("Ann Lee: Chief Executive Officer\nIt was 4, in all.\nWe turn to q&a, number 2.", [("Ann Lee", "ceo", "qa", "It was 4, in all. We turn to q&a, number 2.")]),
+    ("Ann Lee: Chief Executive Officer\n[Applause]\nab\nCopyright 2024 q&a\nIt was 4, in all.", [("Ann Lee", "ceo", "remarks", "It was 4, in all.")]),
+    ("It was 4, in all.\nCy Poe: Analyst", [("unknown", "other", "unknown", "It was 4, in all.")]),
+    ("We turn to q&a, number 2.\nAnn Lee: Chief Executive Officer\nIt was 4, in all.", [("unknown", "other", "qa", "We turn to q&a, number 2."), ("Ann Lee", "ceo", "qa", "It was 4, in all.")]),
+]
 
 
 def test_blocks_follow_the_rules(spark):
@@ -51,7 +51,14 @@ def test_blocks_follow_the_rules(spark):
     for r in sorted(D.blocks(D.annotated(raw)).collect(), key=lambda r: (r.ticker, r.block)):
         got.setdefault(r.ticker, []).append((r.speaker_name, r.speaker_role, r.section, r.text))
     for i, t in enumerate(texts):
-        assert got.get(f"T{i}", []) == model(t), t
+        assert got.get(f"T{i}", []) == stated(t), t
+
+
+def test_blocks_by_hand(spark):
+    raw = spark.createDataFrame([(f"T{i}", "20240101", t) for i, (t, _) in enumerate(BY_HAND)], "ticker string, date string, raw_text string")
+    rows = sorted(D.blocks(D.annotated(raw)).collect(), key=lambda r: (r.ticker, r.block))
+    for i, (t, want) in enumerate(BY_HAND):
+        assert [(r.speaker_name, r.speaker_role, r.section, r.text) for r in rows if r.ticker == f"T{i}"] == want == stated(t), t
 
 
 def test_sentence_ids_are_dense(spark):

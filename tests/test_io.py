@@ -1,5 +1,6 @@
 """Sources, sinks, service and streams on small files."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tonefold import lexicon as L
 from tonefold.operators import diarize as D
+from tonefold.operators import returns as R
 from tonefold.operators import signals as S
 from tonefold.plans import service
 from tonefold.sources import paged, readers, sinks, synthetic
@@ -61,7 +63,52 @@ def test_paged_source(spark):
         return [(f"T{i}", "20240101", "x" * (2000 if i % 2 else 10), "archive") for i in range(offset, offset + size)]
 
     got = paged.read_pages(spark, fetch, 25, per_second=1000.0)
-    assert got.count() == 12
+    assert [r.ticker for r in got.collect()] == [f"T{i}" for i in range(1, 50, 2)]  # on and on, until 25 are kept
+    ends = paged.read_pages(spark, lambda at, size: fetch(at, size) if at < 30 else [], 25, per_second=1000.0)
+    assert ends.count() == 15
+
+
+def test_lexicon_is_stored(spark, tmp_path):
+    path, made = str(tmp_path / "lexicon"), []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("positive", f"w{i}") for i in range(150)], "category string, word string")
+
+    assert readers.stored_lexicon(spark, path) is L.FINANCE
+    first = readers.stored_lexicon(spark, path, make)
+    assert len(first["positive"]) == 150 and readers.stored_lexicon(spark, path, make) == first and made == [1]
+
+
+def test_sentence_files(spark, tmp_path):
+    rows = [{"sentence_id": 0, "ticker": "A", "date": "20240101", "speaker_role": "ceo", "speaker_name": "Ann", "section": "qa", "text": "x y z", "word_count": 3}]
+    (tmp_path / "A_20240101.json").write_text(json.dumps(rows, indent=2))
+    got = readers.sentences(spark, str(tmp_path))
+    assert [r.asDict() for r in got.select(*rows[0]).collect()] == rows
+
+
+def test_prices_and_returns_round_trip(spark, tmp_path):
+    bars = spark.createDataFrame([("A", dt.date(2024, 1, d), 1.0, 2.0, 0.5, float(d), 9) for d in range(1, 9)], "ticker string, date date, open double, high double, low double, close double, volume long")
+    sinks.write_prices(bars, str(tmp_path / "p"))
+    assert sorted(map(tuple, readers.prices(spark, str(tmp_path / "p")).select(*bars.columns).collect())) == sorted(map(tuple, bars.collect()))
+    index = R.returns_index(spark.createDataFrame([("A", dt.date(2024, 1, 2))], "ticker string, call_date date"), bars)
+    sinks.write_returns(index, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).collect() == index.collect()
+
+
+def test_a_model_labels_sentences(spark):
+    sents = spark.createDataFrame([("A", "good loss"), ("B", "bad gain")], "ticker string, text string")
+
+    def model(batches):
+        for texts in batches:
+            yield texts.str.startswith("bad").astype("int32")
+
+    assert {r.ticker: (r.label, r.score) for r in S.scored(sents, model=model).collect()} == {"A": (0, 1), "B": (1, -1)}
+
+
+def test_api_key():
+    assert service.authorized("k1", "k1") and not service.authorized("k2", "k1")
+    assert not service.authorized(None, "k1") and not service.authorized("", "")
 
 
 def test_service(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonefold import lexicon as L
@@ -32,6 +34,17 @@ def scores(counts: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
+def with_scores(df: DataFrame, c: Column, lexicon: L.Lexicon = L.FINANCE) -> DataFrame:
+    """df with n_tokens and scores(). A text's tokens are found once: they are a column, and so are the counts, on which the shares build."""
+    own = uuid.uuid4().hex[:8]
+    tokens = f"_tokens_{own}"
+    df = df.withColumn(tokens, T.alpha_tokens(c))
+    counts = {"n_tokens": F.size(tokens), **{k: _hits(F.col(tokens), sorted(w)) for k, w in lexicon.items()}}
+    df = df.select("*", *[F.coalesce(x, F.lit(0)).alias(f"_{k}_{own}") for k, x in counts.items()])
+    held = {k: F.col(f"_{k}_{own}") for k in counts}
+    return df.select("*", held["n_tokens"].alias("n_tokens"), *[x.alias(k) for k, x in scores(held).items()]).drop(tokens, *[f"_{k}_{own}" for k in counts])
+
+
 def weak_label(net: Column, margin: float = 0.01) -> Column:
     """0 positive, 1 negative, 2 neutral."""
     return F.when(net > margin, 0).when(net < -margin, 1).otherwise(2)

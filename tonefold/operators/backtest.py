@@ -37,9 +37,41 @@ def configurations(data: DataFrame, signals: tuple[str, ...] = L.SIGNALS, horizo
     return data.select("ticker", "call_date", F.explode(F.array(*cells)).alias("x")).select("ticker", "call_date", "x.*").where("s is not null and r is not null")
 
 
+#: Slices of values into which a group is cut, so that no task has to order the whole group.
+SLICES = 64
+
+
+def sliced(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """rows with _slice (approximate quantiles cut each group's values, equal ones into one slice); and by, _slice, _k (rows in it), _below (rows in
+    the slices before), _all. How good the cuts are changes the work of a task, never a rank."""
+    marks = [i / SLICES for i in range(1, SLICES)]
+    cuts = rows.groupBy(by).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))  # SLICES - 1 numbers a group
+    cut = rows.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = cut.groupBy(by, "_slice").agg(F.count("*").alias("_k"))
+    every = Window.partitionBy(by)
+    return cut, sizes.select(by, "_slice", "_k", (F.sum("_k").over(every.orderBy("_slice")) - F.col("_k")).alias("_below"), F.sum("_k").over(every).alias("_all"))
+
+
 def thresholds(rows: DataFrame, long: float = 0.7, short: float = 0.3, by: str = "config") -> DataFrame:
-    """Exact quantiles (linear interpolation) of s."""
-    return rows.groupBy(by).agg(F.percentile("s", long).alias("q_long"), F.percentile("s", short).alias("q_short"))
+    """Exact quantiles (linear interpolation) of s. Only the slices that hold them are ordered."""
+    cut, sizes = sliced(rows, by, "s")
+    at = lambda p: (F.col("_all") - 1) * F.lit(p)
+    wanted = [F.struct(F.lit(name).alias("name"), rank(at(p)).alias("rank"), weight(at(p)).alias("weight")) for name, p in (("long", long), ("short", short)) for rank, weight in ((F.floor, lambda x: 1 - x + F.floor(x)), (lambda x: F.floor(x) + 1, lambda x: x - F.floor(x)))]
+    places = sizes.select(by, "_slice", "_below", "_k", F.explode(F.array(*wanted)).alias("w")).where("w.weight > 0 and w.rank >= _below and w.rank < _below + _k")
+    places = places.select(by, "_slice", (F.col("w.rank") - F.col("_below") + 1).alias("_n"), "w.name", "w.weight")
+    few = cut.select(by, "_slice", "s").join(places.select(by, "_slice").distinct(), [by, "_slice"], "left_semi")
+    few = few.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_slice").orderBy("s")))
+    part = lambda name: F.sum(F.when(F.col("name") == name, F.col("s") * F.col("weight")))
+    return few.join(places, [by, "_slice", "_n"]).groupBy(by).agg(part("long").alias("q_long"), part("short").alias("q_short"))
+
+
+def average_ranks(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """rows with the rank of value in its group, from 1; equal values share the mean of their ranks."""
+    cut, sizes = sliced(rows, by, value)
+    inside = Window.partitionBy(by, "_slice")
+    rank = F.rank().over(inside.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, "_slice", value)) - 1) / 2
+    ranked = cut.withColumn("_rank", rank).join(sizes.select(by, "_slice", "_below"), [by, "_slice"])
+    return ranked.withColumn(name, F.col("_rank") + F.col("_below")).select(*rows.columns, name)
 
 
 def positions(rows: DataFrame, cuts: DataFrame, by: str = "config") -> DataFrame:
@@ -91,10 +123,20 @@ def best(results: DataFrame) -> DataFrame:
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
-    """config, call_date, ticker, equity (product of 1 + trade returns so far), drawdown (against the highest so far)."""
-    w = Window.partitionBy("config").orderBy("call_date", "ticker").rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.where("position <> 0").withColumn("equity", F.product(1 + F.col("trade_return")).over(w))
-    return df.select("config", "call_date", "ticker", "equity", (F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1).alias("drawdown"))
+    """config, call_date, ticker, equity (product of 1 + trade returns so far), drawdown (against the highest so far).
+
+    Days are ordered one by one: what the days before give (a product, a maximum) is a row a day.
+    """
+    day = ["config", "call_date"]
+    before = Window.partitionBy("config").orderBy("call_date").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*day).orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
+    held = trades.where("position <> 0").select(*day, "ticker", "trade_return", F.product(1 + F.col("trade_return")).over(within).alias("growth"))
+    held = held.withColumn("top", F.max("growth").over(within))
+    days = held.groupBy(*day).agg(F.max("top").alias("day_top"), F.product(1 + F.col("trade_return")).alias("day_growth"))
+    days = days.withColumn("start", F.coalesce(F.product("day_growth").over(before), F.lit(1.0)))
+    days = days.withColumn("high", F.greatest(F.lit(1.0), F.coalesce(F.max(F.col("start") * F.col("day_top")).over(before), F.lit(1.0))))
+    out = held.join(days.select(*day, "start", "high"), day).withColumn("equity", F.col("start") * F.col("growth"))
+    return out.select(*day, "ticker", "equity", (F.col("equity") / F.greatest("high", F.col("start") * F.col("top")) - 1).alias("drawdown"))
 
 
 def max_drawdown(trades: DataFrame) -> DataFrame:
@@ -145,12 +187,7 @@ def student_p(t: float, df: int) -> float:
 def ic_by_quarter(data: DataFrame, signal: str = "confidence_score", horizon: str = "ret_5d") -> DataFrame:
     """quarter, n, ic (Pearson) and rank_ic (of average ranks, that is Spearman) in each calendar quarter."""
     rows = data.select(F.date_trunc("quarter", F.col("trade_date")).cast("date").alias("quarter"), F.col(signal).cast("double").alias("s"), F.col(horizon).alias("r")).where("s is not null and r is not null")
-
-    def rank(c: str) -> Column:
-        ties = Window.partitionBy("quarter", c)
-        return F.rank().over(Window.partitionBy("quarter").orderBy(c)) + (F.count("*").over(ties) - 1) / 2
-
-    ranked = rows.withColumn("rs", rank("s")).withColumn("rr", rank("r"))
+    ranked = average_ranks(average_ranks(rows, "quarter", "s", "rs"), "quarter", "r", "rr")
     none = F.lit(None).cast("double")
     return ranked.groupBy("quarter").agg(F.count("*").alias("n"), F.nanvl(F.corr("s", "r"), none).alias("ic"), F.nanvl(F.corr("rs", "rr"), none).alias("rank_ic"))
 
@@ -182,12 +219,12 @@ def ntile(rows: DataFrame, n: int, slices: int = 64) -> DataFrame:
 
 
 def sharpe_rollup(trades: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Sharpe ratio and trades by sector and year, with subtotals (null sector or year: all). sectors: ticker, sector."""
+    """Sharpe ratio and trades by signal, horizon, sector and year, with subtotals (null: all). sectors: ticker, sector.
+    A subtotal over several horizons is annualised by the mean holding time of its trades."""
     t = trades.where("position <> 0").join(sectors, "ticker")
-    t = t.withColumn("year", F.substring("call_date", 1, 4))
-    days = F.first(holding_days(F.col("holding_period")))
-    out = t.rollup("sector", "year").agg(F.count("*").alias("n_trades"), _ratio("trade_return", days).alias("sharpe"))
-    return out
+    t = t.withColumn("year", F.substring("call_date", 1, 4)).withColumn("days", holding_days(F.col("holding_period")))
+    by = ("actual_signal_used", "holding_period", "sector", "year")
+    return t.rollup(*by).agg(F.count("*").alias("n_trades"), _ratio("trade_return", F.avg("days")).alias("sharpe"))
 
 
 def out_of_sample(data: DataFrame, train_to: str, signals: tuple[str, ...] = L.SIGNALS, horizons: tuple[str, ...] = RETURNS) -> DataFrame:

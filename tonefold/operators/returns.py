@@ -14,6 +14,12 @@ def daily_bars(ticks: DataFrame, ticker: Column, ts: Column, price: Column, tie:
     return t.groupBy("ticker", "date").agg(F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"), F.count("*").alias("volume"))
 
 
+def in_universe(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Rows whose ticker is on the list (tickers: ticker; repeats and case don't matter)."""
+    listed = tickers.select(F.upper("ticker").alias("_listed")).where("_listed is not null").distinct()
+    return rows.join(listed, F.upper("ticker") == F.col("_listed"), "left_semi")
+
+
 def price_window(calls: DataFrame, margin_days: int = 15) -> DataFrame:
     """ticker, first_date, last_date: the price range that a ticker's calls need."""
     return calls.groupBy("ticker").agg(F.date_sub(F.min("call_date"), margin_days).alias("first_date"), F.date_add(F.max("call_date"), margin_days).alias("last_date"))

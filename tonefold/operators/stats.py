@@ -20,6 +20,12 @@ def collection_stats(raw: DataFrame, as_of: str, first: int = 20) -> DataFrame:
     return main.crossJoin(by_family).crossJoin(named)  # three single rows
 
 
+def call_dates(raw: DataFrame) -> DataFrame:
+    """ticker, n_dates, dates (each once, ascending)."""
+    once = raw.select("ticker", "date").distinct()
+    return once.groupBy("ticker").agg(F.count("date").alias("n_dates"), F.array_sort(F.collect_list("date")).alias("dates"))
+
+
 def keep_first(raw: DataFrame, order: tuple[str, ...], key: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
     """The first row of each key. Aggregated before the shuffle, so a key with very many rows costs no task its memory."""
     rest = [c for c in raw.columns if c not in key]
@@ -54,15 +60,20 @@ def class_cap(labelled: DataFrame, total: int, order: tuple[str, ...], classes:
     return labelled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= total // classes).drop("_n")
 
 
+def _hashed(key: Column, seed: int) -> Column:
+    """Hexadecimal; any engine has this hash."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def split(rows: DataFrame, key: Column, seed: int = 42, train: int = 70, validate: int = 15) -> DataFrame:
     """rows with part (train, validation, test) by a hash of key: stable under repartitioning, and a repeat goes with its original."""
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100))
+    bucket = F.conv(F.substring(_hashed(key, seed), 1, 8), 16, 10).cast("long") % 100
     return rows.withColumn("part", F.when(bucket < train, "train").when(bucket < train + validate, "validation").otherwise("test"))
 
 
 def stratified_split(rows: DataFrame, key: Column, seed: int = 42, train: float = 0.7, validate: float = 0.15) -> DataFrame:
     """As split(), with the same shares in each label: by rank of the hash within the label."""
-    share = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed))))
+    share = F.percent_rank().over(Window.partitionBy("label").orderBy(_hashed(key, seed)))
     return rows.withColumn("_s", share).withColumn("part", F.when(F.col("_s") < train, "train").when(F.col("_s") < train + validate, "validation").otherwise("test")).drop("_s")
 
 

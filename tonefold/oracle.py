@@ -94,8 +94,11 @@ _GRID = " UNION ALL ".join(
 )
 
 
-def ratio(x: str) -> str:
-    return f"coalesce(avg({x}) / CASE WHEN stddev_samp({x}) > 1e-15 THEN stddev_samp({x}) END * sqrt(252.0 / any_value(CAST(regexp_extract(holding_period, 'ret_(\\d+)d', 1) AS INT))), 0.0)"
+_DAYS = "CAST(regexp_extract(holding_period, 'ret_(\\d+)d', 1) AS INT)"
+
+
+def ratio(x: str, days: str = f"any_value({_DAYS})") -> str:
+    return f"coalesce(avg({x}) / CASE WHEN stddev_samp({x}) > 1e-15 THEN stddev_samp({x}) END * sqrt(252.0 / {days}), 0.0)"
 
 
 METRICS = f"""count(*) AS total_trades, count(*) FILTER (position = 1) AS long_trades, count(*) FILTER (position = -1) AS short_trades,
@@ -186,6 +189,19 @@ _DOCS = rf"(SELECT doc_id, lang, {tokens('coalesce(text, chr(32))')} AS toks FRO
 _alpha = "{a}::DOUBLE * (remarks_sentiment + qa_sentiment) / 2 + {b}::DOUBLE * confidence_score - {c}::DOUBLE * least(1.0, hedge_density * 10) + {d}::DOUBLE * qa_pushback_signal".format(a=L.ALPHA["sentiment"], b=L.ALPHA["confidence"], c=L.ALPHA["hedge"], d=L.ALPHA["tone"])
 _sectors = "(SELECT DISTINCT 'U' || user_id AS ticker, 'S' || (user_id % 5) AS sector FROM events)"
 
+_BUCKET = "CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) % 100"
+
+
+def _f1(confusion: str) -> str:
+    """Accuracy and macro F1 of a table label, predicted, n."""
+    per = "SELECT c, sum(tp) AS tp, sum(t) AS t, sum(p) AS p FROM (SELECT label AS c, CASE WHEN label = predicted THEN n ELSE 0 END AS tp, n AS t, 0 AS p FROM cm UNION ALL SELECT predicted, 0, 0, n FROM cm) GROUP BY c"
+    return f", cm AS ({confusion}) SELECT CAST(sum(n) AS BIGINT) AS n, round(coalesce(sum(n) FILTER (label = predicted), 0) / CAST(sum(n) AS DOUBLE), 6) AS accuracy, (SELECT round(avg(2.0 * tp / (t + p)), 6) FROM ({per})) AS macro_f1 FROM cm"
+
+
+#: The density of Student's distribution by Simpson's rule from 0 to |t|.
+_STUDENT = """(SELECT 1 - 2 * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * k / 4000, 2) / (n - 2), -(n - 1) / 2.0)) * abs(t) / 12000
+    * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) FROM range(4001) AS q(k))"""
+
 SQL: dict[str, str] = {
     "lexicon_scores": query(f"SELECT doc_id, len(toks) AS n_tokens, {_share_columns}, {share('toks', *L.HEDGE_CATEGORIES)} AS lex_hedge_density, {share('toks', 'positive')} - {share('toks', 'negative')} AS sentiment_net FROM {_DOCS}", *L.CATEGORIES, "lex_hedge_density", "sentiment_net"),
     "lexicon_by_lang": query(f"SELECT lang, count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS n_tokens, avg({share('toks', *L.HEDGE_CATEGORIES)}) AS hedge, avg({share('toks', 'positive')} - {share('toks', 'negative')}) AS net FROM {_DOCS} GROUP BY lang", "hedge", "net"),
@@ -206,11 +222,21 @@ SQL: dict[str, str] = {
     "role_section_hist": query("SELECT speaker_role, section, count(*) AS n_sentences, CAST(sum(word_count) AS BIGINT) AS n_words FROM sent GROUP BY ALL"),
     "preprocess_stats": query("SELECT count(*) FILTER (NOT short AND n IS NOT NULL) AS processed, count(*) FILTER (short) AS skipped, count(*) FILTER (NOT short AND n IS NULL) AS failed, CAST(coalesce(sum(n), 0) AS BIGINT) AS sentences, sum(n) / CAST(count(*) FILTER (NOT short AND n IS NOT NULL) AS DOUBLE) AS avg_sentences FROM (SELECT ticker, date, length(raw_text) < 200 AS short FROM raw) LEFT JOIN (SELECT ticker, date, count(*) AS n FROM sent GROUP BY ALL) USING (ticker, date)", "avg_sentences"),
     "collection_stats": query("SELECT count(*) AS total_files, CAST(sum(length(raw_text)) AS BIGINT) AS total_chars, min(length(raw_text)) AS min_text_len, max(length(raw_text)) AS max_text_len, min(date) AS first_date, max(date) AS last_date, count(DISTINCT ticker) AS unique_tickers, (SELECT string_agg(f || '=' || n, ',' ORDER BY f) FROM (SELECT split_part(source, '/', 1) AS f, count(*) AS n FROM raw GROUP BY 1)) AS sources, (SELECT string_agg(ticker, ',' ORDER BY ticker) FROM (SELECT DISTINCT ticker FROM raw ORDER BY ticker LIMIT 20)) AS tickers FROM raw"),
+    "call_dates": query("SELECT ticker, count(*) AS n_dates, string_agg(date, ',' ORDER BY date) AS dates FROM (SELECT DISTINCT ticker, date FROM raw) GROUP BY ticker"),
+    "domain_tokens": query(r"SELECT ticker, date, sentence_id, array_to_string(regexp_extract_all(text, '\$?\d[\d.,]*[BMK%]?|Q[1-4]|[A-Z]{2,}'), '|') AS found FROM sent"),
+    "first_source": query("SELECT ticker, date, source, dataset_row_id FROM raw WHERE source = 'set1/part'"),
+    "unite_sources": query("SELECT source, dataset_row_id FROM raw WHERE source IN ('set2/part', 'set0/part') ORDER BY source = 'set0/part', dataset_row_id LIMIT 60"),
+    "batch_normalize": query("SELECT ticker, date, dataset_row_id, length(raw_text) AS n_chars FROM (SELECT * FROM raw ORDER BY source, dataset_row_id LIMIT 80) WHERE length(raw_text) > 200"),
     "dedup_keep_first": query("SELECT ticker, source, dataset_row_id FROM raw QUALIFY row_number() OVER (PARTITION BY ticker, source ORDER BY dataset_row_id) = 1"),
     "anti_existing": query("SELECT ticker, date, dataset_row_id FROM raw WHERE NOT (dataset_row_id % 4 = 0 AND length(raw_text) > 1000)"),
     "weak_labels": query("SELECT ticker, date, sentence_id, CAST(label AS BIGINT) AS label, CAST(score AS BIGINT) AS score FROM rated WHERE word_count >= 5"),
     "class_cap": query("SELECT ticker, date, sentence_id, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ticker, date, sentence_id) AS n FROM rated WHERE word_count >= 5) WHERE n <= 50"),
-    "macro_f1": query("SELECT sum(n) AS n, sum(CASE WHEN label = predicted THEN n END) / CAST(sum(n) AS DOUBLE) AS accuracy, (SELECT avg(2.0 * tp / (t + p)) FROM (SELECT c, sum(tp) AS tp, sum(t) AS t, sum(p) AS p FROM (SELECT label AS c, CASE WHEN label = predicted THEN n ELSE 0 END AS tp, n AS t, 0 AS p FROM cm UNION ALL SELECT predicted, 0, 0, n FROM cm) GROUP BY c)) AS macro_f1 FROM cm").replace("SELECT sum(n) AS n, sum(CASE", ", cm AS (SELECT quality AS label, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(CASE", 1).replace("AS DOUBLE) AS accuracy, (SELECT avg(", "AS DOUBLE), 6) AS accuracy, (SELECT round(avg(", 1).replace("/ (t + p)) FROM", "/ (t + p)), 6) FROM", 1),
+    "macro_f1": query(_f1("SELECT quality AS label, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL")),
+    "hash_split": f"SELECT doc_id, CASE WHEN {_BUCKET} < 70 THEN 'train' WHEN {_BUCKET} < 85 THEN 'validation' ELSE 'test' END AS part FROM labels",
+    "stratified_split": "SELECT doc_id, label, CASE WHEN s < 0.7 THEN 'train' WHEN s < 0.85 THEN 'validation' ELSE 'test' END AS part FROM (SELECT doc_id, quality AS label, percent_rank() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':42')) AS s FROM labels)",
+    "baseline_evaluation": query(_f1(f"SELECT 1 - quality AS label, CASE WHEN net > 0.01 THEN 0 WHEN net < -0.01 THEN 1 ELSE 2 END AS predicted, count(*) AS n FROM (SELECT doc_id, {share('toks', 'positive')} - {share('toks', 'negative')} AS net FROM {_DOCS}) JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL")),
+    "ticker_allow_list": query("SELECT * FROM calls WHERE ticker IN (SELECT 'U' || user_id FROM events WHERE user_id % 3 = 0)"),
+    "key_figures": query("SELECT annualized_sharpe_ratio, cumulative_return, win_rate, total_trades, actual_signal_used, holding_period FROM res ORDER BY annualized_sharpe_ratio DESC, config LIMIT 1", "annualized_sharpe_ratio", "cumulative_return", "win_rate"),
     "daily_bars": query("SELECT ticker, date, open, high, low, close, volume FROM bar", "open", "high", "low", "close"),
     "asof_entry": query("SELECT ticker, call_date, entry_date, entry_price FROM entry", "entry_price"),
     "forward_returns": query("SELECT * FROM ret", *RETURNS),
@@ -229,9 +255,10 @@ SQL: dict[str, str] = {
     "equity_curve": query("SELECT CAST(config AS BIGINT) AS config, call_date, ticker, equity, equity / greatest(1.0, max(equity) OVER w) - 1 AS drawdown FROM (SELECT *, product(1 + tr) OVER w AS equity FROM pos WHERE position <> 0 WINDOW w AS (PARTITION BY config ORDER BY call_date, ticker ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY config ORDER BY call_date, ticker ROWS UNBOUNDED PRECEDING)", "equity", "drawdown"),
     "max_drawdown": query("SELECT CAST(config AS BIGINT) AS config, min(d) AS max_drawdown FROM (SELECT config, equity / greatest(1.0, max(equity) OVER w) - 1 AS d FROM (SELECT *, product(1 + tr) OVER w AS equity FROM pos WHERE position <> 0 WINDOW w AS (PARTITION BY config ORDER BY call_date, ticker ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY config ORDER BY call_date, ticker ROWS UNBOUNDED PRECEDING)) GROUP BY config", "max_drawdown"),
     "pearson": query("SELECT signal_column, holding_period, count(*) AS n, corr(s, r) AS r, corr(s, r) * sqrt((count(*) - 2) / nullif(1 - corr(s, r) * corr(s, r), 0)) AS t FROM grid WHERE actual_signal_used = signal_column GROUP BY ALL", "r", "t"),
+    "pearson_p_values": query(f"SELECT signal_column, holding_period, n, r, t, CASE WHEN n > 2 THEN {_STUDENT} END AS p_value FROM (SELECT *, r * sqrt((n - 2) / nullif(1 - r * r, 0)) AS t FROM (SELECT signal_column, holding_period, count(*) AS n, corr(s, r) AS r FROM grid WHERE actual_signal_used = signal_column GROUP BY ALL))", "r", "t", "p_value"),
     "ic_by_quarter": query("SELECT quarter, count(*) AS n, corr(s, r) AS ic, corr(rs, rr) AS rank_ic FROM (SELECT *, rank() OVER (PARTITION BY quarter ORDER BY s) + (count(*) OVER (PARTITION BY quarter, s) - 1) / 2 AS rs, rank() OVER (PARTITION BY quarter ORDER BY r) + (count(*) OVER (PARTITION BY quarter, r) - 1) / 2 AS rr FROM (SELECT date_trunc('quarter', trade_date)::DATE AS quarter, confidence_score AS s, ret_5d AS r FROM trade WHERE ret_5d IS NOT NULL)) GROUP BY quarter", "ic", "rank_ic"),
     "quintile_returns": query("SELECT bucket, count(*) AS n_calls, avg(ret_1d) AS mean_ret_1d, avg(ret_3d) AS mean_ret_3d, avg(ret_5d) AS mean_ret_5d FROM (SELECT *, ntile(5) OVER (ORDER BY confidence_score, ticker, call_date) AS bucket FROM trade) GROUP BY bucket", "mean_ret_1d", "mean_ret_3d", "mean_ret_5d"),
-    "sharpe_rollup": query(f"SELECT sector, year, count(*) AS n_trades, {ratio('tr')} AS sharpe FROM (SELECT *, substr(call_date, 1, 4) AS year FROM pos JOIN {_sectors} USING (ticker) WHERE position <> 0 AND actual_signal_used = 'confidence_score' AND holding_period = 'ret_5d') GROUP BY ROLLUP (sector, year)", "sharpe"),
+    "sharpe_rollup": query(f"SELECT actual_signal_used, holding_period, sector, year, count(*) AS n_trades, {ratio('tr', 'avg(days)')} AS sharpe FROM (SELECT *, substr(call_date, 1, 4) AS year, {_DAYS} AS days FROM pos JOIN {_sectors} USING (ticker) WHERE position <> 0) GROUP BY ROLLUP (actual_signal_used, holding_period, sector, year)", "sharpe"),
     "oos_split": query(f"SELECT CAST(config AS BIGINT) AS config, signal_column, holding_period, actual_signal_used, {METRICS} FROM (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active FROM grid JOIN (SELECT config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM grid WHERE call_date <= '20240115' GROUP BY ALL) USING (config) WHERE call_date > '20240115') WHERE position <> 0 GROUP BY ALL", *FIGURES),
     "ablation": query(f"SELECT CAST(config AS BIGINT) AS config, signal_column, holding_period, actual_signal_used, {METRICS} FROM (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active FROM ab JOIN (SELECT config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM ab GROUP BY ALL) USING (config)) WHERE position <> 0 GROUP BY ALL", *FIGURES).replace("SELECT * REPLACE", ", ab AS (" + " UNION ALL ".join(f"SELECT {i} AS config, '{n}' AS signal_column, 'ret_5d' AS holding_period, '{n}' AS actual_signal_used, {e} AS s, ret_5d AS r FROM trade WHERE ret_5d IS NOT NULL" for i, (n, e) in enumerate((("model_only", "qa_sentiment"), ("lexicon_only", "hedge_density"), ("composite", "0.5::DOUBLE * confidence_score + 0.5::DOUBLE * qa_sentiment")))) + ") SELECT * REPLACE", 1),
     "ticker_lookup": query(f"SELECT ticker, call_date, {', '.join(SIGNAL_COLUMNS)} FROM sig WHERE upper(ticker) = 'TK5'", *SIGNAL_COLUMNS),

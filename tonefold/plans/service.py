@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def health(spark: SparkSession, signals: DataFrame | None, lexicon: L.Lexicon |
     return {"status": "ok" if all(ready.values()) else "degraded", **ready}
 
 
+def authorized(key: str | None, expected: str) -> bool:
+    """Whether a request's API key is the expected one, compared in constant time; an empty expected key admits nobody."""
+    return bool(expected) and hmac.compare_digest((key or "").encode(), expected.encode())
+
+
 def analyze(spark: SparkSession, text: str, ticker: str = "ADHOC", lexicon: L.Lexicon = L.FINANCE) -> DataFrame:
     """One row: signals of a text whose sentences (over three words) all count as the CEO's remarks; total_words, sentences_parsed."""
     if len(text or "") < 50:

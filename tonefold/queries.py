@@ -18,6 +18,7 @@ from tonefold.operators import returns as R
 from tonefold.operators import signals as S
 from tonefold.operators import stats as St
 from tonefold.plans import service
+from tonefold.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,16 +72,14 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexicon_scores(spark, sf_dir):  # noqa: ANN001, ANN201
-    counts = X.category_counts(F.col("text"))
-    return views.table(spark, sf_dir, "documents").select("doc_id", counts["n_tokens"].alias("n_tokens"), *[c.alias(k) for k, c in X.scores(counts).items()])
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.with_scores(docs, F.col("text")).drop("text")
 
 
 @query
 def lexicon_by_lang(spark, sf_dir):  # noqa: ANN001, ANN201
-    counts = X.category_counts(F.col("text"))
-    s = X.scores(counts)
-    rows = views.table(spark, sf_dir, "documents").select("lang", counts["n_tokens"].alias("k"), s["lex_hedge_density"].alias("h"), s["sentiment_net"].alias("s"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n_tokens"), F.avg("h").alias("hedge"), F.avg("s").alias("net"))
+    rows = X.with_scores(views.table(spark, sf_dir, "documents").select("lang", "text"), F.col("text"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.avg("lex_hedge_density").alias("hedge"), F.avg("sentiment_net").alias("net"))
 
 
 @query
@@ -173,6 +172,35 @@ def collection_stats(spark, sf_dir):  # noqa: ANN001, ANN201
     return s.withColumn("sources", F.array_join(F.array_sort(pairs), ",")).withColumn("tickers", F.array_join("tickers", ","))
 
 
+@query
+def call_dates(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.call_dates(raw(spark, sf_dir)).withColumn("dates", F.array_join("dates", ","))
+
+
+@query
+def domain_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _sentences(spark, sf_dir).select("ticker", "date", "sentence_id", F.array_join(T.domain_tokens(F.col("text")), "|").alias("found"))
+
+
+@query
+def first_source(spark, sf_dir):  # noqa: ANN001, ANN201
+    r = raw(spark, sf_dir)
+    return St.first_source(r.where("dataset_row_id < 0"), r.where("source = 'set1/part'"), r.where("source = 'set2/part'")).select("ticker", "date", "source", "dataset_row_id")
+
+
+@query
+def unite_sources(spark, sf_dir):  # noqa: ANN001, ANN201
+    r = raw(spark, sf_dir)
+    return St.unite(r.where("source = 'set2/part'"), r.where("source = 'set0/part'"), 60, ("dataset_row_id",)).select("source", "dataset_row_id")
+
+
+@query
+def batch_normalize(spark, sf_dir):  # noqa: ANN001, ANN201
+    r = raw(spark, sf_dir)
+    wide = [r.where(f"source = 'set{k}/part'").select(F.lower("ticker").alias("symbol"), F.col("raw_text").alias(c), F.concat_ws("-", F.substring("date", 1, 4), F.substring("date", 5, 2), F.substring("date", 7, 2)).alias("published"), "dataset_row_id") for k, c in enumerate(("content", "transcript", "body"))]
+    return readers.united_splits(wide, "dataset_row_id", 80).select("ticker", "date", "dataset_row_id", F.length("raw_text").alias("n_chars"))
+
+
 @query
 def dedup_keep_first(spark, sf_dir):  # noqa: ANN001, ANN201
     return St.keep_first(raw(spark, sf_dir).select("ticker", "source", "dataset_row_id"), ("dataset_row_id",), ("ticker", "source"))
@@ -195,6 +223,11 @@ def class_cap(spark, sf_dir):  # noqa: ANN001, ANN201
     return St.class_cap(_scored(spark, sf_dir).where("word_count >= 5").select("ticker", "date", "sentence_id", "label"), 150, ("ticker", "date", "sentence_id"))
 
 
+@query
+def hash_split(spark, sf_dir):  # noqa: ANN001, ANN201
+    return St.split(views.table(spark, sf_dir, "labels").select("doc_id"), F.col("doc_id"))
+
+
 @query
 def stratified_split(spark, sf_dir):  # noqa: ANN001, ANN201
     rows = views.table(spark, sf_dir, "labels").withColumnRenamed("quality", "label")
@@ -206,6 +239,13 @@ def macro_f1(spark, sf_dir):  # noqa: ANN001, ANN201
     return St.macro_f1(views.table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("predicted")))
 
 
+@query
+def baseline_evaluation(spark, sf_dir):  # noqa: ANN001, ANN201
+    docs = X.with_scores(views.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"))
+    rows = docs.join(views.table(spark, sf_dir, "labels"), "doc_id").where("quality is not null")
+    return St.macro_f1(rows.select((1 - F.col("quality")).alias("label"), X.weak_label(F.col("sentiment_net")).alias("predicted")))
+
+
 @query
 def daily_bars(spark, sf_dir):  # noqa: ANN001, ANN201
     return views.bars(spark, sf_dir)
@@ -226,6 +266,12 @@ def returns_null_share(spark, sf_dir):  # noqa: ANN001, ANN201
     return R.null_shares(_returns(spark, sf_dir))
 
 
+@query
+def ticker_allow_list(spark, sf_dir):  # noqa: ANN001, ANN201
+    listed = views.table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ticker"))
+    return R.in_universe(views.calls(spark, sf_dir), listed)
+
+
 @query
 def price_window(spark, sf_dir):  # noqa: ANN001, ANN201
     return R.price_window(views.calls(spark, sf_dir))
@@ -281,6 +327,11 @@ def backtest_best(spark, sf_dir):  # noqa: ANN001, ANN201
     return B.best(B.grid(_trades(spark, sf_dir)))
 
 
+@query
+def key_figures(spark, sf_dir):  # noqa: ANN001, ANN201
+    return service.key_figures(B.best(B.grid(_trades(spark, sf_dir))))
+
+
 @query
 def equity_curve(spark, sf_dir):  # noqa: ANN001, ANN201
     return B.equity_curve(_positions(spark, sf_dir))
@@ -313,9 +364,8 @@ def quintile_returns(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query
 def sharpe_rollup(spark, sf_dir):  # noqa: ANN001, ANN201
-    rows = _positions(spark, sf_dir).where("actual_signal_used = 'confidence_score' and holding_period = 'ret_5d'")
     users = views.table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("sector")).distinct()
-    return B.sharpe_rollup(rows, users)
+    return B.sharpe_rollup(_positions(spark, sf_dir), users)
 
 
 @query

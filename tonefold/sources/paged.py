@@ -1,7 +1,7 @@
 """A source that is read page by page at a bounded rate, as a Python data source (filing archives and the like).
 
-The fetcher is the caller's: fetch(offset, size) -> list of (ticker, date, raw_text, source). Pages are partitions, so
-each task fetches one and a failed task fetches it again.
+The fetcher is the caller's: fetch(offset, size) -> list of (ticker, date, raw_text, source), empty behind the last page. One reader goes from
+page to page until it has kept as many records as asked for, so the rate holds for the whole query; if its task fails it begins again.
 """
 
 from __future__ import annotations
@@ -16,17 +16,20 @@ Fetch = Callable[[int, int], list[tuple]]
 
 
 def read_pages(spark: SparkSession, fetch: Fetch, limit: int, page: int = 10, per_second: float = 8.0, least_chars: int = 1000) -> DataFrame:
-    """ticker, date, raw_text, source of texts over least_chars, limit records in all at most."""
+    """ticker, date, raw_text, source of the first `limit` texts over least_chars, with at most per_second requests a second."""
 
     class Pages(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            return [InputPartition(at) for at in range(0, limit, page)]
+            return [InputPartition(0)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            time.sleep(1 / per_second)
-            for row in fetch(partition.value, min(page, limit - partition.value)):
-                if len(row[2] or "") > least_chars:
-                    yield tuple(row)
+            kept, at = 0, partition.value
+            while kept < limit and (rows := fetch(at, page)):
+                good = [tuple(r) for r in rows if len(r[2] or "") > least_chars][: limit - kept]
+                yield from good
+                kept += len(good)
+                at += page
+                time.sleep(1 / per_second)
 
     class Source(DataSource):
         @classmethod

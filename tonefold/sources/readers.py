@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,35 @@ def as_lexicon(words: DataFrame, least: int = 100) -> L.Lexicon:
     return found if sum(map(len, found.values())) >= least else L.FINANCE
 
 
+def store_lexicon(spark: SparkSession, lexicon: L.Lexicon, path: str) -> None:
+    """Writes a lexicon as rows category, word."""
+    rows = [(k, w) for k, words in lexicon.items() for w in words]
+    spark.createDataFrame(rows, "category string, word string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored_lexicon(spark: SparkSession, path: str, make: Callable[[], DataFrame] | None = None, least: int = 100) -> L.Lexicon:
+    """The lexicon stored at path. If there is none yet, that of make() (rows category, word), which is stored; without make(), or with fewer than
+    least words, the built-in one."""
+    try:
+        return as_lexicon(spark.read.schema("category string, word string").parquet(path), least)
+    except AnalysisException:  # no such path
+        if make is None:
+            return L.FINANCE
+    found = as_lexicon(make(), least)
+    store_lexicon(spark, found, path)
+    return found
+
+
+def united_splits(splits: list[DataFrame], row: str, limit: int, least_chars: int = 200) -> DataFrame:
+    """normalized() of the first `limit` rows of all splits, one after another (columns may differ); of these, texts over least_chars."""
+    tagged = [s.withColumn("_split", F.lit(i)) for i, s in enumerate(splits)]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionByName(t, allowMissingColumns=True)
+    first = every.orderBy("_split", row).limit(limit).drop("_split")
+    return normalized(first, F.col(row), least_chars=least_chars)
+
+
 def normalized(rows: DataFrame, row: Column, text: tuple[str, ...] = ("transcript", "text", "content", "body", "input"), ticker: tuple[str, ...] = ("ticker", "symbol", "company_ticker"), least_chars: int = 100, limit: int | None = None) -> DataFrame:
     """Records of any columns to ticker, date, raw_text, source, dataset_row_id; texts up to least_chars go."""
     have = lambda names: [F.col(c) for c in names if c in rows.columns]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonefold.functions.text import clean_ticker
 from tonefold.operators.stats import keep_first, not_yet_stored
 
 
 def write_raw(raw: DataFrame, path: str, stored: DataFrame | None = None, order: tuple[str, ...] = ("dataset_row_id",)) -> None:
-    """Appends transcripts by (ticker, date), the first of each key, none that is stored already."""
-    new = keep_first(raw, order)
+    """Appends transcripts by (ticker, date), the first of each key, none that is stored already. Tickers keep letters, digits and underscores only."""
+    new = keep_first(raw.withColumn("ticker", clean_ticker(F.col("ticker"))), order)
     new = new if stored is None else not_yet_stored(new, stored)
     new.write.mode("append").json(path)
 

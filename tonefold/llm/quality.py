@@ -8,11 +8,13 @@ marginals of "good", weighted by line length. Only the text enters a score.
 The fit uses at most `most_docs` labelled documents with `most_lines` lines in all, in the order of a hash
 of doc_id; scoring covers every line of every document. Documents with a missing or contradictory label aren't learnt from;
 without documents of both labels every score is the share of label 1 (0.5 without labels). A null text counts
-as empty: one empty line. Repeated rows are scored each; a null doc_id is not held out.
+as empty: one empty line. Texts and lines may be of any length. Repeated rows are scored each, alike; a null doc_id is not held out. A score that equals
+the limit is good, so ties need no rule. Other columns, whatever their names, are kept by score() and keep_good() and ignored by predictions().
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from operator import eq
 
@@ -54,17 +56,16 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if not _CLASSES:
         _CLASSES.append(_char_classes())
     n_lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    flat = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    flat = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     total = int(n_lines.sum())
-    line = np.cumsum(flat == 10)
-    line = np.concatenate([[0], line[:-1]]) if len(flat) else line
+    line = np.cumsum(flat == 10) - (flat == 10)
     counts = np.bincount(line * 8 + _CLASSES[0][np.minimum(flat, 0xFFFF)], minlength=total * 8)[: total * 8].reshape(total, 8).astype(float)
     words = np.zeros((total, 3))
     for k, ln in enumerate(x for t in texts for x in t.split("\n")):
         w = ln.split()
         if w:
             words[k] = len(w), sum(map(eq, w, w[1:])), len(set(w))
-    length = counts.sum(1)
+    length = counts.sum(1) - 1  # without the newline
     n, letters = np.maximum(words[:, 0], 1), np.maximum(counts[:, _UPPER] + counts[:, _LETTER], 1)
     own = np.column_stack([
         counts[:, _UPPER] / letters,
@@ -212,18 +213,18 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines:
     return Field.fit(table[:, :N_OWN], np.array(n_lines, np.int64), np.array(y, np.int64), table[:, N_OWN])
 
 
-def score(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with a column quality_score (replaced if there is one)."""
+def score(docs: DataFrame, field: Field, name: str = "quality_score") -> DataFrame:
+    """docs with a column of that name (replaced if there is one)."""
     tune(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c != "quality_score"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = field.scores([x or "" for x in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -235,4 +236,5 @@ def predictions(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose score is at least least, with the columns of docs."""
-    return score(docs, learn(docs, labels)).where(F.col("quality_score") >= least).select(*docs.columns)
+    name = f"_score_{uuid.uuid4().hex[:8]}"
+    return score(docs, learn(docs, labels), name).where(F.col(name) >= least).drop(name)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonefold import lexicon as L
+from tonefold.functions import lexical as X
 from tonefold.operators import diarize as D
 from tonefold.operators import returns as R
 from tonefold.operators import signals as S
@@ -96,6 +97,16 @@ def test_prices_and_returns_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).collect() == index.collect()
 
 
+def test_matcher_is_stored(spark, tmp_path):
+    path = str(tmp_path / "matcher")
+    sinks.write_matcher(spark, path)
+    pattern = readers.matcher(spark, path)
+    assert pattern == X.span_pattern()
+    df = spark.createDataFrame([("We believe this might be subject to change.",)], "text string")
+    got = df.select(X.hedge_spans(F.col("text"), pattern=pattern).alias("s")).first().s
+    assert got == df.select(X.hedge_spans(F.col("text")).alias("s")).first().s != []
+
+
 def test_a_model_labels_sentences(spark):
     sents = spark.createDataFrame([("A", "good loss"), ("B", "bad gain")], "ticker string, text string")
 

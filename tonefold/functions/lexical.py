@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,17 @@ def hedge_phrases(c: Column, lexicon: L.Lexicon = L.FINANCE) -> Column:
 
 def span_pattern(lexicon: L.Lexicon = L.FINANCE) -> str:
     """One alternation of phrases and single hedge words, longest first, so the leftmost longest span wins."""
-    every = {*L.HEDGE_PHRASES, *L.hedge_words(lexicon)}
-    ranked = sorted(every, key=lambda p: (-len(p), p))
+    return alternation({*L.HEDGE_PHRASES, *L.hedge_words(lexicon)})
+
+
+def alternation(phrases: Iterable[str]) -> str:
+    ranked = sorted(phrases, key=lambda p: (-len(p), p))
     return "|".join(p.replace(" ", r"\s+") for p in ranked)
 
 
-def hedge_spans(c: Column, lexicon: L.Lexicon = L.FINANCE) -> Column:
-    """Non-overlapping hedge spans, case ignored, from left to right."""
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)\b(?:{span_pattern(lexicon)})\b"), F.lit(0))
+def hedge_spans(c: Column, lexicon: L.Lexicon = L.FINANCE, pattern: str | None = None) -> Column:
+    """Non-overlapping hedge spans, case ignored, from left to right. pattern: alternation() of a stored matcher's phrases, in place of the lexicon's."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"(?U)\b(?:{pattern or span_pattern(lexicon)})\b"), F.lit(0))
 
 
 def hedge_span_count(c: Column, lexicon: L.Lexicon = L.FINANCE) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tonefold import lexicon as L
 from tonefold import schemas
 from tonefold.functions import text as T
+from tonefold.functions.lexical import alternation
 
 
 def raw_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +95,12 @@ def stored_lexicon(spark: SparkSession, path: str, make: Callable[[], DataFrame]
     return found
 
 
+def matcher(spark: SparkSession, path: str, label: str = "HEDGE") -> str:
+    """The pattern of a stored matcher (some hundred phrases), for lexical.hedge_spans()."""
+    rows = spark.read.schema("label string, phrase string").json(path).where(F.col("label") == label).collect()
+    return alternation({r.phrase for r in rows})
+
+
 def united_splits(splits: list[DataFrame], row: str, limit: int, least_chars: int = 200) -> DataFrame:
     """normalized() of the first `limit` rows of all splits, one after another (columns may differ); of these, texts over least_chars."""
     tagged = [s.withColumn("_split", F.lit(i)) for i, s in enumerate(splits)]

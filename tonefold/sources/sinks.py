@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonefold import lexicon as L
 from tonefold.functions.text import clean_ticker
 from tonefold.operators.stats import keep_first, not_yet_stored
 
@@ -37,6 +38,12 @@ def write_signals(signals: DataFrame, path: str) -> None:
     signals.write.mode("overwrite").parquet(path)
 
 
+def write_matcher(spark: SparkSession, path: str, lexicon: L.Lexicon = L.FINANCE) -> None:
+    """The hedge matcher as data: rows label, phrase. readers.matcher() makes its pattern again."""
+    phrases = sorted({*L.HEDGE_PHRASES, *L.hedge_words(lexicon)})
+    spark.createDataFrame([("HEDGE", p) for p in phrases], "label string, phrase string").coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_results(results_json: DataFrame, path: str) -> None:
     """results_json(): one row of text."""
     results_json.coalesce(1).write.mode("overwrite").text(path)

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, sig long, token long, row long"
+SCHEMA = "doc_id long, text string, lang string, sig long, token long, row long, quality_score double, _gone long, n_lines long"
 
 
 def corpus(n=120, seed=3, vocabulary=400, words=(0, 120)):
@@ -26,7 +26,7 @@ def corpus(n=120, seed=3, vocabulary=400, words=(0, 120)):
 
 def frame(spark, rows):
     """With columns whose names also occur inside the operators."""
-    return spark.createDataFrame([(i, t, "en", 1, 2, 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", 1, 2, 3, 0.5, 4, 5) for i, t in rows], SCHEMA)
 
 
 def shingles(text, k):

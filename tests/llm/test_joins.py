@@ -42,6 +42,12 @@ def test_components(spark, k, percent, block):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
 
+def test_documents_without_an_id_do_not_name_a_component(spark):
+    rows = [(None, "a b c d e f g"), (7, "a b c d e f g"), (None, "x y z"), (9, "other words here")]
+    got = sorted((tuple(r)[::2] for r in ngram.components(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(None, 7), (7, 7), (None, None), (9, 9)], key=repr)
+
+
 def test_keep_first(spark):
     rows = corpus()
     df = frame(spark, rows)
@@ -62,7 +68,7 @@ def test_empty_tables(spark):
 def removed(rows, k=5, percent=80):
     """By the definition: a line goes if an earlier one has a Jaccard of at least 0.8."""
     seen, out = [], {}
-    order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    order = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))  # rows of one doc_id have one text
     for i, t in order:
         for j, ln in enumerate(t.split("\n")):
             s = shingles(ln, k)
@@ -78,7 +84,7 @@ def test_line_dedup(spark, block):
     rows = [(i, None if t is None else "\n".join(" ".join(t.split()[a : a + 12]) for a in range(0, max(1, len(t.split())), 12))) for i, t in corpus(80)]
     df = frame(spark, rows)
     got = lines.dedup(df, block=block)
-    assert got.columns == [*df.columns, "n_lines", "n_removed", "n_left"]
+    assert got.columns == [*[c for c in df.columns if c != "n_lines"], "n_lines", "n_removed", "n_left"]
     gone = removed(rows)
     want = []
     for i, t in rows:
@@ -88,6 +94,32 @@ def test_line_dedup(spark, block):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_rows_of_one_doc_id_keep_their_own_lines(spark):
+    rows = [(None, "a b c d e f\nunique one"), (None, "a b c d e f\nunique two"), (5, "a b c d e f\nunique three"), (5, "unique four\na b c d e f")]
+    got = lines.dedup(frame(spark, rows)).collect()
+    assert sum(r.n_removed for r in got) == 3  # the common line stays once, in a row without a doc_id
+    assert sorted(x for r in got for x in r.text.split("\n") if x.startswith("unique")) == ["unique four", "unique one", "unique three", "unique two"]
+    assert sum("a b c" in r.text for r in got if r.doc_id is None) == 1
+
+
+def test_large_groups_elect_a_leader(spark):
+    rnd = random.Random(30)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # most are close to the first, some only to each other
+        w = list(base)
+        for _ in range(i % 9):
+            w[rnd.randrange(60)] = f"n{rnd.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t, 5) for _, t in rows]
+    roots = classes(len(rows), lambda a, b: jaccard_links(sets[a], sets[b], 80))
+    for block in (4, 16):
+        got = {r.doc_id: r.component_id for r in ngram.components(frame(spark, rows), 5, 80, block).collect()}
+        assert got == {i: roots[i] for i in range(150)}
+    gone = removed(rows)
+    assert {r.doc_id for r in lines.dedup(frame(spark, rows), block=8).where("n_removed > 0").collect()} == set(gone)
+
+
 def test_strip_drops_documents_without_lines(spark):
     df = spark.createDataFrame([(1, "a b c\nd e f", 11), (2, "a b c\nd e f", 11), (3, "", 0), (4, "d e f\nnew line here", 21)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in lines.strip(df).collect()}
@@ -128,6 +160,50 @@ def test_embeddings(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_recall_of_pairs_at_the_threshold(spark, dim):
+    """Codes are made for some hundred thousand vectors; the pairs, of cosine 0.98 to 0.99, have to meet in a piece."""
+    rnd = np.random.default_rng(dim)
+    x = rnd.standard_normal((4000, dim)) * np.linspace(2, 0.5, dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rnd.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rnd.uniform(0.98, 0.99, (4000, 1))
+    width, n = embed.shape(300_000, 0.98)
+    codes = embed.Codes(x[:2000], dim, width, n)
+    differ = np.bitwise_count(codes.pieces(x) ^ codes.pieces(c * x + np.sqrt(1 - c * c) * y))
+    assert width >= 22 and (differ.min(1) <= 1).mean() >= 0.98
+    near = embed.near(spark.createDataFrame([(2 * i + k, v.tolist(), 0) for i in range(200) for k, v in enumerate((x[i], (c * x + np.sqrt(1 - c * c) * y)[i]))], "vec_id long, embedding array<double>, label int"))
+    assert near.where("n_links > 0").count() >= 0.98 * 400
+
+
+@pytest.mark.parametrize("common", [4, 1 << 16])
+def test_postings_meet(monkeypatch, common):
+    """Every item of a token that others have comes out with a first one, whether the token is common in a task or not."""
+    import pyarrow as pa
+
+    from tonefold.llm import blocks
+
+    monkeypatch.setattr(blocks, "COMMON", common)
+    monkeypatch.setattr(blocks, "COLLECTED", 100)
+    rnd = np.random.default_rng(3)
+    parts = [(rnd.zipf(1.6, 60).astype(np.int64) % 97 - 40, rnd.integers(0, 200, 60)) for _ in range(12)]
+    rows = [r for task in (parts[:7], parts[7:]) for r in blocks.Postings(3 << 19).dealt(iter(task))]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for r in rows for x in r[f.name]], f.type) for f in blocks.Postings.TYPES], schema=blocks.Postings.TYPES)
+    batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+    got = {}
+    for out in blocks._met(iter([batch.slice(0, 5), batch.slice(5)])):
+        for t, e, f in zip(*(np.asarray(out[k]).tolist() for k in ("token", "ent", "first")), strict=True):
+            got.setdefault(t, set()).add(e)
+            assert f >= 0
+    held = {}
+    for t, e in parts:
+        for a, b in zip(t.tolist(), e.tolist(), strict=True):
+            held.setdefault(a, set()).add(b)
+    assert got == {t: e for t, e in held.items() if len(e) > 1}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 8), (200, 150)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "test")).collect()}

@@ -11,17 +11,21 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a text column that go to Python at once; a batch stays small however long its texts are.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # a single machine, as in tests: a folder that goes with the process
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # a single machine, as in tests: a folder that goes with the process
         folder = tempfile.mkdtemp(prefix="tonefold-")
         atexit.register(shutil.rmtree, folder, True)
         root = f"file://{folder}"
@@ -64,14 +68,14 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", "lz4").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.spark._jvm.System.gc()  # Spark deletes shuffle files when the driver collects what refers to them, else after 30 minutes
+        if (jvm := getattr(self.spark, "_jvm", None)) is not None:  # not with Connect
+            jvm.System.gc()  # Spark deletes shuffle files when the driver collects what refers to them, else after 30 minutes
         return out
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deals rows out by cols, in as many partitions as the session's shuffles have."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols)
+    """Deals rows out by cols; how many partitions there are is left to the session and to adaptive execution."""
+    return df.repartition(*cols)
 
 
 def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, types: pa.Schema) -> DataFrame:
@@ -131,6 +135,15 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; the first row's do."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all output bits."""
     with np.errstate(over="ignore"):
@@ -143,48 +156,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Words (runs outside [\\x20\\x09-\\x0D]) of a byte string and their 64-bit hashes, by array operations.
 
-    A word's hash is the difference of two prefix sums of values times powers, divided by the power at its start.
+    A word is read eight bytes at a time, what lies behind its end masked out; words of LONG bytes or more are hashed one by one.
     """
 
-    PIECE = 1 << 17
+    LONG = 256
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(977)
-        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-        self.base = int(rng.integers(1, 2**63, dtype=np.uint64)) | 5
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * self.PIECE)
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                with np.errstate(over="ignore"):
-                    setattr(self, name, np.multiply.accumulate(x))
+        self.mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and first bytes of the words."""
-        raw = np.frombuffer(text, np.uint8)
-        blank = np.ones(len(raw) + 2, bool)
-        blank[1:-1] = self.space[raw]
+        raw = np.zeros(len(text) + 8, np.uint8)
+        raw[: len(text)] = np.frombuffer(text, np.uint8)
+        blank = np.ones(len(text) + 2, bool)
+        np.less(raw[: len(text)] - np.uint8(9), 5, out=blank[1:-1])  # 9 to 13
+        blank[1:-1] |= raw[: len(text)] == 32
         edge = np.flatnonzero(blank[1:] != blank[:-1])
-        start, end = edge[::2], edge[1::2]
-        out = np.empty(len(start), np.uint64)
-        i = 0
-        while i < len(start):  # pieces that stay in a processor's cache
-            a = int(start[i])
-            j = max(i + 1, int(np.searchsorted(end, a + self.PIECE, "right")))
-            b = int(end[j - 1])
-            self._powers(b - a + 1)
-            with np.errstate(over="ignore"):
-                sums = np.zeros(b - a + 1, np.uint64)
-                np.cumsum(self.value[raw[a:b]] * self.up[: b - a], out=sums[1:])
-                s = start[i:j] - a
-                out[i:j] = mixed((sums[end[i:j] - a] - sums[s]) * self.down[s])
-            i = j
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(text) + 1,), "<u8", buffer=raw, strides=(1,))
+        with np.errstate(over="ignore"):
+            out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= eight[start] & self.mask[np.minimum(size, 8)]
+            more, k = np.flatnonzero((size > 8) & (size < self.LONG)), 8
+            while len(more):
+                x = out[more]
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out[more] = (x ^ (x >> np.uint64(32))) + (eight[start[more] + k] & self.mask[np.minimum(size[more] - k, 8)])
+                k += 8
+                more = more[size[more] > k]
+            out ^= out >> np.uint64(32)
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+        for i in np.flatnonzero(size >= self.LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
         return out, start
 
 

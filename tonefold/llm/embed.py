@@ -7,11 +7,13 @@ and reranked by the cosine of the original vectors in double precision.
 
 Equal vectors of one label are one class, so copies aren't compared with each other. Vectors that are null, empty,
 zero or hold null or non-finite components, and rows without a label, link with nothing. Vectors of different
-lengths link with nothing. A repeated vec_id is a row of its own; null vec_ids are carried along. Other columns are ignored.
+lengths link with nothing, whatever their length. A repeated vec_id is a row of its own; null vec_ids are carried along and never name a component that has another.
+A cosine that equals the threshold links, so ties need no rule. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,24 +22,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import grouped, met, opened, placed
+from .blocks import Postings, cut, grouped, met, opened, placed
 from .common import Scratch, arrow, mixed
 from .components import components as connected
 from .setjoin import spanning
 
 #: The rotation is fitted on so many vectors at most; all are indexed.
 SAMPLE = 4096
-BITS, PIECES = 64, 4
+#: Share of the pairs at the threshold that may meet in no piece, if a code's bits differ as directions at random would.
+MISSED = 0.002
+
+
+def shape(n: int, least: float) -> tuple[int, int]:
+    """Bits of a piece and number of pieces for n vectors of a label: pieces grow with the logarithm of n, so that few vectors share one by chance,
+    and there are so many that pairs with a cosine of least have one that differs in one bit at most."""
+    width = min(60, max(16, math.ceil(math.log2(max(n, 2))) + 4))
+    flip = math.acos(min(1.0, least)) / math.pi
+    near = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+    return width, max(2, math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - near))))
 
 
 class Codes:
     """Binary codes of vectors of one length."""
 
-    def __init__(self, x: np.ndarray, dim: int, bits: int = BITS, rounds: int = 40, seed: int = 7) -> None:
-        """x: sample of unit vectors (may be empty: then the rotation is random)."""
+    def __init__(self, x: np.ndarray, dim: int, width: int, n: int, rounds: int = 40, seed: int = 7) -> None:
+        """x: sample of unit vectors (may be empty: then the rotation is random). width, n: shape()."""
         rng = np.random.default_rng(seed)
+        self.width, self.n, every = width, n, width * n
         self.mean = x.mean(0) if len(x) else np.zeros(dim)
-        bits = min(bits, dim)
+        bits = min(every, dim)
         if len(x) > bits:
             c = x - self.mean
             _, axes = np.linalg.eigh(c.T @ c)
@@ -51,15 +64,14 @@ class Codes:
             self.project = basis @ r
         else:
             self.project = np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :bits]
-        if bits < BITS:  # short vectors get random directions besides
-            more = rng.standard_normal((dim, BITS - bits))
-            self.project = np.column_stack([self.project, more])
+        if bits < every:  # short vectors get random directions besides
+            more = rng.standard_normal((dim, every - bits))
+            self.project = np.column_stack([self.project, more])[:, rng.permutation(every)]
 
     def pieces(self, x: np.ndarray) -> np.ndarray:
-        """Of each vector its code in PIECES unsigned integers."""
+        """Of each vector its code in n unsigned integers."""
         b = ((x - self.mean) @ self.project >= 0).astype(np.uint64)
-        width = BITS // PIECES
-        return (b.reshape(len(x), PIECES, width) << np.arange(width, dtype=np.uint64)).sum(2).astype(np.uint64)
+        return (b.reshape(len(x), self.n, self.width) << np.arange(self.width, dtype=np.uint64)).sum(2).astype(np.uint64)
 
 
 def usable(values: list | None) -> np.ndarray | None:
@@ -89,7 +101,7 @@ def classes(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(arrow(rows, run, "vec_id long, ent long, label long, unit binary", types), "vectors")
 
 
-def near(vectors: DataFrame, least: float = 0.98, block: int = 128) -> DataFrame:
+def near(vectors: DataFrame, least: float = 0.98, block: int = 1024) -> DataFrame:
     """vectors: vec_id, embedding (array of numbers), label. Returns vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embed")
@@ -98,11 +110,12 @@ def near(vectors: DataFrame, least: float = 0.98, block: int = 128) -> DataFrame
     sample: dict[int, list[np.ndarray]] = {}
     for r in distinct.select("unit").orderBy(F.xxhash64("ent"), "ent").limit(SAMPLE).toLocalIterator():
         sample.setdefault(len(r.unit) // 8, []).append(np.frombuffer(r.unit, np.float64))
-    sent = spark.sparkContext.broadcast({d: Codes(np.array(x), d) for d, x in sample.items()})
+    width, pieces = shape(distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, least)
+    sent = spark.sparkContext.broadcast({d: Codes(np.array(x), d, width, pieces) for d, x in sample.items()})
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        codes, width = dict(sent.value), BITS // PIECES
-        flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint64)
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = dict(sent.value)
+        flips = np.concatenate([[0], 1 << np.arange(width, dtype=np.int64)]).astype(np.uint64)
         for batch in batches:
             ent, label = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             units = [np.frombuffer(x, np.float64) for x in batch.column(2).to_pylist()]
@@ -110,16 +123,18 @@ def near(vectors: DataFrame, least: float = 0.98, block: int = 128) -> DataFrame
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 if d not in codes:
-                    codes[d] = Codes(np.zeros((0, d)), d)
+                    codes[d] = Codes(np.zeros((0, d)), d, width, pieces)
                 p = codes[d].pieces(np.array([units[i] for i in at]))
                 where = mixed(label[at].view(np.uint64) + np.uint64(d << 40))
-                token = p[:, :, None] ^ flips
-                token = mixed(token + where[:, None, None] + (np.arange(PIECES, dtype=np.uint64) << np.uint64(20))[None, :, None])
-                n = PIECES * (width + 1)
-                yield {"token": token.reshape(-1).view(np.int64), "ent": np.repeat(ent[at], n)}
-
-    posts = arrow(distinct.select("ent", "label", "unit"), index, "token long, ent long", pa.schema([("token", pa.int64()), ("ent", pa.int64())]))
-    groups, asks = grouped(met(posts, scratch), scratch, block)
+                token = mixed(p[:, :, None] ^ flips)
+                token = mixed(token + where[:, None, None] + (np.arange(pieces, dtype=np.uint64) << np.uint64(20))[None, :, None])
+                n = pieces * (width + 1)
+                yield token.reshape(-1).view(np.int64), np.repeat(ent[at], n)
+
+    postings = Postings(distinct.count() * pieces * (width + 1))
+    posts = arrow(distinct.select("ent", "label", "unit"), lambda batches: postings.dealt(index(batches)), Postings.SCHEMA, Postings.TYPES)
+    members, asks = grouped(met(posts, scratch), scratch)
+    groups = scratch.table(cut(members, block), "blocks")
 
     def rerank(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in parts:

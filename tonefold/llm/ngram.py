@@ -1,16 +1,20 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Distinct shingle sets that share a rare shingle are gathered into groups of bounded size. For a query
-set, the matrix (which shingles the group's members have, together) bounds its overlap with any
-member from above; only groups whose bound reaches the threshold are opened, and their members compared exactly.
+Distinct shingle sets that share a rare shingle are gathered into groups. The token-group matrix is a table: which of the rare shingles (those
+of a set's prefix, by which sets that link must meet) any member of a group has. A query set's shingles in a group's row bound what
+it shares with any member; only groups whose bound reaches the need are opened, block by block, where the union of a block's whole sets bounds the overlap
+again before members are compared exactly.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing (each is its own
-component). Repeated rows stay repeated. A null doc_id is carried along; it counts as smallest only
-where every member of a component has one. Other columns are ignored by components() and kept by keep_first().
+component). Texts may be of any length. Repeated rows stay repeated. A null doc_id is carried along; it counts as smallest only
+where every member of a component has one. Of a component's documents the smallest doc_id names it, so there are no ties but those of repeated
+doc_ids, which stay or go together. Other columns, whatever their names, are ignored by components() and kept by keep_first().
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +30,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     """
     rule = Rule(words, percent, False, block)
     scratch = Scratch(docs.sparkSession, "ngram")
-    items, firsts, sets = joined_sets(docs, rule, scratch)
-    roots = connected(similar_edges(sets, rule, scratch), scratch)
-    by_sig = firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "doc_id")
-    least = by_sig.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.table(by_sig.join(least, "root").select("sig", "component_id"), "named")
-    rows = items.join(named, "sig", "left")
+    join = joined_sets(docs, rule, scratch)
+    roots = connected(similar_edges(join, rule, scratch), scratch)
+    by_sig = join.firsts.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "low", "sig2")
+    least = by_sig.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = scratch.table(by_sig.join(least, "root").select("sig", "sig2", "component_id"), "named")
+    rows = join.items.join(named, ["sig", "sig2"], "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -40,5 +44,6 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     Rows that repeat a doc_id stay or go together."""
     scratch = Scratch(docs.sparkSession, "ngram-keep")
     found = components(docs, words, percent, block)
-    gone = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    key = f"_gone_{uuid.uuid4().hex[:8]}"
+    gone = scratch.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

@@ -1,11 +1,12 @@
 """Exact Jaccard joins of texts (whole documents or single lines) as sets of word shingles.
 
-1. One pass hashes the shingles of every item, writes a row with the hash of its set (equal sets are one
+1. One pass hashes the shingles of every item, writes a row with the hash of its set (128 bits; equal sets are one
    class from here on) and counts shingles in a sketch of fixed size, from which rarity is read.
 2. A second pass orders each set by rarity and emits its prefix: as two sets with Jaccard >= t share
    SHARED elements of their first n - ceil(t n) + SHARED, only sets that share so many can link.
-3. blocks.py gathers such sets into groups and opens blocks against blocks; there the length
-   filter and the positional one (up to 36 pairs) or the union bound (more) are applied and overlaps counted exactly.
+3. blocks.py gathers such sets into groups, holds each set's prefix against the matrix of groups and the elements that any member has there, and opens
+   qualifying groups, block against block; there the length filter, the union bound and the prefix and positional filters are applied and overlaps counted exactly.
+4. A group of more than LED blocks elects the set that occurs first; sets that link with it aren't compared with each other.
 
 Words are maximal runs outside [\\x20\\x09-\\x0D] after A-Z are lower-cased; an item with fewer than k
 words is one shingle; an item without words has the empty set and links with nothing.
@@ -21,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import grouped, met, opened, placed
-from .common import Scratch, WordHashes, arrow, mixed, spread, texts_of
+from .blocks import Postings, cut, grouped, led, met, opened, placed
+from .common import Scratch, WordHashes, arrow, changes, mixed, spread, texts_of, wide
 
 #: Counters of the rarity sketch: 2 ** SKETCH_BITS, whatever the size of the corpus; one byte each when sent out.
 SKETCH_BITS = 22
 CHUNK = 1 << 16
 #: By so many elements prefixes have to meet, if the smallest sets that can link have as many.
-SHARED = 4
+SHARED = 3
+#: Groups of more blocks than this elect a leader: what a set costs in its own group is bounded by so many blocks and the sets that don't follow one.
+LED = 16
 #: Shingles are made from so many words at a time.
 PIECE = 1 << 16
 
@@ -83,16 +86,16 @@ class Shingler:
                     more = w[a + j : a + j + len(part)]
                     part[: len(more)] += more * self.factor[j]
                 part[:] = mixed(part)
-            out, a = [], 0
-            for b in ends:
-                if b - a >= k:
-                    out.append(s[a : b - k + 1])
-                elif b > a:
-                    out.append(mixed(np.array([(w[a:b] * self.factor[k : k + b - a]).sum() + np.uint64(b - a)], np.uint64)))
-                else:
-                    out.append(s[:0])
-                a = b
-        return out, doc, no, np.concatenate(out)
+            ends = np.array(ends, np.int64)
+            begins = np.concatenate([[0], ends[:-1]])
+            n = ends - begins
+            for i in np.flatnonzero((n > 0) & (n < k)).tolist():  # one shingle of all words; it stands where the first word does
+                a, b = begins[i], ends[i]
+                s[a] = mixed(np.array([(w[a:b] * self.factor[k : k + b - a]).sum() + np.uint64(b - a)], np.uint64))[0]
+        n = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        flat = s[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = np.cumsum(n)
+        return [flat[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], doc, no, flat
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -125,27 +128,82 @@ def distinct_each(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [flat[a:b] for a, b in bounds]
 
 
-def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """Of sorted sets; signed 64-bit numbers (of empty sets: any number)."""
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted sets: two signed 64-bit numbers each, which together tell them apart (of empty sets: any numbers)."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    out = np.zeros(len(sets), np.uint64)
+    out, more = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
     if n.any():
         with np.errstate(over="ignore"):
-            spread_ = mixed(np.concatenate(sets) + np.uint64(0x9E3779B97F4A7C15))
+            flat = np.concatenate(sets)
             full = n > 0
-            out[full] = np.add.reduceat(spread_, (np.cumsum(n) - n)[full])
+            starts = (np.cumsum(n) - n)[full]
+            out[full] = np.add.reduceat(flat, starts)
+            more[full] = np.add.reduceat((flat ^ flat >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9), starts)
             out = mixed(out + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return out.view(np.int64)
+    return out.view(np.int64), more.view(np.int64)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row: rows of one doc_id with different texts are different rows, all others that repeat are one."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+
+
+#: Where no document has an id: above all that there are.
+NONE = np.iinfo(np.int64).max
+
+
+def first_of_each(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of rows sig, sig2, known (whether there is a doc_id), doc_id, row, item, n, low, one for each sig, sig2, in their order: the first by doc_id (none
+    comes first), row and item, with the sum of n and the least of low. Second: where each stood."""
+    order = np.lexsort((c["item"], c["row"], c["doc_id"], c["known"], c["sig2"], c["sig"]))
+    start = np.flatnonzero(changes(c["sig"][order], c["sig2"][order]))
+    at = order[start]
+    out = {k: v[at] for k, v in c.items()}
+    if len(at):
+        out["n"], out["low"] = np.add.reduceat(c["n"][order], start), np.minimum.reduceat(c["low"][order], start)
+    return out, at
+
+
+def classes(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """sig, sig2, doc_id, row, item (where each set first occurs), copies (how often it does), low (the smallest doc_id that has it).
+
+    survey() has taken together what a batch has of a set, so a very common one is a row a batch here; of these only the first so far is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column(2)
+            cols = {"sig": batch.column(0).to_numpy(), "sig2": batch.column(1).to_numpy(), "known": doc.is_valid().to_numpy(zero_copy_only=False), "doc_id": doc.fill_null(0).to_numpy(), "row": batch.column(3).to_numpy(), "item": batch.column(4).to_numpy(), "n": batch.column(5).to_numpy(), "low": batch.column(6).to_numpy()}
+            if held is not None:
+                cols = {k: np.concatenate([held[k], v]) for k, v in cols.items()}
+            cols, _ = first_of_each(cols)
+            cut = int(np.searchsorted(cols["sig"], cols["sig"][-1]))  # rows of the last one may go on
+            held = {k: v[cut:] for k, v in cols.items()}
+            yield done({k: v[:cut] for k, v in cols.items()})
+        if held is not None:
+            yield done(held)
+
+    def done(c: dict[str, np.ndarray]) -> dict:
+        return {"sig": c["sig"], "sig2": c["sig2"], "doc_id": pa.array(c["doc_id"], pa.int64(), mask=~c["known"]), "row": c["row"], "item": c["item"], "copies": c["n"], "low": pa.array(c["low"], pa.int64(), mask=c["low"] == NONE)}
+
+    long, int_ = pa.int64(), pa.int32()
+    types = pa.schema([("sig", long), ("sig2", long), ("doc_id", long), ("row", long), ("item", int_), ("copies", long), ("low", long)])
+    with wide(items.sparkSession):
+        rows = spread(items.where("lead > 0").select("sig", "sig2", "doc_id", "row", "item", "lead", "low"), "sig").sortWithinPartitions("sig")
+        return scratch.table(arrow(rows, run, "sig long, sig2 long, doc_id long, row long, item int, copies long, low long", types), "classes")
 
 
 def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Rows doc_id, item, n, sig (null for empty sets) of all items; the classes of rarity by counter."""
+    """Rows doc_id, row, item, n, sig, sig2 (null for empty sets) of all items, with lead (of the first item in a batch that has a set: how many have it there;
+    else 0) and low (the smallest doc_id there that has it); the classes of rarity by counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sh, size = Shingler(rule), 1 << SKETCH_BITS
         counts, held, n_held = np.zeros(size, np.int64), [], 0
         for batch in batches:
-            ids = batch.column(0)
             sets, doc, no, flat = sh.items(texts_of(batch))
             held.append((flat & np.uint64(size - 1)).astype(np.int32))
             n_held += len(flat)
@@ -153,16 +211,25 @@ def survey(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, np
                 counts += np.bincount(np.concatenate(held), minlength=size)
                 held, n_held = [], 0
             sets = distinct_each(sets)
-            yield {"doc_id": ids.take(pa.array(doc, pa.int64())), "item": no, "n": [len(x) for x in sets], "sig": pa.array(set_hashes(sets), pa.int64(), mask=np.array([not len(x) for x in sets], bool)), "counts": [None] * len(sets)}
+            at, none = pa.array(doc, pa.int64()), np.array([not len(x) for x in sets], bool)
+            sig, sig2 = set_hashes(sets)
+            ids, row, no = batch.column(0).take(at), batch.column(2).take(at), np.array(no, np.int32)
+            full = np.flatnonzero(~none)
+            known, doc = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            every = {"sig": sig, "sig2": sig2, "known": known, "doc_id": doc, "row": row.to_numpy(), "item": no, "n": np.ones(len(sets), np.int64), "low": np.where(known, doc, NONE)}
+            first, where = first_of_each({k: v[full] for k, v in every.items()})
+            lead, low = np.zeros(len(sets), np.int64), np.full(len(sets), NONE)
+            lead[full[where]], low[full[where]] = first["n"], first["low"]
+            yield {"doc_id": ids, "row": row, "item": no, "n": [len(x) for x in sets], "sig": pa.array(sig, pa.int64(), mask=none), "sig2": pa.array(sig2, pa.int64(), mask=none), "lead": lead, "low": low, "counts": [None] * len(sets)}
         if held:
             counts += np.bincount(np.concatenate(held), minlength=size)
         for c in range(0, size, CHUNK):
             part = counts[c : c + CHUNK]
             if at := np.flatnonzero(part).astype(np.uint16).tobytes():
-                yield {"doc_id": [None], "item": [-1 - c // CHUNK], "n": [0], "sig": [None], "counts": [at + part[part > 0].tobytes()]}
+                yield {"doc_id": [None], "row": [None], "item": [-1 - c // CHUNK], "n": [0], "sig": [None], "sig2": [None], "lead": [0], "low": [0], "counts": [at + part[part > 0].tobytes()]}
 
-    types = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("counts", pa.binary())])
-    rows = scratch.table(arrow(docs.select("doc_id", "text"), run, "doc_id long, item int, n int, sig long, counts binary", types), "items")
+    types = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item", pa.int32()), ("n", pa.int32()), ("sig", pa.int64()), ("sig2", pa.int64()), ("lead", pa.int64()), ("low", pa.int64()), ("counts", pa.binary())])
+    rows = scratch.table(arrow(keyed(docs), run, "doc_id long, row long, item int, n int, sig long, sig2 long, lead long, low long, counts binary", types), "items")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sums: dict[int, np.ndarray] = {}
@@ -185,9 +252,11 @@ def ordered(sets: list[np.ndarray], rarity: np.ndarray) -> list[np.ndarray]:
     x = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     cls = rarity[(x & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
     x, out, a = (cls << np.uint64(56)) | (x >> np.uint64(8)), [], 0
-    for s in sets:
-        out.append(np.sort(x[a : a + len(s)]))
-        a += len(s)
+    for n in map(len, sets):
+        part = x[a : a + n]
+        part.sort()
+        out.append(part)
+        a += n
     return out
 
 
@@ -195,40 +264,41 @@ def ceil_share(n: int, rule: Rule) -> int:
     return -(-n * rule.percent // 100)
 
 
-def candidates(docs: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
-    """Postings token, ent (a set's hash) of the prefixes; a task emits the same set once. Sets too small to link with a different one are left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(rarity)
+def candidates(docs: DataFrame, rule: Rule, rarity: np.ndarray, total: int) -> DataFrame:
+    """Postings (about total) token, ent (a set's hash) of the prefixes; a task emits the same set once. Sets too small to link with a different one are left out."""
+    sent, postings = docs.sparkSession.sparkContext.broadcast(rarity), Postings(total)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sh, seen, order = Shingler(rule), set(), sent.value
         for batch in batches:
-            tokens, ents = [], []
             sets = distinct_each([x for x in sh.items(texts_of(batch))[0] if len(x) >= rule.smallest])
             new = []
-            for i, sig in enumerate(set_hashes(sets).tolist()):
+            for i, sig in enumerate(set_hashes(sets)[0].tolist()):
                 if sig not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sig)
                     new.append((i, sig))
-            for (_, sig), x in zip(new, ordered([sets[i] for i, _ in new], order), strict=True):
-                if len(x) >= rule.smallest:
-                    x = x[: len(x) - ceil_share(len(x), rule) + rule.shared]
-                    tokens.append(x)
-                    ents.append((sig, len(x)))
-            if tokens:
-                yield {"token": np.concatenate(tokens).view(np.int64), "ent": np.repeat(np.array([e for e, _ in ents], np.int64), [n for _, n in ents])}
+            new = [(i, sig) for i, sig in new if len(sets[i]) >= rule.smallest]
+            if new:
+                every = np.concatenate(ordered([sets[i] for i, _ in new], order))
+                n = np.array([len(sets[i]) for i, _ in new])
+                prefix = np.minimum(n - -(-n * rule.percent // 100) + rule.shared, n)
+                place = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+                yield every[place < np.repeat(prefix, n)].view(np.int64), np.repeat(np.array([sig for _, sig in new], np.int64), prefix)
 
-    return arrow(docs.select("text"), run, "token long, ent long", pa.schema([("token", pa.int64()), ("ent", pa.int64())]))
+    return arrow(docs.select("text"), lambda batches: postings.dealt(parts(batches)), Postings.SCHEMA, Postings.TYPES)
 
 
+#: Elements of either side that linked() counts with at once.
+HELD = 1 << 19
 #: Bytes of sets that a task hands on at once.
 HANDED = 8 << 20
 
 
 def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule, rarity: np.ndarray) -> DataFrame:
-    """places (see placed()) with doc_id, item, toks: sets made anew from the first text that has each, straight to where they are needed."""
-    at = firsts.join(places.withColumnRenamed("ent", "sig"), "sig").groupBy("doc_id").agg(F.collect_list(F.struct("item", "sig", "key", "blk", "part", "query")).alias("want")).hint("shuffle_hash")
+    """places (see placed()) with sig2, doc_id, row, item, toks: sets made anew from the first text that has each, straight to where they are needed."""
+    at = firsts.select("sig", "doc_id", "row", "item").join(places.withColumnRenamed("ent", "sig"), "sig").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item", "sig", "key", "blk", "part", "query")).alias("want")).hint("shuffle_hash")
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -236,18 +306,18 @@ def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule,
         out: dict[str, list] = {f.name: [] for f in types}
         size = 0
         for batch in batches:
-            ids, wants = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, rows, wants = (batch.column(i).to_pylist() for i in (0, 2, 3))
             sets, doc, no, _ = sh.items(texts_of(batch))
             want: list[dict] = [{} for _ in wants]
-            for w, rows in zip(want, wants, strict=True):
-                for x in rows:
+            for w, places_ in zip(want, wants, strict=True):
+                for x in places_:
                     w.setdefault((x["item"], x["sig"]), []).append((x["key"], x["blk"], x["part"], x["query"]))
             sets = distinct_each(sets)
-            found = [(x, i, j, sig) for x, i, j, sig in zip(sets, doc, no, set_hashes(sets).tolist(), strict=True) if len(x) and (j, sig) in want[i]]
-            for (_, i, j, sig), x in zip(found, ordered([f[0] for f in found], order), strict=True):
+            found = [(x, i, j, *sig) for x, i, j, *sig in zip(sets, doc, no, *(h.tolist() for h in set_hashes(sets)), strict=True) if len(x) and (j, sig[0]) in want[i]]
+            for (_, i, j, sig, sig2), x in zip(found, ordered([f[0] for f in found], order), strict=True):
                 if raw := x.tobytes():
                     for place in want[i][j, sig]:
-                        for k, v in zip(out, (*place, sig, ids[i], j, raw), strict=True):
+                        for k, v in zip(out, (*place, sig, sig2, ids[i], rows[i], j, raw), strict=True):
                             out[k].append(v)
                         size += len(raw)
                         if size > HANDED:
@@ -255,9 +325,11 @@ def payloads(docs: DataFrame, firsts: DataFrame, places: DataFrame, rule: Rule,
                             out, size = {f.name: [] for f in types}, 0
         yield out
 
-    rows = docs.select("doc_id", "text").join(at, docs["doc_id"].eqNullSafe(at["doc_id"])).select(docs["doc_id"], "text", "want")
-    types = pa.schema([("key", pa.int64()), ("blk", pa.int32()), ("part", pa.int32()), ("query", pa.int32()), ("ent", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int32()), ("toks", pa.binary())])
-    return arrow(rows, run, "key long, blk int, part int, query int, ent long, doc_id long, item int, toks binary", types)
+    texts = keyed(docs)
+    rows = texts.join(at, texts["doc_id"].eqNullSafe(at["doc_id"]) & (texts["row"] == at["row"])).select(texts["doc_id"], "text", texts["row"], "want")
+    long, int_ = pa.int64(), pa.int32()
+    types = pa.schema([("key", long), ("blk", int_), ("part", int_), ("query", int_), ("ent", long), ("sig2", long), ("doc_id", long), ("row", long), ("item", int_), ("toks", pa.binary())])
+    return arrow(rows, run, "key long, blk int, part int, query int, ent long, sig2 long, doc_id long, row long, item int, toks binary", types)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -322,34 +394,69 @@ def few_linked(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[np
     return out[:, 0], out[:, 1]
 
 
+def bounds(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """The positional filter for whole blocks: of each set of a and each of b, how much is left from the first element that their prefixes share on
+    (in the set of which less is left); 0 where they share none."""
+
+    def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = [len(x) - ceil_share(len(x), rule) + 1 for x in sets]
+        el = np.concatenate([x[:k] for x, k in zip(sets, n, strict=True)])
+        which = np.repeat(np.arange(len(sets)), n)
+        left = np.repeat([len(x) for x in sets], n) - (np.arange(len(el)) - np.repeat(np.cumsum(n) - n, n))
+        order = np.argsort(el, kind="stable")
+        return el[order], which[order], left[order]
+
+    ea, ia, la = prefixes(a)
+    eb, ib, lb = prefixes(b)
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = np.intersect1d(ea, eb)[::-1]  # the first shared element is written last
+    ranges = zip(*(np.searchsorted(e, both, side).tolist() for e in (ea, eb) for side in ("left", "right")), strict=True)
+    for a0, a1, b0, b1 in ranges:
+        if a1 - a0 == 1 == b1 - b0:
+            out[ia[a0], ib[b0]] = min(la[a0], lb[b0])
+        else:
+            out[ia[a0:a1, None], ib[b0:b1]] = np.minimum(la[a0:a1, None], lb[b0:b1])
+    return out
+
+
 def linked(a: list[np.ndarray], b: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs that link: the length filter first, then the union bound, then counts of whole blocks."""
+    """Indices of the pairs that link: after the length filter the union bound, after it the prefix and positional filters, then overlaps are counted."""
     none = np.empty(0, np.int64)
     if not a or not b:
         return none, none
-    if len(a) * len(b) <= 36:
+    if len(a) * len(b) <= 36:  # the same one by one
         return few_linked(a, b, rule)
+    longer = max(a, b, key=lambda x: sum(map(len, x)))
+    if len(longer) > 1 and sum(map(len, longer)) > HELD:  # sets of long texts: half of the larger side at a time
+        half, parts = len(longer) // 2, []
+        for lo, hi in ((0, half), (half, len(longer))):
+            i, j = linked(a[lo:hi], b, rule) if longer is a else linked(a, b[lo:hi], rule)
+            parts.append((i + lo, j) if longer is a else (i, j + lo))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     fit = 100 * np.minimum(na[:, None], nb) >= rule.percent * np.maximum(na[:, None], nb)
     rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
-    if not len(rows) or not len(cols):
-        return none, none
-    if len(cols) > 1:  # a query has to find its share of elements in the union of the block
+    if len(rows) and len(cols) > 1:  # a query has to find its share of elements in the union of the block
         union = distinct(np.concatenate([b[j] for j in cols]))
         rows = np.array([i for i in rows if 100 * np.isin(a[i], union, assume_unique=True, kind="sort").sum() >= rule.percent * na[i]], np.int64)
-        if not len(rows):
-            return none, none
+    if not len(rows) or not len(cols):
+        return none, none
+    sums = na[rows][:, None] + nb[cols]
+    fit = fit[np.ix_(rows, cols)] & ((100 + rule.percent) * bounds([a[i] for i in rows], [b[j] for j in cols], rule) >= rule.percent * sums)
+    i, j = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
+    if not len(i):
+        return none, none
+    rows, cols, fit, sums = rows[i], cols[j], fit[np.ix_(i, j)], sums[np.ix_(i, j)]
     inter = overlaps([a[i] for i in rows], [b[j] for j in cols])
-    ok = (100 * inter >= rule.percent * (na[rows][:, None] + nb[cols] - inter)) & fit[np.ix_(rows, cols)]
-    i, j = np.nonzero(ok)
+    i, j = np.nonzero((100 * inter >= rule.percent * (sums - inter)) & fit)
     return rows[i], cols[j]
 
 
 def block_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """query, token arrays and the index of each distinct (query, ent) of a block's rows."""
-    query, ent = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+    """query, token arrays and the index of each distinct (query, ent, sig2) of a block's rows."""
+    query, ent, more = (batch.column(i).to_numpy() for i in (3, 4, 5))
     keep = np.ones(len(ent), bool)
-    keep[1:] = (ent[1:] != ent[:-1]) | (query[1:] != query[:-1])
+    keep[1:] = (ent[1:] != ent[:-1]) | (query[1:] != query[:-1]) | (more[1:] != more[:-1])
     keep = np.flatnonzero(keep)
     toks = batch.column(batch.schema.get_field_index("toks"))
     return query[keep], [np.frombuffer(toks[int(i)].as_buffer(), np.uint64) for i in keep], keep
@@ -390,16 +497,51 @@ def block_links(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_i) if out_i else none, np.concatenate(out_j) if out_j else none, keep
 
 
-def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """items, firsts, and the sets where they are to be compared."""
+@dataclass
+class Join:
+    """items (survey()), firsts (classes()), the sets where they are to be compared, and followers
+    (leader, leader2, ent, sig2): sets that link with the first set of their group."""
+
+    items: DataFrame
+    firsts: DataFrame
+    sets: DataFrame
+    followers: DataFrame
+
+
+def joined_sets(docs: DataFrame, rule: Rule, scratch: Scratch) -> Join:
+    """Groups of more than LED blocks first have their sets compared with the one that occurs first; those that link with it are its
+    followers, which are not compared with each other."""
     items, rarity = survey(docs, rule, scratch)
-    firsts = scratch.table(items.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "item")).alias("f")).select("sig", "f.doc_id", "f.item"), "firsts")
-    groups, asks = grouped(met(candidates(docs, rule, rarity), scratch), scratch, rule.block, rule.shared)
-    return items, firsts, payloads(docs, firsts, placed(asks, groups, scratch, rule.block), rule, rarity)
+    firsts = classes(items, scratch)
+    prefix = F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + rule.shared
+    total = items.where(F.col("n") >= rule.smallest).agg(F.sum(prefix)).first()[0] or 0
+    members, asks = grouped(met(candidates(docs, rule, rarity, int(total)), scratch), scratch, rule.shared)
+    groups = scratch.table(cut(members, rule.block), "blocks")
+    large = groups.where(F.col("blocks") > LED).select("key", F.col("ent").alias("sig"))
+    leaders = large.join(firsts, "sig").groupBy("key").agg(F.min(F.struct("doc_id", "row", "item", "sig")).alias("f")).select("key", F.col("f.sig").alias("ent"))
+    leaders = scratch.table(leaders, "leaders")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in parts:
+            query, toks, keep = block_sets(batch)
+            m = int((query == 0).sum())
+            i, _ = linked(toks[m:], toks[:m], rule) if m == 1 else (np.empty(0, np.int64), None)
+            if len(i):
+                ent, more = batch.column(4).to_numpy()[keep], batch.column(5).to_numpy()[keep]
+                yield {"leader": ent[:1].repeat(len(i)), "leader2": more[:1].repeat(len(i)), "ent": ent[i + m], "sig2": more[i + m]}
+
+    sides = "leader long, leader2 long, ent long, sig2 long"
+    if leaders.isEmpty():
+        followers = docs.sparkSession.createDataFrame([], sides)
+    else:
+        beside = payloads(docs, firsts, scratch.table(led(groups.where(F.col("blocks") > LED), leaders), "led"), rule, rarity)
+        followers = scratch.table(opened(beside, run, sides, pa.schema([(c.split()[0], pa.int64()) for c in sides.split(", ")])), "followers")
+        groups = scratch.table(cut(members, rule.block, followers), "blocks")
+    return Join(items, firsts, payloads(docs, firsts, placed(asks, groups, scratch, rule.block), rule, rarity), followers)
 
 
-def similar_edges(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """u, v: links between different sets, of each pair of blocks a spanning forest."""
+def similar_edges(join: Join, rule: Rule, scratch: Scratch) -> DataFrame:
+    """u, v: links between different sets, of each pair of blocks a spanning forest, and of followers that with their leader."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in parts:
@@ -409,18 +551,20 @@ def similar_edges(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
                 e = spanning(i, j, len(ent))
                 yield {"u": ent[i[e]], "v": ent[j[e]]}
 
-    return scratch.table(opened(sets, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])), "links")
+    links = opened(join.sets, run, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    return scratch.table(links.unionByName(join.followers.select(F.col("leader").alias("u"), F.col("ent").alias("v"))), "links")
 
 
-def later_sets(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """sig: sets that link with a set which first occurs earlier, by (doc_id, item)."""
+def later_sets(join: Join, rule: Rule, scratch: Scratch) -> DataFrame:
+    """sig, sig2: sets that link with a set which first occurs earlier, by (doc_id, row, item)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in parts:
             i, j, keep = block_links(batch, rule)
             if len(i):
-                at = [(-1 << 63 if d is None else d, n) for d, n in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
-                late = {int(a if at[keep[a]] > at[keep[b]] else b) for a, b in zip(i, j, strict=True)}
-                yield {"sig": batch.column(4).to_numpy()[keep][sorted(late)]}
+                at = [(-1 << 63 if d is None else d, r, n) for d, r, n in zip(*(batch.column(c).to_pylist() for c in (6, 7, 8)), strict=True)]
+                late = sorted({int(a if at[keep[a]] > at[keep[b]] else b) for a, b in zip(i, j, strict=True)})
+                yield {"sig": batch.column(4).to_numpy()[keep][late], "sig2": batch.column(5).to_numpy()[keep][late]}
 
-    return scratch.table(opened(sets, run, "sig long", pa.schema([("sig", pa.int64())])).distinct(), "later")
+    late = opened(join.sets, run, "sig long, sig2 long", pa.schema([("sig", pa.int64()), ("sig2", pa.int64())]))
+    return scratch.table(late.unionByName(join.followers.select(F.col("ent").alias("sig"), "sig2")).distinct(), "later")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, arrow, mixed, spread, texts_of, wide, whole
+from .common import Scratch, WordHashes, arrow, changes, mixed, spread, texts_of, wide, whole
 
 K, WINDOW = 4, 3
 #: Words that the runs of a stretch have together at least, those that two documents share and all: fewer are phrases that meet by chance.
@@ -46,7 +46,7 @@ UNEQUAL = 8
 #: Of an alignment beyond the ends of a chain: words that one side may be ahead, points that it may fall back.
 BAND, DROP = 2, 8
 #: Requests for words of one text that one task answers; a text with more goes to several.
-ASKED = 4096
+ASKED = 512
 
 Runs = list[tuple[int, int, int]]
 
@@ -73,15 +73,6 @@ def seeds(ids: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> tuple[np.ndar
     return h[at], at
 
 
-def changes(*keys: np.ndarray) -> np.ndarray:
-    """Where a row's keys differ from those of the row before; the first row's do."""
-    out = np.zeros(len(keys[0]), bool)
-    out[:1] = True
-    for k in keys:
-        out[1:] |= k[1:] != k[:-1]
-    return out
-
-
 def anchors(doc: np.ndarray, first: np.ndarray, here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
     """Equal runs (doc, first, word here, word there, length) of matches: those of one diagonal that overlap or touch are one. By doc, first and place."""
     order = np.lexsort((here, here - there, first, doc))

@@ -172,6 +172,75 @@ def test_repeated_rows_count_once_in_disclosure(spark):
     assert got == {"email:23:39,term:0:12,term:13:19"}
 
 
+def told_terms(rows, alpha=1.25, prior=0.1):
+    """By the definition, over all pairs of a word and a value: the words that each row hides."""
+    import math
+
+    docs = {(i, t or "") for i, t in rows}
+    total, of, held = len(docs), {}, {}
+    for i, t in docs:
+        base = [(int(a), int(b), f"{k}:{t[int(a) : int(b)].lower()}") for k, a, b in (x.split(":") for x in base_spans(t))]
+        masked = list(t)
+        for a, b, _ in base:
+            masked[a:b] = " " * (b - a)
+        of[i, t] = {e for _, _, e in base}, "".join(masked), {w.lower() for w in re.findall(r"[^\W_]+", "".join(masked)) if len(w) >= 3}
+        for w in of[i, t][2]:
+            held[w] = held.get(w, 0) + 1
+    out = {}
+    for (i, t), (entities, masked, near) in of.items():
+        hide = set()
+        for e in entities:
+            with_e = [x for x in of.values() if e in x[0]]
+            n = len(with_e)
+            for w in near:
+                n_te = sum(w in x[2] for x in with_e)
+                pmi = math.log((n_te + prior * n / total) / (held[w] + prior) * total / n)
+                if pmi >= math.log(total / n) / alpha:
+                    hide.add(w)
+        out[i, t] = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W_]+", masked) if m.group().lower() in hide]
+    return out
+
+
+def test_terms_by_brute_force(spark):
+    rnd = random.Random(21)
+    words_ = ["the", "and", "Quill", "FEATHER", "b2b", "no", "élan", "x9"] + [f"word{k}" for k in range(300)]
+    values = ["a@b.cd", "A@b.cd", "1.2.3.4", "+1 499 555 6503", "4111 1111 1111 1111", "q.f@mail.example"]
+    rows = [(i, " ".join(rnd.choice(words_ if rnd.random() < 0.9 else [*values, f"u{i}@h.eu"]) + rnd.choice(["", ",", "-", "\n"]) for _ in range(rnd.randint(0, 25)))) for i in range(120)]
+    rows += [(5, rows[5][1])] * 3 + [(500, None), (501, ""), (None, rows[7][1]), (None, rows[7][1]), (7, "another text of this doc_id, a@b.cd")]
+    want = told_terms(rows)
+    got = pii.digests(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 50
+    texts = sorted(((i, ",".join(base_spans(t or "") + want[i, t or ""])) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.spans) for r in got), key=repr) == texts
+    clean = {(r.doc_id, r.text) for r in pii.sanitised(frame(spark, rows)).collect()}
+    for i, t in set(rows):
+        spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in base_spans(t or "") + want[i, t or ""]))
+        out, pos = "", 0
+        for a, b, k in spans:
+            if a >= pos:
+                out += t[pos:a] + f"[{k.upper()}]"
+            pos = max(pos, -b)
+        assert (i, None if t is None else out + t[pos:]) in clean
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"é{'' if k % 9 else ' name' + str(k)} u{k}@h.eu" for k in range(40_000))
+    df = frame(spark, [(1, text)] + [(i, "plain words") for i in range(2, 50)])
+    began = time.time()
+    row = pii.digests(df).where("doc_id = 1").first()
+    assert row.n_email == 40_000 and row.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert pii.sanitised(df).where("doc_id = 1").first().text.count("[EMAIL]") == 40_000
+    assert time.time() - began < 60  # appending span by span took minutes
+
+
+def test_sanitised_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", 5, 6, 7)], "doc_id long, text string, _row long, spans long, `a.b` long")
+    got = pii.sanitised(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "[EMAIL]", 5, 6, 7)]
+
+
 def test_main_path_is_native(spark):
     plan = pii.digests(frame(spark, [(1, "a@b.cd")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -193,8 +262,9 @@ def test_substring_passages(spark):
     fuzzy[20], fuzzy[45] = "changed", "words"
     docs = [(1, fresh(30) + passage + fresh(20)), (2, fresh(50) + passage), (3, fresh(10) + fuzzy + fresh(10)), (4, fresh(200)), (5, passage[:30] + fresh(100)), (6, fresh(5) + passage[:60] + fresh(9) + passage[:60])]
     rows = [(i, " ".join(w)) for i, w in docs] + [(7, None), (8, ""), (9, "short"), (None, " ".join(passage)), (2, " ".join(docs[1][1]))]
-    got = {(r.doc_id, r.start_word, r.end_word, *r.first_ids) for r in substring.passages(frame(spark, rows)).collect()}
-    assert got == {(2, 50, 120, 1), (3, 10, 80, 1), (6, 5, 65, 1), (6, 74, 134, 1, 6)}
+    got = {(r.doc_id, r.start_word, r.end_word): set(r.first_ids) for r in substring.passages(frame(spark, rows)).collect()}
+    assert got.pop((6, 74, 134)) <= {1, 6}  # found in the same document and perhaps, by a seed at its end, in the first
+    assert got == {(2, 50, 120): {1}, (3, 10, 80): {1}, (6, 5, 65): {1}}
     left = {r.doc_id: r.text for r in substring.without_repeats(frame(spark, rows).where("doc_id <> 2")).where("doc_id is not null").collect()}
     assert left[1] == rows[0][1] and len(left[6].split()) == 14
     assert substring.passages(frame(spark, [])).count() == 0
@@ -326,6 +396,7 @@ def test_quality(spark):
     assert sum(r.predicted == (r.doc_id % 5 != 3) for r in held) >= 0.95 * len(held)
     kept = quality.keep_good(frame(spark, docs), labels)
     assert kept.columns == frame(spark, docs).columns and 300 <= kept.count() <= 330
+    assert {r.quality_score for r in kept.collect()} == {0.5}  # the caller's own column
 
 
 def test_quality_without_labels(spark):
@@ -389,7 +460,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf_dir):
     assert sorted(tuple(r) for r in C.run(spark, sf_dir).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["op1_warc_zip", "op3_embedding_itq", "op6_ngram_jaccard", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_warc_zip", "op3_embedding_itq", "op6_ngram_jaccard", "op8_pii_disclosure", "op10_decontamination"])
 def test_counterparts(spark, sf_dir, name):
     import duckdb
 

@@ -8,16 +8,20 @@ pointwise mutual information with the entity is held against the entity's inform
     P(e | t) = (n(t, e) + prior n(e) / N) / (n(t) + prior)
 
 (n: documents; n(t, e): documents that hold both; smoothed by `prior` documents in which t and e are independent, so that
-an entity of a single document can be told too). Words are runs of letters and digits, of three at least.
+an entity of a single document can be told too). Words are runs of letters and digits outside base spans, of three at least; they count in any place of a document.
 Such a word gives the entity away; in the documents that hold the entity its occurrences become spans of kind term.
 sanitised() generalises base spans to their kind and generalises or removes the terms.
 
-Offsets are code points, ends exclusive. A null text counts as empty. Repeated rows get the same spans each and
-count as one document in the statistics. Other columns are kept by sanitised() and ignored by spans().
+Offsets are code points, ends exclusive. A null text counts as empty. Texts of any length and number of matches take time little
+more than in proportion. Repeated rows (doc_id and text) get the same spans each and count as one document in the statistics. A word whose information
+equals the threshold is hidden. Other columns, whatever their names, are kept by sanitised() and ignored by spans().
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +38,12 @@ _PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
-_SPANS_OF = f"""aggregate(
-    zip_with(m, slice(g, 2, size(m)), (v, gap) -> struct(v as v, char_length(gap) as n)),
-    struct(cast(char_length(g[0]) as bigint) as pos, cast(array() as {_SPAN}) as out),
-    (a, x) -> struct(a.pos + char_length(x.v) + x.n as pos, concat(a.out, array(struct(a.pos as start, a.pos + char_length(x.v) as end, x.v as value))) as out),
-    a -> a.out)"""
+_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
+#: A run of letters and digits; those of LEAST or more are words.
+_RUN = r"[\p{L}\p{Nd}]+"
+LEAST = 3
+#: Code points of the pieces into which a text is cut, so that parts of it are found without reading it from its start.
+_PIECE = 4096
 _DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
 _SHORT = "regexp_replace(p, '^0+(?=[0-9])', '')"
 _VALID = {
@@ -51,70 +55,120 @@ _VALID = {
 }
 
 
-def _occurrences(text: Column, pattern: Column | str, name: str, df: DataFrame) -> DataFrame:
-    """df with a column name: start, end and value of every match, left to right."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    df = df.withColumn("m", F.regexp_extract_all(text, p, F.lit(0)))
-    df = df.withColumn("g", F.when(F.size("m") > 0, F.split(text, p, -1)))
-    return df.withColumn(name, F.when(F.size("m") > 0, F.expr(_SPANS_OF)).otherwise(F.expr(f"cast(array() as {_SPAN})"))).drop("m", "g")
+def _scan(xs: Column, init: Column, step: Callable, emit: Callable, kind: str) -> Column:
+    """Array of emit(s, x) for each x of the array xs; the number s is init at first and then step(s, x), from one x to the next.
+
+    As appending to an array copies it, an array of n is gone through in slices of about the root of n.
+    """
+    width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+    part = lambda b: F.slice(xs, b * width + 1, width)
+    slices = F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1)
+    starts = F.aggregate(
+        slices,
+        F.struct(init.alias("s"), F.array().cast("array<bigint>").alias("starts")),
+        lambda a, b: F.struct(F.aggregate(part(b), a["s"], step).alias("s"), F.concat(a["starts"], F.array(a["s"])).alias("starts")),
+        lambda a: a["starts"],
+    )
+    none = F.array().cast(f"array<{kind}>")
+    inside = lambda s, b: F.aggregate(
+        part(b),
+        F.struct(s.alias("s"), none.alias("out")),
+        lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], F.array(emit(a["s"], x).cast(kind))).alias("out")),
+        lambda a: a["out"],
+    )
+    return F.when(F.size(xs) > 0, F.flatten(F.transform(starts, inside))).otherwise(none)
+
+
+def _occurrences(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
+    """df with a column name: start, end and value of every match in its column text, left to right."""
+    df = df.withColumn("m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    df = df.withColumn("g", F.when(F.size("m") > 0, F.split(F.col(text), pattern, -1)))
+    df = df.withColumn("z", F.when(F.size("m") > 0, F.zip_with("m", F.expr("slice(g, 2, size(m))"), lambda v, gap: F.struct(v.alias("v"), F.char_length(v).cast("long").alias("n"), F.char_length(gap).alias("gap")))))
+    found = _scan(F.col("z"), F.char_length(F.col("g")[0]).cast("long"), lambda s, x: s + x["n"] + x["gap"], lambda s, x: F.struct(s.alias("start"), (s + x["n"]).alias("end"), x["v"].alias("value")), _SPANS[6:-1])
+    return df.withColumn(name, F.coalesce(found, F.array().cast(_SPANS))).drop("m", "g", "z")
+
+
+def _replaced(df: DataFrame, text: str, spans: str, mark: Callable[[Column], Column], name: str) -> DataFrame:
+    """df with a column name: the column text with mark(span) for each of its spans (array of structs that begin with start, end; in order of start).
+    Where spans overlap, a mark stands for what lies beyond the spans before; mark() gets pos, the end of those."""
+    kind = df.schema[spans].dataType.elementType
+    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in kind.fields)
+    df = df.withColumn("cuts", _scan(F.col(spans), F.lit(0).cast("long"), lambda s, x: F.greatest(s, x["end"]), lambda s, x: F.struct(s.alias("pos"), *[x[f.name].alias(f.name) for f in kind.fields]), f"struct<pos:bigint,{fields}>"))
+    df = df.withColumn("pieces", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        piece = lambda c: F.substr(F.col("pieces")[c], (F.greatest(a - c * _PIECE, F.lit(0)) + 1).cast("int"), (F.least(b - c * _PIECE, F.lit(_PIECE)) - F.greatest(a - c * _PIECE, F.lit(0))).cast("int"))
+        return F.when(a < b, F.array_join(F.transform(F.sequence(first, last), piece), "")).otherwise("")
+
+    end = F.coalesce(F.array_max(F.transform("cuts", lambda c: c["end"])), F.lit(0).cast("long"))
+    parts = F.concat(F.transform("cuts", lambda c: F.concat(between(c["pos"], c["start"]), mark(c))), F.array(between(end, F.char_length(text).cast("long"))))
+    return df.withColumn(name, F.array_join(parts, "")).drop("cuts", "pieces")
 
 
 def base(docs: DataFrame) -> DataFrame:
     """docs (text) with a column for each kind: its valid matches."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     for kind in KINDS:
-        df = _occurrences(F.col("text"), _PATTERNS[kind], kind, df)
+        df = _occurrences(df, "text", _PATTERNS[kind], kind)
         if _VALID[kind] != "true":
             df = df.withColumn(kind, F.expr(f"filter({kind}, x -> {_VALID[kind]})"))
     return df
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: F.char_length(w) >= 3)
+def _words(text: Column | str) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.lower), lambda w: F.char_length(w) >= LEAST)
 
 
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
-    """row, terms: of the rows of found (row, text, spans of all kinds), the words to hide in each.
+    """row, term: of the rows of found (row, text, masked: the text without base spans, spans of all kinds), the words to hide in each.
 
     found: only documents with base spans. docs: row and text of all documents; repeated rows count once.
     """
     total = float(max(docs.select("row").distinct().count(), 1))
-    held = scratch.table(docs.select("row", "text").distinct().select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "held")
+    each = lambda df, text, n: df.select(F.explode(F.array_distinct(_words(text))).alias("term"), F.lit(n).alias("n"))
+    counts = each(docs.select("row", "text").distinct(), "text", 1).unionByName(each(found, "text", -1)).unionByName(each(found, "masked", 1))  # parts of base spans aren't words
+    held = scratch.table(counts.groupBy("term").agg(F.sum("n").alias("n_t")).where("n_t > 0"), "held")
     holds = scratch.table(found.select("row", F.explode("spans").alias("x")).select("row", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")).distinct(), "holds")
-    entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
-    holds = scratch.table(holds.join(entities, "entity"), "entities")
+    # entities of the same documents are told by the same words: they are one from here on, known by the number of rows and two sums of them
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "row")) for seed in (1, 2)]
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_e"), *[x.alias(f"x{i}") for i, x in enumerate(same)])
+    holds = scratch.table(holds.join(entities, "entity").select("row", "n_e", F.concat_ws(":", "n_e", "x0", "x1").alias("entity")).distinct(), "entities")
     # as n(t, e) <= n(e), a more frequent word can't reach the threshold: words are dropped by this bound, which loses none, before pairs are made
     most = lambda n: (F.col(n) + prior * F.col(n) / total) * F.pow(total / F.col(n), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
     rows = holds.groupBy("row").agg(F.max("n_e").alias("top_e"))
-    # values of the patterns aren't words of the text: they are hidden anyway
-    masked = F.expr("concat_ws(' ', transform(sequence(0, size(spans)), i -> substr(text, cast(if(i = 0, 0, ends[i - 1]) as int) + 1, cast(if(i = size(spans), char_length(text), starts[i]) - if(i = 0, 0, ends[i - 1]) as int))))")
-    near = found.withColumn("starts", F.expr("array_sort(transform(spans, s -> s.start))")).withColumn("ends", F.expr("array_sort(transform(spans, s -> s.end))"))
-    near = near.select("row", F.explode(F.array_distinct(_words(masked))).alias("term")).join(rows, "row")
+    near = found.select("row", F.explode(F.array_distinct(_words("masked"))).alias("term")).join(rows, "row")
     top = rows.agg(F.max("top_e").alias("top_e")).first()["top_e"] or 1
     rare = held.where(F.col("n_t") + prior <= (top + prior * top / total) * (total / top) ** (1 - 1 / alpha) * (1 + 1e-9))
     near = scratch.table(near.join(rare, "term").where(F.col("n_t") + prior <= most("top_e")).select("row", "term", "n_t"), "near")
     pairs = near.join(holds, "row").where(F.col("n_t") + prior <= most("n_e"))
     pmi = F.log((F.col("n_te") + prior * F.col("n_e") / total) / (F.col("n_t") + prior) * total / F.col("n_e"))
     told = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(pmi >= F.log(total / F.col("n_e")) / F.lit(alpha)).select("entity", "term")
-    return pairs.select("row", "entity", "term").join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))  # as many as the document has words
+    return pairs.select("row", "entity", "term").join(told, ["entity", "term"]).select("row", "term").distinct()
+
+
+def _row(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart: a document's id and text, as 128 bits."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
 
 def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
     """doc_id, row, one column of spans for each kind, term (spans of disclosing words outside the base spans)."""
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    every = F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' as kind, x.start as start, x.end as end, x.value as value))") for k in KINDS])
-    known = base(rows).withColumn("spans", every)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", _row())
+    every = F.concat(*[F.expr(f"transform({k}, x -> struct(x.start as start, x.end as end, '{k}' as kind, x.value as value))") for k in KINDS])
+    known = base(rows).withColumn("spans", F.array_sort(every))
     known = known.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))  # only these are looked at again
     known = scratch.table(known, "base")
+    # values of the patterns aren't words of the text: they are hidden anyway
+    blank = lambda c: F.repeat(F.lit(" "), F.greatest(c["end"] - F.greatest(c["pos"], c["start"]), F.lit(0)).cast("int"))
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
+    some = scratch.table(_replaced(some, "text", "spans", blank, "masked").select("row", "text", "masked", "spans"), "masked")
     hide = scratch.table(disclosing(rows.select("row", "text"), some, scratch, alpha, prior), "hide")
-    both = known.join(hide, "row", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
-    marked = _occurrences(F.col("text"), pattern, "term", both.where("terms is not null"))
-    marked = marked.withColumn("term", F.expr("filter(term, t -> not exists(spans, s -> s.start < t.end and t.start < s.end))"))
-    plain = both.where("terms is null").withColumn("term", F.expr(f"cast(array() as {_SPAN})"))
-    return marked.unionByName(plain).select("doc_id", "row", *KINDS, "term")
+    words = _occurrences(some.select("row", "masked"), "masked", _RUN, "term").select("row", F.explode(F.filter("term", lambda x: x["end"] - x["start"] >= LEAST)).alias("at"))
+    told = words.withColumn("term", F.lower("at.value")).join(hide, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("term"))  # as many as the document has words
+    both = known.join(scratch.table(told, "told"), "row", "left")
+    return both.select("doc_id", "row", *KINDS, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))
 
 
 def _named(kind: str) -> Column:
@@ -132,13 +186,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame, generalise_terms: bool = True) -> DataFrame:
     """docs with texts in which base spans read [EMAIL], [IP], [CARD] or [PHONE] and terms read [TERM] (or are removed);
     where spans overlap, the one that begins first (the longest of these) counts and the others' rest goes with it."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     mark = lambda k: f"[{k.upper()}]" if k != "term" or generalise_terms else ""
-    every = F.concat(*[F.expr(f"transform({k}, x -> struct(x.start as start, -x.end as neg_end, '{mark(k)}' as mark))") for k in (*KINDS, "term")])
-    found = spans(docs).select(F.col("row").alias("_row"), F.array_sort(every).alias("_all")).dropDuplicates(["_row"]).where("size(_all) > 0")
-    edit = F.expr("""aggregate(_all, struct(cast(0 as bigint) as pos, '' as out),
-        (a, x) -> struct(greatest(a.pos, -x.neg_end) as pos,
-            if(x.start >= a.pos, concat(a.out, substr(text, cast(a.pos as int) + 1, cast(x.start - a.pos as int)), x.mark), a.out) as out),
-        a -> concat(a.out, substr(text, cast(a.pos as int) + 1)))""")
-    both = rows.join(found, "_row", "left")
-    return both.withColumn("text", F.when(F.col("_all").isNotNull(), edit).otherwise(F.col("text"))).select(*docs.columns)
+    every = F.concat(*[F.expr(f"transform({k}, x -> struct(x.start as start, -x.end as less, x.end as end, '{mark(k)}' as mark))") for k in (*KINDS, "term")])
+    key, clean = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("row", "text"))
+    found = spans(docs).select("row", F.transform(F.array_sort(every), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["mark"].alias("mark"))).alias("spans")).dropDuplicates(["row"]).where("size(spans) > 0")
+    texts = docs.select(_row().alias("row"), "text").dropDuplicates(["row"]).join(found, "row")
+    done = _replaced(texts, "text", "spans", lambda c: F.when(c["start"] >= c["pos"], c["mark"]).otherwise(""), clean).select(F.col("row").alias(key), clean)
+    return docs.join(done, _row() == F.col(key), "left").withColumn("text", F.coalesce(clean, "text")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,7 @@
 
 A rotation is learnt (on a bounded sample) that turns principal components into balanced binary codes with
 little quantisation error. Every vector is indexed: its code is cut into pieces, and it meets vectors of the same label
-of which a piece differs in one bit at most (multi-index Hamming tables). What meets is gathered into blocks (see blocks.py)
+of which a piece differs in two bits at most (multi-index Hamming tables). What meets is gathered into blocks (see blocks.py)
 and reranked by the cosine of the original vectors in double precision.
 
 Equal vectors of one label are one class, so copies aren't compared with each other. Vectors that are null, empty,
@@ -30,15 +30,15 @@ from .setjoin import spanning
 #: The rotation is fitted on so many vectors at most; all are indexed.
 SAMPLE = 4096
 #: Share of the pairs at the threshold that may meet in no piece, if a code's bits differ as directions at random would.
-MISSED = 0.002
+MISSED = 0.0001
 
 
 def shape(n: int, least: float) -> tuple[int, int]:
-    """Bits of a piece and number of pieces for n vectors of a label: pieces grow with the logarithm of n, so that few vectors share one by chance,
-    and there are so many that pairs with a cosine of least have one that differs in one bit at most."""
-    width = min(60, max(16, math.ceil(math.log2(max(n, 2))) + 4))
+    """Bits of a piece and number of pieces for n vectors of a label: pieces grow with the logarithm of n, so that few vectors meet by chance,
+    and there are so many that pairs with a cosine of least have one that differs in two bits at most (each side is entered with every bit changed)."""
+    width = min(60, max(16, math.ceil(math.log2(max(n, 2))) + 10))
     flip = math.acos(min(1.0, least)) / math.pi
-    near = (1 - flip) ** width + width * flip * (1 - flip) ** (width - 1)
+    near = sum(math.comb(width, k) * flip**k * (1 - flip) ** (width - k) for k in range(3))
     return width, max(2, math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - near))))
 
 

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 
 #: The kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
@@ -125,9 +125,11 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float
 
     found: only documents with base spans. docs: row and text of all documents; repeated rows count once.
     """
-    total = float(max(docs.select("row").distinct().count(), 1))
+    rows, different = docs.agg(F.count("*"), F.countDistinct("row")).first()
+    once = docs.select("row", "text") if rows == different else docs.select("row", "text").distinct()  # texts needn't be dealt out where no row repeats
+    total = float(max(different, 1))
     each = lambda df, text, n: df.select(F.explode(F.array_distinct(_words(text))).alias("term"), F.lit(n).alias("n"))
-    counts = each(docs.select("row", "text").distinct(), "text", 1).unionByName(each(found, "text", -1)).unionByName(each(found, "masked", 1))  # parts of base spans aren't words
+    counts = each(once, "text", 1).unionByName(each(found, "text", -1)).unionByName(each(found, "masked", 1))  # parts of base spans aren't words
     held = scratch.table(counts.groupBy("term").agg(F.sum("n").alias("n_t")).where("n_t > 0"), "held")
     holds = scratch.table(found.select("row", F.explode("spans").alias("x")).select("row", F.concat_ws(":", "x.kind", F.lower("x.value")).alias("entity")).distinct(), "holds")
     # entities of the same documents are told by the same words: they are one from here on, known by the number of rows and two sums of them
@@ -136,9 +138,9 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float
     holds = scratch.table(holds.join(entities, "entity").select("row", "n_e", F.concat_ws(":", "n_e", "x0", "x1").alias("entity")).distinct(), "entities")
     # as n(t, e) <= n(e), a more frequent word can't reach the threshold: words are dropped by this bound, which loses none, before pairs are made
     most = lambda n: (F.col(n) + prior * F.col(n) / total) * F.pow(total / F.col(n), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
-    rows = holds.groupBy("row").agg(F.max("n_e").alias("top_e"))
-    near = found.select("row", F.explode(F.array_distinct(_words("masked"))).alias("term")).join(rows, "row")
-    top = rows.agg(F.max("top_e").alias("top_e")).first()["top_e"] or 1
+    tops = holds.groupBy("row").agg(F.max("n_e").alias("top_e"))
+    near = found.select("row", F.explode(F.array_distinct(_words("masked"))).alias("term")).join(tops, "row")
+    top = tops.agg(F.max("top_e").alias("top_e")).first()["top_e"] or 1
     rare = held.where(F.col("n_t") + prior <= (top + prior * top / total) * (total / top) ** (1 - 1 / alpha) * (1 + 1e-9))
     near = scratch.table(near.join(rare, "term").where(F.col("n_t") + prior <= most("top_e")).select("row", "term", "n_t"), "near")
     pairs = near.join(holds, "row").where(F.col("n_t") + prior <= most("n_e"))
@@ -165,7 +167,7 @@ def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
     some = scratch.table(_replaced(some, "text", "spans", blank, "masked").select("row", "text", "masked", "spans"), "masked")
     hide = scratch.table(disclosing(rows.select("row", "text"), some, scratch, alpha, prior), "hide")
-    words = _occurrences(some.select("row", "masked"), "masked", _RUN, "term").select("row", F.explode(F.filter("term", lambda x: x["end"] - x["start"] >= LEAST)).alias("at"))
+    words = _occurrences(spread(some.select("row", "masked"), "row"), "masked", _RUN, "term").select("row", F.explode(F.filter("term", lambda x: x["end"] - x["start"] >= LEAST)).alias("at"))
     told = words.withColumn("term", F.lower("at.value")).join(hide, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("term"))  # as many as the document has words
     both = known.join(scratch.table(told, "told"), "row", "left")
     return both.select("doc_id", "row", *KINDS, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))

@@ -178,9 +178,10 @@ def test_recall_of_pairs_at_the_threshold(spark, dim):
     assert near.where("n_links > 0").count() >= 0.99 * 400
 
 
-@pytest.mark.parametrize("common", [4, 1 << 16])
-def test_postings_meet(monkeypatch, common):
-    """Every item of a token that others have comes out with a first one, whether the token is common in a task or not."""
+@pytest.mark.parametrize(("common", "skewed"), [(4, True), (40, False), (1 << 16, True)])
+def test_postings_meet(monkeypatch, common, skewed):
+    """Every item of a token that others have comes out with a first one, whether the token is common in a task or not. Ids are 64 bits wide; where
+    the tokens aren't skewed, shares are large and none of their tokens is common."""
     import pyarrow as pa
 
     from tonefold.llm import blocks
@@ -188,7 +189,10 @@ def test_postings_meet(monkeypatch, common):
     monkeypatch.setattr(blocks, "COMMON", common)
     monkeypatch.setattr(blocks, "COLLECTED", 100)
     rnd = np.random.default_rng(3)
-    parts = [(rnd.zipf(1.6, 60).astype(np.int64) % 97 - 40, rnd.integers(0, 200, 60)) for _ in range(12)]
+    ids = rnd.integers(-(2**63), 2**63 - 1, 200)
+    tokens = rnd.integers(-(2**63), 2**63 - 1, 97)
+    drawn = (lambda: rnd.zipf(1.6, 60).astype(np.int64) % 97) if skewed else (lambda: rnd.integers(0, 97, 60))
+    parts = [(tokens[drawn()], ids[rnd.integers(0, 200, 60)]) for _ in range(12)]
     rows = [r for task in (parts[:7], parts[7:]) for r in blocks.Postings(3 << 19).dealt(iter(task))]
     batch = pa.RecordBatch.from_arrays([pa.array([x for r in rows for x in r[f.name]], f.type) for f in blocks.Postings.TYPES], schema=blocks.Postings.TYPES)
     batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
@@ -196,7 +200,7 @@ def test_postings_meet(monkeypatch, common):
     for out in blocks._met(iter([batch.slice(0, 5), batch.slice(5)])):
         for t, e, f in zip(*(np.asarray(out[k]).tolist() for k in ("token", "ent", "first")), strict=True):
             got.setdefault(t, set()).add(e)
-            assert f >= 0
+            assert f in set(ids.tolist())
     held = {}
     for t, e in parts:
         for a, b in zip(t.tolist(), e.tolist(), strict=True):
@@ -204,6 +208,38 @@ def test_postings_meet(monkeypatch, common):
     assert got == {t: e for t, e in held.items() if len(e) > 1}
 
 
+def test_embedding_links_of_one_large_task(spark):
+    """So many postings in one task that its shares are large, of tokens none of which is common: each pair is found."""
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rnd.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.99 * x + np.sqrt(1 - 0.99**2) * y])
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near(rows).collect()}
+    assert got == {i: (1, i % 1500) for i in range(3000)}
+
+
+def near_pairs(n, seed):
+    """Texts of 60 words, and of each another with one word changed (Jaccard of 5-word shingles about 0.83)."""
+    rnd = random.Random(seed)
+    vocab = [f"w{i}" for i in range(20_000)]
+    texts = [[rnd.choice(vocab) for _ in range(60)] for _ in range(n)]
+    other = [[*t[:30], "changed", *t[31:]] for t in texts]
+    return [" ".join(t) for t in texts + other]
+
+
+def test_set_joins_of_one_large_task(spark):
+    """As above, for documents and for lines: over 65,536 postings in one task."""
+    n = 5000
+    rows = list(enumerate(near_pairs(n, 4)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram.components(df).collect()} == {i: i % n for i in range(2 * n)}
+    assert {r.doc_id for r in lines.dedup(df).where("n_removed = 1").collect()} == set(range(n, 2 * n))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 8), (200, 150)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "test")).collect()}

@@ -70,8 +70,11 @@ class Postings:
                     for c in range(0, len(every), COMMON):
                         some = every[c : c + COMMON]
                         add(int(every[0] + c) % self.buckets, np.full(len(some), v), some, int(every[0]))
-                rest = ~np.isin(t, values[count >= COMMON])
-                t, e = np.append(t[rest], values[count >= COMMON]), np.append(e[rest], [e[t == v].min() for v in values[count >= COMMON]]).astype(np.int64)
+                common = values[count >= COMMON]
+                rest = ~np.isin(t, common)
+                # typed, as an empty list would make floats of 64-bit numbers
+                least = np.array([e[t == v].min() for v in common], np.int64)
+                t, e = np.append(t[rest], common), np.append(e[rest], least)
             add(int(bucket[a]), t, e, None)
         return out
 

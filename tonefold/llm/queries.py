@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decon, embed, lines, ngram, pii, pii_sql, quality, substring, tokens, warc
+from . import align, bpe, codes, codes_sql, decon, embed, lines, ngram, pii, pii_sql, quality, substring, tokens, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_read(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -68,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_url_filters": op12_url_filters,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _BASE32 = """list_aggregate(list_transform(range(32), lambda i:
@@ -80,6 +97,7 @@ _ITEM_WORDS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x
 
 ORACLE: dict[str, str] = {
     "op8_pii_disclosure": pii_sql.SQL,
+    "op13_vector_codes": codes_sql.compressed(),
     "op5_line_dedup": rf"""
         WITH l AS (SELECT doc_id, i AS item, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS u(i)),
         w AS (SELECT *, regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+') AS w FROM l),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from tonefold import lexicon as L
-from tonefold import oracle, views
+from tonefold import oracle, shared, views
 from tonefold.functions import lexical as X
 from tonefold.functions import text as T
 from tonefold.operators import backtest as B
 from tonefold.operators import diarize as D
 from tonefold.operators import returns as R
+from tonefold.operators import scorer
 from tonefold.operators import signals as S
 from tonefold.operators import stats as St
 from tonefold.plans import service
@@ -246,6 +247,22 @@ def baseline_evaluation(spark, sf_dir):  # noqa: ANN001, ANN201
     return St.macro_f1(rows.select((1 - F.col("quality")).alias("label"), X.weak_label(F.col("sentiment_net")).alias("predicted")))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, date, sentence_id, text, label (weak) and part of the sentences that a scorer learns from."""
+    rows = _scored(spark, sf_dir).where("word_count >= 5").select("ticker", "date", "sentence_id", "text", "label")
+    return St.split(rows, F.col("text"))
+
+
+@query
+def trained_scorer(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = shared.written(_labelled(spark, sf_dir), "labelled")
+    found = scorer.fit(rows)
+    test = scorer.predicted(rows.where("part = 'test'"), found)
+    untuned = St.macro_f1(test.withColumn("predicted", F.lit(0))).withColumn("scorer", F.lit("untuned"))
+    trained = St.macro_f1(test).withColumn("scorer", F.lit("trained"))
+    return trained.unionByName(untuned).withColumn("rounds", F.lit(len(found.history)))
+
+
 @query
 def daily_bars(spark, sf_dir):  # noqa: ANN001, ANN201
     return views.bars(spark, sf_dir)

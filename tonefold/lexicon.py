@@ -109,6 +109,8 @@ HEDGE_PHRASES = [
     "we expect", "subject to", "if conditions permit", "we believe", "we anticipate", "could be", "might be", "up to", "depending on",
     "market conditions", "based on current", "subject to change", "given that", "no guarantee", "cannot be assured",
 ]
+#: Words of the longest of them.
+LONGEST_PHRASE = max(len(p.split()) for p in HEDGE_PHRASES)
 
 # Roles, section markers and boilerplate of transcripts.
 ROLE_KEYWORDS = {

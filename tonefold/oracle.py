@@ -54,10 +54,15 @@ def distinct_in_order(c: str) -> str:
     return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
 
 
-def span_count(c: str) -> str:
+def spans_found(c: str) -> str:
     """Separators are doubled, so that each span has its own on either side."""
-    doubled = rf"regexp_replace(lower({c}), '([^\p{{L}}\p{{M}}\p{{N}}_])', '\1\1', 'g')"
-    return rf"len(regexp_extract_all({doubled}, {_q('(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{M}' + chr(92) + 'p{N}_])(?:' + span_pattern() + ')(?:$|[^' + chr(92) + 'p{L}' + chr(92) + 'p{M}' + chr(92) + 'p{N}_])')}))"
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    doubled = rf"regexp_replace(lower({c}), '({edge})', '\1\1', 'g')"
+    return f"regexp_extract_all({doubled}, {_q(f'(?:^|{edge})({span_pattern()})(?:$|{edge})')}, 1)"
+
+
+def span_count(c: str) -> str:
+    return f"len({spans_found(c)})"
 
 
 def date8(c: str) -> str:
@@ -206,6 +211,7 @@ SQL: dict[str, str] = {
     "lexicon_scores": query(f"SELECT doc_id, len(toks) AS n_tokens, {_share_columns}, {share('toks', *L.HEDGE_CATEGORIES)} AS lex_hedge_density, {share('toks', 'positive')} - {share('toks', 'negative')} AS sentiment_net FROM {_DOCS}", *L.CATEGORIES, "lex_hedge_density", "sentiment_net"),
     "lexicon_by_lang": query(f"SELECT lang, count(*) AS n_docs, CAST(sum(len(toks)) AS BIGINT) AS n_tokens, avg({share('toks', *L.HEDGE_CATEGORIES)}) AS hedge, avg({share('toks', 'positive')} - {share('toks', 'negative')}) AS net FROM {_DOCS} GROUP BY lang", "hedge", "net"),
     "hedge_phrases": query(f"SELECT ticker, date, sentence_id, array_to_string({distinct_in_order('h')}, '|') AS phrases FROM (SELECT *, {phrases('text')} AS h FROM sent)"),
+    "phrase_spans": query(rf"SELECT ticker, date, sentence_id, array_to_string(list_transform({spans_found('text')}, lambda x: regexp_replace(x, '\s+', ' ', 'g')), '|') AS phrases, {span_count('text')} AS n_spans FROM sent"),
     "hedge_span_density": query(f"SELECT ticker, date, CAST(sum(hedges) AS BIGINT) AS spans, CAST(sum(word_count) AS BIGINT) AS n_words, sum(hedges) / CAST(sum(word_count) AS DOUBLE) AS span_hedge_density FROM net GROUP BY ALL", "span_hedge_density"),
     "clean_text": query(f"SELECT ticker, date, {clean('raw_text')} AS text, length(raw_text) - length({clean('raw_text')}) AS n_dropped FROM raw"),
     "boilerplate_filter": query("SELECT ticker, date, count(*) AS n_lines, count(*) FILTER (boilerplate) AS n_boilerplate FROM flag GROUP BY ALL"),

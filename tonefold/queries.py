@@ -11,11 +11,12 @@ from pyspark.sql import types as Ty
 from tonefold import lexicon as L
 from tonefold import oracle, shared, views
 from tonefold.functions import lexical as X
+from tonefold.functions import phrases as P
 from tonefold.functions import text as T
 from tonefold.operators import backtest as B
 from tonefold.operators import diarize as D
 from tonefold.operators import returns as R
-from tonefold.operators import scorer
+from tonefold.operators import scorer, tagger
 from tonefold.operators import signals as S
 from tonefold.operators import stats as St
 from tonefold.plans import service
@@ -263,6 +264,35 @@ def trained_scorer(spark, sf_dir):  # noqa: ANN001, ANN201
     return trained.unionByName(untuned).withColumn("rounds", F.lit(len(found.history)))
 
 
+def _phrases(spark: SparkSession, words_only: bool = False) -> DataFrame:
+    listed = {*L.hedge_words(), *(() if words_only else L.HEDGE_PHRASES)}
+    return spark.createDataFrame([(p,) for p in sorted(listed)], "phrase string")
+
+
+@query
+def phrase_spans(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = _sentences(spark, sf_dir).select("ticker", "date", "sentence_id", "text")
+    spans = P.with_spans(rows, "text", _phrases(spark), L.LONGEST_PHRASE)
+    return spans.select("ticker", "date", "sentence_id", F.array_join(F.transform("spans", lambda s: s["phrase"]), "|").alias("phrases"), F.size("spans").alias("n_spans"))
+
+
+@query
+def span_scores(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = _sentences(spark, sf_dir).select("text")
+    both = P.with_spans(rows, "text", _phrases(spark), L.LONGEST_PHRASE).withColumnRenamed("spans", "expected")
+    return P.span_scores(P.with_spans(both, "text", _phrases(spark, words_only=True), 1), "expected", "spans")
+
+
+@query
+def trained_tagger(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = P.with_spans(_labelled(spark, sf_dir).select("text", "part"), "text", _phrases(spark), L.LONGEST_PHRASE).withColumnRenamed("spans", "expected")
+    rows = shared.written(P.with_spans(rows, "text", _phrases(spark, words_only=True), 1), "spans")
+    found = tagger.fit(rows.where("part = 'train'").select("text", F.col("expected").alias("spans")))
+    test = tagger.tagged(rows.where("part = 'test'"), found).withColumn("both", tagger.united(F.col("spans"), F.col("found")))
+    parts = [P.span_scores(test, "expected", c).withColumn("source", F.lit(n)) for c, n in (("spans", "words"), ("found", "tagger"), ("both", "united"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def daily_bars(spark, sf_dir):  # noqa: ANN001, ANN201
     return views.bars(spark, sf_dir)

@@ -11,7 +11,8 @@ holds neither, and documents are read once whatever the size of the benchmark.
 
 Words: A-Z lower-cased, then runs of digits, letters and anything beyond ASCII; they are compared by 64-bit hashes. Null and empty
 texts have no words, are never contaminated and, as items, never occur. A text longer than a shard is a shard of its own.
-Repeated rows are reported each. Items without an item_id contaminate, but aren't counted or named; items that repeat an item_id count once.
+Equal items are searched once, and of each shard every different window's places are looked up once, in slices of bounded size, however many items or suffixes have it.
+Repeated rows are reported each; an empty table gives an empty table, an empty benchmark finds nothing. Items without an item_id contaminate, but aren't counted or named; items that repeat an item_id count once.
 Of equally long matches the first by place counts. Other columns are kept by remove_contaminated() and ignored by the others.
 """
 
@@ -34,6 +35,8 @@ from .warc import opened
 BLOCK_WORDS = 2_000_000
 SHARD_WORDS = 1_000_000
 SHARD_BYTES = 16 << 20
+#: Places of matches that are looked at together, and items of documents that leave together, about.
+SLICE = 1 << 20
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -45,14 +48,15 @@ def words_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Block:
-    """Words of benchmark items, one after another. Of each word, as the first of a suffix: the item it is of, the words from
-    it to the item's end, and the words that a window takes there (0 where none begins)."""
+    """Words of benchmark items, one after another; items of equal words are one. Of each word, as the first of a suffix: the item it is of, the words from
+    it to the item's end, and the words that a window takes there (0 where none begins). Of each item its item_ids and its first word."""
 
     words: np.ndarray
     item: np.ndarray
     left: np.ndarray
     need: np.ndarray
-    ids: list
+    ids: list[list[int]]
+    begin: np.ndarray
 
 
 @lru_cache(maxsize=2)
@@ -60,12 +64,15 @@ def block(file: str, window: int) -> Block:
     where, path = opened(file)
     with where.open_input_file(path) as f:
         rows = pq.read_table(f)
-    size = np.array([len(x) // 8 for x in rows["words"].to_pylist()], np.int64)
-    words = np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint64)
+    held: dict[bytes, set[int]] = {}
+    for raw, i in zip(rows["words"].to_pylist(), rows["item_id"].to_pylist(), strict=True):
+        held.setdefault(raw, set()).update(() if i is None else (i,))
+    size = np.array([len(x) // 8 for x in held], np.int64)
+    words = np.frombuffer(b"".join(held), np.uint64)
     item = np.repeat(np.arange(len(size)), size)
     left = np.cumsum(size)[item] - np.arange(len(words))
     least = np.minimum(window, size)[item]
-    return Block(words, item, left, np.where(left >= least, least, 0), rows["item_id"].to_pylist())
+    return Block(words, item, left, np.where(left >= least, least, 0), [sorted(x) for x in held.values()], np.cumsum(size) - size)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -215,14 +222,70 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
         yield out()
 
 
-def _hits(shard: Shard, files: list[str], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Block]]:
-    """For each file: document, first word, suffix and words of every occurrence of a window."""
-    for file in files:
-        b = block(file, window)
-        _, _, _, lo, hi = shard.search(b)
-        full = np.flatnonzero(lo < hi)
-        k, doc, at = shard.places(lo[full], hi[full])
-        yield doc, at, full[k], b.need[full[k]], b
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Cuts numbers into slices of which each adds up to SLICE at most, or has one number only."""
+    upto, start = np.cumsum(n), 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(upto, SLICE + (upto[start - 1] if start else 0), "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _expanded(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that begin at first and have n numbers: number of the run and number, one after another."""
+    k = np.repeat(np.arange(len(n)), n)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+@dataclass
+class Windows:
+    """The different windows that a shard has, as ranges of its suffix array with their lengths; and which window each matching suffix of the benchmark begins with."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    n: np.ndarray
+    suffix: np.ndarray
+    window: np.ndarray
+
+    def places(self, shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """In slices: window, document and word of every place."""
+        for cut in _slices(self.hi - self.lo):
+            k, doc, at = shard.places(self.lo[cut], self.hi[cut])
+            yield k + cut.start, doc, at
+
+    def items(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The items that have each window: where a window's begin in a list, how many it has, and the list."""
+        pairs = np.unique(self.window * len(b.ids) + b.item[self.suffix])
+        n = np.bincount(pairs // len(b.ids), minlength=len(self.n))
+        return np.cumsum(n) - n, n, pairs % len(b.ids)
+
+
+def _windows(shard: Shard, b: Block) -> Windows:
+    _, _, _, lo, hi = shard.search(b)
+    full = np.flatnonzero(lo < hi)
+    rows, window = np.unique(np.column_stack([lo[full], hi[full], b.need[full]]), axis=0, return_inverse=True)
+    return Windows(rows[:, 0], rows[:, 1], rows[:, 2], full, window.reshape(-1))
+
+
+def _longest(shard: Shard, b: Block, found: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In slices: document, and words that it and an item have in common from a place on where a window of the item stands, and not from the words before on."""
+    first, n = found.lo[found.window], (found.hi - found.lo)[found.window]
+    ends = b.begin[b.item] + b.left[b.begin[b.item]]  # of the item that a word is of
+    symbol = np.searchsorted(shard.alphabet, b.words)
+    symbol = np.where(shard.alphabet[np.minimum(symbol, len(shard.alphabet) - 1)] == b.words, symbol + shard.docs, -1) if len(shard.alphabet) else symbol
+    for cut in _slices(n):
+        k, at = _expanded(first[cut], n[cut])
+        pos, s = shard.sa[at], found.suffix[cut][k]
+        before = (s > b.begin[b.item[s]]) & (pos > 0)
+        before[before] = shard.t[pos[before] - 1] == symbol[s[before] - 1]
+        pos, s = pos[~before], s[~before]
+        size = b.need[s].copy()
+        live = np.arange(len(s))
+        while len(live):
+            live = live[s[live] + size[live] < ends[s[live]]]
+            live = live[shard.t[pos[live] + size[live]] == symbol[s[live] + size[live]]]
+            size[live] += 1
+        yield np.searchsorted(shard.begin, pos, "right") - 1, size
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard: int = SHARD_WORDS) -> DataFrame:
@@ -233,29 +296,32 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for held, array, size in _shards(batches, shard):
-            spans: list[list] = [[] for _ in size]
+            cover = np.zeros(len(array.t) + 1, np.int64)
             items: list[set] = [set() for _ in size]
-            longest = [0] * len(size)
-            every = []
-            for doc, at, suffix, n, b in _hits(array, files, window):
-                for d, i in np.unique(np.column_stack([doc, b.item[suffix]]), axis=0).tolist():
-                    items[d].add(b.ids[i])
-                # occurrences one word on in both texts are one match
-                order = np.lexsort((at, suffix - at, doc))
-                d, x, s, n = doc[order], at[order], suffix[order], n[order]
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1) | (s[1:] != s[:-1] + 1) | (b.item[s[1:]] != b.item[s[:-1]])
-                a = np.flatnonzero(new)
-                last = np.append(a[1:], len(d)) - 1 if len(a) else a
-                every.append(np.column_stack([d[a], x[a], x[last] + n[last]]))
-            for d, a, e in np.unique(np.concatenate(every), axis=0).tolist() if every else []:
-                longest[d] = max(longest[d], e - a)
-                if spans[d] and a <= spans[d][-1][1]:
-                    spans[d][-1][1] = max(e, spans[d][-1][1])
-                else:
-                    spans[d].append([a, e])
+            longest = np.zeros(len(size), np.int64)
+            for file in files:
+                b = block(file, window)
+                found = _windows(array, b)
+                begin, many, listed = found.items(b)
+                for w, doc, at in found.places(array):
+                    pos = array.begin[doc] + at
+                    np.add.at(cover, pos, 1)
+                    np.add.at(cover, pos + found.n[w], -1)
+                    both = np.unique(doc * len(found.n) + w)
+                    doc, w = both // len(found.n), both % len(found.n)
+                    for cut in _slices(many[w]):
+                        k, at = _expanded(begin[w[cut]], many[w[cut]])
+                        for d, i in zip(doc[cut][k].tolist(), listed[at].tolist(), strict=True):
+                            items[d].update(b.ids[i])
+                for doc, n in _longest(array, b, found):
+                    np.maximum.at(longest, doc, n)
+            edge = np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype(np.int8))
+            a, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            doc = np.searchsorted(array.begin, a, "right") - 1
+            each = np.split(np.column_stack([a, e]) - array.begin[doc][:, None], np.searchsorted(doc, np.arange(1, len(size))))
             ids = [x for batch in held for x in batch.column(0).to_pylist()]
-            yield {"doc_id": ids, "n_words": size, "spans": spans, "items": [sorted(x - {None}) for x in items], "longest": longest}
+            for cut in _slices(np.array([len(x) for x in items], np.int64)):
+                yield {"doc_id": ids[cut], "n_words": size[cut], "spans": [x.tolist() for x in each[cut]], "items": [sorted(x) for x in items[cut]], "longest": longest[cut]}
 
     types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64())), ("longest", pa.int64())])
     return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_words long, spans array<array<long>>, items array<long>, longest long", types)
@@ -275,12 +341,19 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 1, shard
                 b = block(file, 1)
                 found, lo, hi, _, _ = array.search(b)
                 some = np.flatnonzero(found >= least)
-                k, doc, at = array.places(lo[some], hi[some])
-                turn = np.lexsort((at, order[doc], k))
-                best = turn[np.searchsorted(k[turn], np.arange(len(some)))]
-                doc, at = doc[best], at[best]
-                begin = np.flatnonzero(np.diff(b.item, prepend=-1))
-                yield {"item_id": [b.ids[i] for i in b.item[some]], "word": some - begin[b.item[some]], "length": found[some], "doc_id": [ids[d] for d in doc], "place": at}
+                ranges, which = np.unique(np.column_stack([lo[some], hi[some]]), axis=0, return_inverse=True)
+                first = np.zeros((len(ranges), 2), np.int64)
+                for cut in _slices(ranges[:, 1] - ranges[:, 0]):
+                    k, doc, at = array.places(ranges[cut, 0], ranges[cut, 1])
+                    turn = np.lexsort((at, order[doc], k))
+                    best = turn[np.searchsorted(k[turn], np.arange(cut.stop - cut.start))]
+                    first[cut] = np.column_stack([doc[best], at[best]])
+                doc, at = first[which.reshape(-1)].T
+                many = np.array([max(1, len(b.ids[i])) for i in b.item[some]], np.int64)  # equal items have a row each
+                for cut in _slices(many):
+                    k = np.repeat(np.arange(cut.start, cut.stop), many[cut])
+                    named = [x for i in b.item[some[cut]] for x in (b.ids[i] or [None])]
+                    yield {"item_id": named, "word": some[k] - b.begin[b.item[some[k]]], "length": found[some[k]], "doc_id": [ids[d] for d in doc[k]], "place": at[k]}
 
     types = pa.schema([("item_id", pa.int64()), ("word", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
     rows = arrow(docs.select("doc_id", "text"), run, "item_id long, word long, length long, doc_id long, place long", types)
@@ -303,8 +376,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, array, size in _shards(batches, shard):
             keep = np.ones(len(size), bool)
-            for doc, *_ in _hits(array, files, window):
-                keep[doc] = False
+            for file in files:
+                for _, doc, _ in _windows(array, block(file, window)).places(array):
+                    keep[doc] = False
             a = 0
             for batch in held:
                 yield batch.filter(pa.array(keep[a : a + batch.num_rows]))

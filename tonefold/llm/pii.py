@@ -8,7 +8,7 @@ pointwise mutual information with the entity is held against the entity's inform
     P(e | t) = (n(t, e) + prior n(e) / N) / (n(t) + prior)
 
 (n: documents; n(t, e): documents that hold both; smoothed by `prior` documents in which t and e are independent, so that
-an entity of a single document can be told too). Words are runs of letters and digits outside base spans, of three at least; they count in any place of a document.
+an entity of a single document can be told too). Words are runs of letters and digits outside base spans, short ones too, as names can be; they count in any place of a document.
 Such a word gives the entity away; in the documents that hold the entity its occurrences become spans of kind term.
 sanitised() generalises base spans to their kind and generalises or removes the terms.
 
@@ -39,9 +39,8 @@ _PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
-#: A run of letters and digits; those of LEAST or more are words.
+#: A word.
 _RUN = r"[\p{L}\p{Nd}]+"
-LEAST = 3
 #: Code points of the pieces into which a text is cut, so that parts of it are found without reading it from its start.
 _PIECE = 4096
 _DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
@@ -117,7 +116,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: Column | str) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.lower), lambda w: F.char_length(w) >= LEAST)
+    return F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.lower)
 
 
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, alpha: float = 1.25, prior: float = 0.1) -> DataFrame:
@@ -167,7 +166,7 @@ def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
     some = scratch.table(_replaced(some, "text", "spans", blank, "masked").select("row", "text", "masked", "spans"), "masked")
     hide = scratch.table(disclosing(rows.select("row", "text"), some, scratch, alpha, prior), "hide")
-    words = _occurrences(spread(some.select("row", "masked"), "row"), "masked", _RUN, "term").select("row", F.explode(F.filter("term", lambda x: x["end"] - x["start"] >= LEAST)).alias("at"))
+    words = _occurrences(spread(some.select("row", "masked"), "row"), "masked", _RUN, "term").select("row", F.explode("term").alias("at"))
     told = words.withColumn("term", F.lower("at.value")).join(hide, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("term"))  # as many as the document has words
     both = known.join(scratch.table(told, "told"), "row", "left")
     return both.select("doc_id", "row", *KINDS, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))

@@ -28,7 +28,8 @@ RUN = r"[\p{L}\p{Nd}]+"
 
 
 def words(t: str) -> str:
-    return f"list_filter(list_distinct(list_transform(regexp_extract_all({t}, '{RUN}'), lambda x: lower(x))), lambda x: length(x) >= 3)"
+    return f"list_distinct(list_transform(regexp_extract_all({t}, '{RUN}'), lambda x: lower(x)))"
+
 
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM (SELECT DISTINCT doc_id, text FROM documents)),

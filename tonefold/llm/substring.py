@@ -11,8 +11,8 @@
 4. What alignments of SHORTEST words or more cover is merged; passages of at least `least` words are repeats.
 
 The first occurrence of a passage, by (doc_id, word), is never marked. Words are runs outside [\\x20\\x09-\\x0D], A-Z
-lower-cased. Null and empty texts and texts of fewer than K words have no passages; texts may be of any length. Rows that repeat a doc_id count as
-one document, the least of their texts; rows without a doc_id are left alone. Ties: of predecessors of equal worth the first counts, of
+lower-cased. Null and empty texts and texts of fewer than K words have no passages; texts may be of any length; an empty table gives an empty table. Rows that
+repeat a doc_id and a text count as one document, rows of one doc_id with different texts as documents of their own, in order of hashes of their texts; rows without a doc_id come before all others. Ties: of predecessors of equal worth the first counts, of
 chains of equal score the first in the text. Other columns, whatever their names, are ignored by passages() and kept by without_repeats().
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, arrow, changes, mixed, spread, texts_of, wide, whole
@@ -51,7 +51,7 @@ ASKED = 512
 Runs = list[tuple[int, int, int]]
 
 
-def seeds(ids: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seeds(ids: np.ndarray, doc: np.ndarray, factor: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first words of the seeds of word sequences that stand one after another; doc: which sequence each word is of."""
     n = len(ids) - K + 1
     if n < 1:
@@ -61,9 +61,9 @@ def seeds(ids: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> tuple[np.ndar
         h = mixed(sum(ids[j : n + j] * factor[j] for j in range(K)))
     ok = doc[:n] == doc[K - 1 :]
     h[~ok] = most
-    padded = np.append(h, np.full(WINDOW - 1, most))
+    padded = np.append(h, np.full(window - 1, most))
     least, at = h.copy(), np.arange(n)
-    for j in range(1, WINDOW):
+    for j in range(1, window):
         less = padded[j : n + j] < least
         least[less] = padded[j : n + j][less]
         at[less] = np.flatnonzero(less) + j
@@ -288,16 +288,27 @@ def _factor() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """doc_id and text of rows that have both; of a doc_id with several texts the least."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if twice.isEmpty():
-        return docs
-    return docs.join(twice, "doc_id", "left_anti").unionByName(docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text of the rows that have a text, each different pair once under a doc_id of its own; and, where these aren't those of docs, what they stand for: ent (the new doc_id),
+    doc_id, row, row2 (hashes of the text). New doc_ids are in order of the old ones (rows without one come first) and of the hashes."""
+    docs = docs.where("text is not null").select("doc_id", "text")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs, None
+    own = ("doc_id", "row", "row2")
+    texts = docs.withColumns(_told()).groupBy(*own).agg(F.first("text").alias("text"))
+    ranked = docs.withColumns(_told()).select(*own).distinct().repartitionByRange(*own).sortWithinPartitions(*own)
+    names = scratch.table(ranked.select(F.monotonically_increasing_id().alias("ent"), *own), "names")
+    known = names.select("ent", *[F.col(c).alias(f"_{c}") for c in own])
+    rows = texts.join(known, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row") == F.col("_row")) & (F.col("row2") == F.col("_row2")))
+    return scratch.table(rows.select(F.col("ent").alias("doc_id"), "text"), "texts"), names
 
 
-def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _told() -> dict[str, Column]:
+    """What tells texts apart: 128 bits."""
+    return {"row": F.xxhash64("text"), "row2": F.xxhash64(F.lit(7), "text")}
+
+
+def matches(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """doc_id, first_id, at, first_at: first words of a seed here and where it occurs before: in the same document the last time
     (so that runs of one period are on one diagonal), else in the first document that has it. Seeds that come again within a document don't take part in the join."""
     factor = _factor()
@@ -309,7 +320,7 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
             w, start = hashes.of(b"\n".join(texts).lower())
             stop = np.cumsum([len(t) + 1 for t in texts])
             doc = np.searchsorted(stop, start, "right")
-            h, at = seeds(w, doc, factor)
+            h, at = seeds(w, doc, factor, window)
             doc_at = doc[at]
             begin = np.concatenate([[0], np.searchsorted(start, stop)])[:-1]
             place, before = at - begin[doc_at], earlier(h, doc_at)
@@ -416,14 +427,25 @@ def answered(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(arrow(rows, run, "doc_id long, no int, side int, words binary", types), "words")
 
 
-def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), first_ids (documents it matches) of every repeated passage.
+def passages(docs: DataFrame, least: int = 50, join: int = 4, window: int = WINDOW) -> DataFrame:
+    """doc_id, start_word, end_word (exclusive), first_ids (documents it matches, as far as they have a doc_id) of every repeated passage.
 
-    join: alignments of one document that lie so many words apart or less are one passage.
+    join: alignments of one document that lie so many words apart or less are one passage. window: of so many runs of K words in a row one is a seed; with 1 all are.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = one_each(docs)
-    found = chained(matches(docs, scratch), least, scratch)
+    found, names = _passages(docs, least, join, window, scratch)
+    if names is None:
+        return found
+    found = scratch.table(found, "passages")
+    firsts = found.select("doc_id", "start_word", "end_word", F.explode("first_ids").alias("ent")).join(names.select("ent", F.col("doc_id").alias("first")), "ent")
+    firsts = firsts.groupBy("doc_id", "start_word", "end_word").agg(F.array_sort(F.collect_set("first")).alias("first_ids"))
+    return firsts.withColumnRenamed("doc_id", "ent").join(names.select("ent", "doc_id"), "ent").select("doc_id", "start_word", "end_word", "first_ids")
+
+
+def _passages(docs: DataFrame, least: int, join: int, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """As passages(), by the doc_ids of keyed(); and what these stand for."""
+    docs, names = keyed(docs, scratch)
+    found = chained(matches(docs, scratch, window), least, scratch)
     words = answered(docs, found, scratch)
     none = F.lit(None)
     rows = found.select("doc_id", "no", F.lit(2).alias("side"), "first_id", "runs", none.cast("binary").alias("words"))
@@ -446,14 +468,19 @@ def passages(docs: DataFrame, least: int = 50, join: int = 4) -> DataFrame:
 
     types = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("first_ids", pa.list_(pa.int64()))])
     rows = spread(rows, "doc_id").sortWithinPartitions("doc_id")
-    return arrow(rows, run, "doc_id long, start_word long, end_word long, first_ids array<long>", types)
-
-
-def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """docs with texts that lack the repeated passages: their words and the white space after each. Rows of a doc_id with another text than its least one keep theirs."""
-    key, gone, mine = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "gone", "text"))
-    found = passages(docs, least).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(gone))  # as many as a document has
-    least_text = one_each(docs).select(F.col("doc_id").alias(key), F.xxhash64("text").alias(mine))
-    both = docs.join(found.join(least_text, key).hint("merge"), (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(mine)), "left")
+    return arrow(rows, run, "doc_id long, start_word long, end_word long, first_ids array<long>", types), names
+
+
+def without_repeats(docs: DataFrame, least: int = 50, window: int = WINDOW) -> DataFrame:
+    """docs with texts that lack the repeated passages: their words and the white space after each. Of rows that repeat a doc_id and a text all lose the same."""
+    key, row, row2, gone = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "row", "row2", "gone"))
+    found, names = _passages(docs, least, 4, window, Scratch(docs.sparkSession, "substring"))
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(gone))  # as many as a document has
+    same = F.col("doc_id") == F.col(key)
+    if names is not None:
+        found = found.join(names.withColumnRenamed("ent", key), key).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("row2").alias(row2), gone)
+        told = _told()
+        same = F.col("doc_id").eqNullSafe(F.col(key)) & (told["row"] == F.col(row)) & (told["row2"] == F.col(row2))
+    both = docs.join(found.hint("merge"), same, "left")
     keep = F.expr(rf"array_join(transform(filter(transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), (w, i) -> struct(w as w, i as i)), x -> not exists({gone}, g -> x.i >= g.start_word and x.i < g.end_word)), x -> x.w), '')")
     return both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])

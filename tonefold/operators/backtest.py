@@ -1,7 +1,8 @@
 """Long/short backtests, honestly: reported figures are what the trades give, with no floor and no drawn-in curves.
 
 The grid is one job: signals and horizons are unpivoted into rows (config, s, r), thresholds are computed by
-configuration and joined back, and every figure is an aggregate by configuration.
+configuration and joined back, and every figure is an aggregate by configuration. Quantiles and ranks need several passes over the rows; calls with their signals and returns are
+therefore written to the shared folder once (held()) and unpivoted from there in each pass, so the joins that make them run once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonefold import lexicon as L
+from tonefold import shared
 
 RETURNS = tuple(f"ret_{k}d" for k in L.HORIZONS)
 
@@ -25,6 +27,11 @@ def holding_days(c: Column) -> Column:
     return F.regexp_extract(c, r"ret_(\d+)d", 1).try_cast("int")
 
 
+def held(data: DataFrame, *columns: str) -> DataFrame:
+    """ticker, call_date and the given columns of data, as a written table: what is read in several passes."""
+    return shared.written(data.select("ticker", "call_date", *[c for c in dict.fromkeys(columns) if c not in ("ticker", "call_date")]), "calls")
+
+
 def configurations(data: DataFrame, signals: tuple[str, ...] = L.SIGNALS, horizons: tuple[str, ...] = RETURNS, inverse: tuple[bool, ...] = (False, True)) -> DataFrame:
     """Rows config (its place in the grid), signal_column, holding_period, actual_signal_used, s, r, ticker, call_date."""
     cells = []
@@ -38,40 +45,53 @@ def configurations(data: DataFrame, signals: tuple[str, ...] = L.SIGNALS, horizo
 
 
 #: Slices of values into which a group is cut, so that no task has to order the whole group.
-SLICES = 64
+SLICES, STEP = 64, 8
 
 
-def sliced(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """rows with _slice (approximate quantiles cut each group's values, equal ones into one slice); and by, _slice, _k (rows in it), _below (rows in
-    the slices before), _all. How good the cuts are changes the work of a task, never a rank."""
+def sliced(rows: DataFrame, by: str, *values: str) -> DataFrame:
+    """rows with _slice_<value> for each of the values: approximate quantiles cut each group's values, equal ones into one slice. How good the cuts are changes the work of a task, never a rank."""
     marks = [i / SLICES for i in range(1, SLICES)]
-    cuts = rows.groupBy(by).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))  # SLICES - 1 numbers a group
-    cut = rows.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = cut.groupBy(by, "_slice").agg(F.count("*").alias("_k"))
+    cuts = rows.groupBy(by).agg(*[F.percentile_approx(v, marks, 1000).alias(f"_cuts_{v}") for v in values])  # SLICES - 1 numbers a group
+    out = rows.join(cuts, by)
+    below = lambda c, v: F.size(F.filter(c, lambda x: x < F.col(v)))
+    for v in values:  # first among every STEPth cut, then among those between
+        coarse = F.array(*[F.get(f"_cuts_{v}", F.lit(i)) for i in range(STEP - 1, SLICES - 1, STEP)])
+        out = out.withColumn(f"_step_{v}", STEP * below(coarse, v))
+        out = out.withColumn(f"_slice_{v}", F.col(f"_step_{v}") + below(F.slice(f"_cuts_{v}", F.col(f"_step_{v}") + 1, STEP - 1), v))
+    return out.select(*rows.columns, *[f"_slice_{v}" for v in values])
+
+
+def _sizes(cut: DataFrame, by: str, slice_: str) -> DataFrame:
+    """by, the slice, _k (rows in it), _below (rows in the slices before), _all."""
     every = Window.partitionBy(by)
-    return cut, sizes.select(by, "_slice", "_k", (F.sum("_k").over(every.orderBy("_slice")) - F.col("_k")).alias("_below"), F.sum("_k").over(every).alias("_all"))
+    sizes = cut.groupBy(by, slice_).agg(F.count("*").alias("_k"))
+    return sizes.select(by, slice_, "_k", (F.sum("_k").over(every.orderBy(slice_)) - F.col("_k")).alias("_below"), F.sum("_k").over(every).alias("_all"))
 
 
 def thresholds(rows: DataFrame, long: float = 0.7, short: float = 0.3, by: str = "config") -> DataFrame:
-    """Exact quantiles (linear interpolation) of s. Only the slices that hold them are ordered."""
-    cut, sizes = sliced(rows, by, "s")
+    """Exact quantiles (linear interpolation) of s. Only the slices that hold them are ordered. rows are gone through three times: from held() calls, if they are costly."""
+    cut = sliced(rows.select(by, "s"), by, "s").withColumnRenamed("_slice_s", "_slice")
+    sizes = _sizes(cut, by, "_slice")
     at = lambda p: (F.col("_all") - 1) * F.lit(p)
     wanted = [F.struct(F.lit(name).alias("name"), rank(at(p)).alias("rank"), weight(at(p)).alias("weight")) for name, p in (("long", long), ("short", short)) for rank, weight in ((F.floor, lambda x: 1 - x + F.floor(x)), (lambda x: F.floor(x) + 1, lambda x: x - F.floor(x)))]
     places = sizes.select(by, "_slice", "_below", "_k", F.explode(F.array(*wanted)).alias("w")).where("w.weight > 0 and w.rank >= _below and w.rank < _below + _k")
-    places = places.select(by, "_slice", (F.col("w.rank") - F.col("_below") + 1).alias("_n"), "w.name", "w.weight")
-    few = cut.select(by, "_slice", "s").join(places.select(by, "_slice").distinct(), [by, "_slice"], "left_semi")
-    few = few.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_slice").orderBy("s")))
-    part = lambda name: F.sum(F.when(F.col("name") == name, F.col("s") * F.col("weight")))
-    return few.join(places, [by, "_slice", "_n"]).groupBy(by).agg(part("long").alias("q_long"), part("short").alias("q_short"))
+    asked = places.groupBy(by, "_slice").agg(F.collect_list(F.struct((F.col("w.rank") - F.col("_below") + 1).alias("n"), "w.name", "w.weight")).alias("_asked"))  # four at most
+    few = cut.join(asked, [by, "_slice"]).withColumn("_n", F.row_number().over(Window.partitionBy(by, "_slice").orderBy("s")))
+    hit = few.select(by, "s", F.explode(F.filter("_asked", lambda w: w["n"] == F.col("_n"))).alias("w"))
+    part = lambda name: F.sum(F.when(F.col("w.name") == name, F.col("s") * F.col("w.weight")))
+    return hit.groupBy(by).agg(part("long").alias("q_long"), part("short").alias("q_short"))
 
 
-def average_ranks(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """rows with the rank of value in its group, from 1; equal values share the mean of their ranks."""
-    cut, sizes = sliced(rows, by, value)
-    inside = Window.partitionBy(by, "_slice")
-    rank = F.rank().over(inside.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, "_slice", value)) - 1) / 2
-    ranked = cut.withColumn("_rank", rank).join(sizes.select(by, "_slice", "_below"), [by, "_slice"])
-    return ranked.withColumn(name, F.col("_rank") + F.col("_below")).select(*rows.columns, name)
+def average_ranks(rows: DataFrame, by: str, names: dict[str, str]) -> DataFrame:
+    """rows with ranks (names: value -> name of its rank) of values in their group, from 1; equal values share the mean of their ranks."""
+    cut = ranked = sliced(rows, by, *names)
+    for value, name in names.items():
+        slice_ = f"_slice_{value}"
+        inside = Window.partitionBy(by, slice_)
+        rank = F.rank().over(inside.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, slice_, value)) - 1) / 2
+        ranked = ranked.withColumn("_rank", rank).join(_sizes(cut, by, slice_).select(by, slice_, "_below"), [by, slice_])
+        ranked = ranked.withColumn(name, F.col("_rank") + F.col("_below")).drop("_rank", "_below")
+    return ranked.select(*rows.columns, *names.values())
 
 
 def positions(rows: DataFrame, cuts: DataFrame, by: str = "config") -> DataFrame:
@@ -108,12 +128,12 @@ NAMES = ("config", "signal_column", "holding_period", "actual_signal_used")
 
 def grid(data: DataFrame, signals: tuple[str, ...] = L.SIGNALS, horizons: tuple[str, ...] = RETURNS) -> DataFrame:
     """Figures of every signal, horizon and direction. In-sample: thresholds come from the rows that are traded."""
-    rows = configurations(data, signals, horizons)
+    rows = configurations(held(data, *signals, *horizons), signals, horizons)
     return metrics(positions(rows, thresholds(rows)), *NAMES)
 
 
 def single(data: DataFrame, signal: str = "confidence_score", horizon: str = "ret_5d") -> DataFrame:
-    rows = configurations(data, (signal,), (horizon,), (False,))
+    rows = configurations(held(data, signal, horizon), (signal,), (horizon,), (False,))
     return metrics(positions(rows, thresholds(rows)), *NAMES)
 
 
@@ -130,12 +150,12 @@ def equity_curve(trades: DataFrame) -> DataFrame:
     day = ["config", "call_date"]
     before = Window.partitionBy("config").orderBy("call_date").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*day).orderBy("ticker").rowsBetween(Window.unboundedPreceding, 0)
-    held = trades.where("position <> 0").select(*day, "ticker", "trade_return", F.product(1 + F.col("trade_return")).over(within).alias("growth"))
-    held = held.withColumn("top", F.max("growth").over(within))
-    days = held.groupBy(*day).agg(F.max("top").alias("day_top"), F.product(1 + F.col("trade_return")).alias("day_growth"))
+    taken = trades.where("position <> 0").select(*day, "ticker", "trade_return", F.product(1 + F.col("trade_return")).over(within).alias("growth"))
+    taken = shared.written(taken.withColumn("top", F.max("growth").over(within)), "trades")
+    days = taken.groupBy(*day).agg(F.max("top").alias("day_top"), F.product(1 + F.col("trade_return")).alias("day_growth"))
     days = days.withColumn("start", F.coalesce(F.product("day_growth").over(before), F.lit(1.0)))
     days = days.withColumn("high", F.greatest(F.lit(1.0), F.coalesce(F.max(F.col("start") * F.col("day_top")).over(before), F.lit(1.0))))
-    out = held.join(days.select(*day, "start", "high"), day).withColumn("equity", F.col("start") * F.col("growth"))
+    out = taken.join(days.select(*day, "start", "high"), day).withColumn("equity", F.col("start") * F.col("growth"))
     return out.select(*day, "ticker", "equity", (F.col("equity") / F.greatest("high", F.col("start") * F.col("top")) - 1).alias("drawdown"))
 
 
@@ -187,14 +207,14 @@ def student_p(t: float, df: int) -> float:
 def ic_by_quarter(data: DataFrame, signal: str = "confidence_score", horizon: str = "ret_5d") -> DataFrame:
     """quarter, n, ic (Pearson) and rank_ic (of average ranks, that is Spearman) in each calendar quarter."""
     rows = data.select(F.date_trunc("quarter", F.col("trade_date")).cast("date").alias("quarter"), F.col(signal).cast("double").alias("s"), F.col(horizon).alias("r")).where("s is not null and r is not null")
-    ranked = average_ranks(average_ranks(rows, "quarter", "s", "rs"), "quarter", "r", "rr")
+    ranked = average_ranks(shared.written(rows, "returns"), "quarter", {"s": "rs", "r": "rr"})
     none = F.lit(None).cast("double")
     return ranked.groupBy("quarter").agg(F.count("*").alias("n"), F.nanvl(F.corr("s", "r"), none).alias("ic"), F.nanvl(F.corr("rs", "rr"), none).alias("rank_ic"))
 
 
 def quintile_returns(data: DataFrame, signal: str = "confidence_score", n: int = 5) -> DataFrame:
     """bucket, n_calls, mean of each return, by signal quantile (ties in the signal by ticker and date)."""
-    rows = data.where(F.col(signal).isNotNull()).withColumn("s", F.col(signal).cast("double"))
+    rows = held(data.where(F.col(signal).isNotNull()).withColumn("s", F.col(signal).cast("double")), "s", *RETURNS)
     return ntile(rows, n).groupBy("bucket").agg(F.count("*").alias("n_calls"), *[F.avg(h).alias(f"mean_{h}") for h in RETURNS])
 
 
@@ -229,7 +249,7 @@ def sharpe_rollup(trades: DataFrame, sectors: DataFrame) -> DataFrame:
 
 def out_of_sample(data: DataFrame, train_to: str, signals: tuple[str, ...] = L.SIGNALS, horizons: tuple[str, ...] = RETURNS) -> DataFrame:
     """The grid with thresholds from calls up to train_to (YYYYMMDD), traded on later calls only."""
-    rows = configurations(data, signals, horizons)
+    rows = configurations(held(data, *signals, *horizons), signals, horizons)
     cuts = thresholds(rows.where(F.col("call_date") <= train_to))
     return metrics(positions(rows.where(F.col("call_date") > train_to), cuts), *NAMES)
 
@@ -237,7 +257,7 @@ def out_of_sample(data: DataFrame, train_to: str, signals: tuple[str, ...] = L.S
 def ablation(data: DataFrame, variants: dict[str, Column], horizon: str = "ret_5d") -> DataFrame:
     """Figures of alternative signals (name -> expression) under one horizon."""
     names = tuple(variants)
-    wide = data.select("ticker", "call_date", horizon, *[c.alias(k) for k, c in variants.items()])
+    wide = held(data.select("ticker", "call_date", horizon, *[c.alias(k) for k, c in variants.items()]), horizon, *names)
     rows = configurations(wide, names, (horizon,), (False,))
     return metrics(positions(rows, thresholds(rows)), *NAMES)
 

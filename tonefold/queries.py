@@ -68,7 +68,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.configurations(_trades(spark, sf_dir))
+    rows = B.configurations(B.held(_trades(spark, sf_dir), *L.SIGNALS, *B.RETURNS))
     return B.positions(rows, B.thresholds(rows))
 
 

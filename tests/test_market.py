@@ -30,6 +30,26 @@ def test_forward_returns(spark):
     assert len(got) == 4  # after the last bar, and a ticker without bars: no row
 
 
+def test_bucketed_entries(spark):
+    rnd = random.Random(11)
+    first = D(2020, 1, 1)
+    day = lambda k: first + dt.timedelta(days=k)
+    rows = [("HOT", day(k), float(rnd.randint(0, 40))) for k in sorted(rnd.sample(range(6000), 3600))]
+    rows += [(t, day(k), float(rnd.randint(1, 9))) for t in "ABCD" for k in sorted(rnd.sample(range(1500), 100))]
+    b = spark.createDataFrame([(t, d, c + 1, c, c, c, 1) for t, d, c in rows], "ticker string, date date, open double, high double, low double, close double, volume long")
+    calls = spark.createDataFrame([(rnd.choice(["HOT", "HOT", "A", "B", "C", "D", "NONE"]), day(rnd.randrange(-50, 6100))) for _ in range(800)], "ticker string, call_date date")
+    for entry in ("close", "open"):
+        want = sorted((tuple(r) for r in R.entries(calls, b, entry=entry).collect()), key=repr)
+        assert len(want) > 300
+        for width, block in ((64 * 86_400, 4096), (5 * 86_400, 7), (10**10, 5)):
+            assert sorted((tuple(r) for r in R.bucketed_entries(calls, b, entry=entry, width=width, block=block).collect()), key=repr) == want
+    sizes = sorted(r["count"] for r in b.groupBy("ticker", F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / (64 * 86_400))).count().collect() if r.ticker == "HOT")
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]  # the ticker with nine tenths of all bars is dealt out evenly
+    with pytest.raises(ValueError):
+        R.bucketed_entries(calls, b, block=3)
+    assert R.bucketed_entries(calls, b.where("false")).count() == 0 == R.bucketed_entries(calls.where("false"), b).count()
+
+
 def data(spark, n=200, seed=1):
     rnd = random.Random(seed)
     rows = [(f"T{i % 7}", f"2024{1 + i % 12:02d}{1 + i % 28:02d}", round(rnd.gauss(0, 1), 2), rnd.gauss(0, 0.02), None if i % 9 == 0 else rnd.gauss(0, 0.03)) for i in range(n)]

@@ -41,6 +41,40 @@ def entries(calls: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = L.HOR
     return found.select("ticker", F.col("date").alias("call_date"), "hit.entry_date", F.col("hit.price").alias("entry_price"), *[(F.try_divide(F.col(f"hit.c{k}"), base) - 1).alias(f"ret_{k}d") for k in horizons])
 
 
+def bucketed_entries(calls: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = L.HORIZONS, entry: str = "close", width: int = 64 * 86_400, block: int = 4096) -> DataFrame:
+    """As entries(), for bars of any fineness and tickers of any number of bars: no task needs all bars of a ticker.
+
+    calls: ticker, call_date; bars: ticker, date and prices; both dates may be timestamps. A ticker's time is cut into slots of width seconds. A call looks for its bar in its slot; where none
+    follows there, it takes the first bar of the next slot that has any, which is carried back over slots, a row each. Bars are numbered by their place in the slot and the counts of the
+    slots before; blocks of so many consecutive numbers, with the first bars of the block after, give the bars some places on. Bars of a ticker have different dates.
+    """
+    reach = max(horizons)
+    if not 0 < reach <= block:
+        raise ValueError("a block has to hold the farthest horizon")
+    slot = F.floor(F.unix_seconds(F.col("date").cast("timestamp")) / width)
+    bar = bars.select("ticker", "date", F.col(entry).alias("price"), "close").withColumn("slot", slot)
+    sizes = bar.groupBy("ticker", "slot").agg(F.count("*").alias("n"))
+    before = sizes.select("ticker", "slot", F.coalesce(F.sum("n").over(Window.partitionBy("ticker").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("ticker", "slot").orderBy("date")) - 1
+    numbered = bar.withColumn("place", place).join(before, ["ticker", "slot"]).withColumn("no", F.col("base") + F.col("place")).drop("base", "place")
+    own = F.floor(F.col("no") / block)
+    both = F.when((F.col("no") % block < reach) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    ahead = Window.partitionBy("ticker", "blk").orderBy("no")
+    led = numbered.withColumn("blk", F.explode(both)).withColumns({f"c{k}": F.lead("close", k).over(ahead) for k in horizons}).where(F.col("blk") == own)
+    led = led.select("ticker", "slot", "date", F.struct(F.col("date").alias("entry_date"), "price", *[f"c{k}" for k in horizons]).alias("bar"))
+    asked = calls.select("ticker", F.col("call_date").alias("date")).withColumn("slot", slot)
+    firsts = led.groupBy("ticker", "slot").agg(F.min_by("bar", "date").alias("first"))
+    slots = firsts.unionByName(asked.select("ticker", "slot").distinct(), allowMissingColumns=True).groupBy("ticker", "slot").agg(F.first("first", ignorenulls=True).alias("first"))
+    later = Window.partitionBy("ticker").orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    carried = slots.select("ticker", "slot", F.first("first", ignorenulls=True).over(later).alias("next"))
+    rows = led.withColumn("is_bar", F.lit(1)).unionByName(asked.withColumn("is_bar", F.lit(0)), allowMissingColumns=True)
+    follow = Window.partitionBy("ticker", "slot").orderBy("date", "is_bar").rowsBetween(0, Window.unboundedFollowing)
+    found = rows.withColumn("hit", F.first("bar", ignorenulls=True).over(follow)).where("is_bar = 0").join(carried, ["ticker", "slot"])
+    found = found.withColumn("hit", F.coalesce("hit", "next")).where("hit is not null")
+    base = F.nullif(F.col("hit.price"), F.lit(0.0))
+    return found.select("ticker", F.col("date").alias("call_date"), "hit.entry_date", F.col("hit.price").alias("entry_price"), *[(F.try_divide(F.col(f"hit.c{k}"), base) - 1).alias(f"ret_{k}d") for k in horizons])
+
+
 def returns_index(calls: DataFrame, bars: DataFrame, entry: str = "close") -> DataFrame:
     """ticker, call_date (YYYYMMDD), ret_1d, ret_3d, ret_5d of distinct calls."""
     got = entries(calls.select("ticker", "call_date").distinct(), bars, entry=entry)

@@ -245,6 +245,13 @@ SQL: dict[str, str] = {
     "key_figures": query("SELECT annualized_sharpe_ratio, cumulative_return, win_rate, total_trades, actual_signal_used, holding_period FROM res ORDER BY annualized_sharpe_ratio DESC, config LIMIT 1", "annualized_sharpe_ratio", "cumulative_return", "win_rate"),
     "daily_bars": query("SELECT ticker, date, open, high, low, close, volume FROM bar", "open", "high", "low", "close"),
     "asof_entry": query("SELECT ticker, call_date, entry_date, entry_price FROM entry", "entry_price"),
+    "asof_hourly": query("""
+        SELECT c.ticker, call_date, date AS entry_date, entry_price, c1 / nullif(entry_price, 0) - 1 AS ret_1d, c3 / nullif(entry_price, 0) - 1 AS ret_3d, c5 / nullif(entry_price, 0) - 1 AS ret_5d
+        FROM (SELECT DISTINCT CASE event_type WHEN 'signup' THEN 'view' ELSE 'click' END AS ticker, ts AS call_date FROM events WHERE event_type IN ('signup', 'purchase') AND ts IS NOT NULL) c
+        ASOF JOIN (SELECT ticker, date, open AS entry_price, lead(close, 1) OVER w AS c1, lead(close, 3) OVER w AS c3, lead(close, 5) OVER w AS c5 FROM (
+            SELECT event_type AS ticker, date_trunc('hour', ts) AS date, arg_min(p, (ts, event_id)) AS open, arg_max(p, (ts, event_id)) AS close
+            FROM (SELECT event_type, ts, event_id, coalesce(value, 0.0) + 10000.0 AS p FROM events WHERE ts IS NOT NULL) GROUP BY ALL) WINDOW w AS (PARTITION BY ticker ORDER BY date)) b
+        ON c.ticker = b.ticker AND c.call_date <= b.date""", "entry_price", *RETURNS),
     "forward_returns": query("SELECT * FROM ret", *RETURNS),
     "returns_null_share": query("SELECT " + ", ".join(f"avg(CAST(ret_{k}d IS NULL AS DOUBLE)) AS null_{k}d, avg(CAST(abs(ret_{k}d) > 0.6 AS DOUBLE)) AS outlier_{k}d" for k in L.HORIZONS) + " FROM ret", *[f"{n}_{k}d" for k in L.HORIZONS for n in ("null", "outlier")]),
     "price_window": query("SELECT ticker, min(call_date) - 15 AS first_date, max(call_date) + 15 AS last_date FROM calls GROUP BY ticker"),

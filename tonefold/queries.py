@@ -303,6 +303,16 @@ def asof_entry(spark, sf_dir):  # noqa: ANN001, ANN201
     return R.entries(views.calls(spark, sf_dir), views.bars(spark, sf_dir)).select("ticker", "call_date", "entry_date", "entry_price")
 
 
+@query
+def asof_hourly(spark, sf_dir):  # noqa: ANN001, ANN201
+    events = views.table(spark, sf_dir, "events").where("ts is not null")
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    ticks = events.select(F.col("event_type").alias("ticker"), hour.alias("date"), F.struct("ts", "event_id").alias("at"), (F.coalesce("value", F.lit(0.0)) + 10000.0).alias("p"))
+    bars = ticks.groupBy("ticker", "date").agg(F.min_by("p", "at").alias("open"), F.max_by("p", "at").alias("close"))
+    calls = events.select("event_type", F.col("ts").alias("call_date")).where("event_type in ('signup', 'purchase')").select(F.when(F.col("event_type") == "signup", "view").otherwise("click").alias("ticker"), "call_date").distinct()
+    return R.bucketed_entries(calls, bars, entry="open", width=2 * 86_400, block=64)
+
+
 @query
 def forward_returns(spark, sf_dir):  # noqa: ANN001, ANN201
     return _returns(spark, sf_dir)

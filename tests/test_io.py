@@ -149,3 +149,34 @@ def test_streams(spark, tmp_path):
     assert ingest.sessions(ticks).count() == 2
     bar = ingest.bar_stream(ticks).first()
     assert (bar.open, bar.high, bar.close, bar.volume) == (1.0, 3.0, 2.0, 3)
+
+
+def test_a_file_a_key_as_a_transaction(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = [("A B", "20240101", "é " * 800, "s", 2), ("AB", "20240101", "second", "s", 3), ("C", None, "short", "s", 4), (None, "20240102", "x" * 2000, "s", 5)]
+    df = spark.createDataFrame(rows, "ticker string, date string, raw_text string, source string, dataset_row_id long")
+    sinks.write_raw_files(df.repartition(3), path)
+    files = {p.name: p for p in (tmp_path / "raw").iterdir()}
+    assert sorted(files) == ["AB_20240101.json", "C_19000101.json", "UNKNOWN_20240102.json"]
+    assert json.loads(files["AB_20240101.json"].read_text())["dataset_row_id"] == 2
+    stamps = {n: p.stat().st_mtime_ns for n, p in files.items()}
+    sinks.write_raw_files(df, path)  # again: only the small file is replaced
+    assert {p.name for p in (tmp_path / "raw").iterdir() if p.stat().st_mtime_ns != stamps[p.name]} == {"C_19000101.json"}
+    back = readers.raw_transcripts(spark, path)
+    assert {r.ticker: r.raw_text for r in back.collect()} == {"AB": "é " * 800, "C": "short", "UNKNOWN": "x" * 2000}
+
+
+def test_a_job_that_fails_leaves_no_key(spark, tmp_path):
+    path = str(tmp_path / "raw")
+
+    def rows(fails):
+        no = F.col("id")
+        row_id = F.when(no == 150, F.raise_error(F.lit("lost")).cast("long")).otherwise(no) if fails else no
+        return spark.range(0, 200, 1, 4).select(F.format_string("T%d", no).alias("ticker"), F.lit("20240101").alias("date"), F.lit("x" * 1500).alias("raw_text"), row_id.alias("dataset_row_id"))
+
+    keys = lambda: [p.name for p in (tmp_path / "raw").iterdir() if not p.name.startswith("_")]
+    with pytest.raises(Exception, match="lost"):
+        sinks.keyed.write(rows(True), path)
+    assert keys() == []
+    sinks.keyed.write(rows(False), path)
+    assert len(keys()) == 200

@@ -140,3 +140,40 @@ def test_results_json(spark):
     got = json.loads(B.results_json(r).first().json)
     assert got["optimal_primary_strategy"]["config"] == 1
     assert len(got["ablation_tests"]) == 2
+
+
+def test_walk_forward_chooses_on_the_training_span(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(600):  # one signal foretells returns until June, the other from then on
+        month, a, b = 1 + i % 12, rnd.gauss(0, 1), rnd.gauss(0, 1)
+        rows.append((f"T{i}", f"2024{month:02d}{1 + i % 28:02d}", a, b, 0.01 * (a if month < 7 else b) + rnd.gauss(0, 0.002)))
+    df = spark.createDataFrame(rows, "ticker string, call_date string, a double, b double, ret_1d double")
+    got = {r.fold: r for r in B.walk_forward(df, ["20240331", "20240630", "20241130"], ("a", "b"), ("ret_1d",)).collect()}
+    assert [got[k].actual_signal_used for k in range(3)] == ["a", "a", "a"] and [got[k].test_to for k in range(3)] == ["20240630", "20241130", "99999999"]
+    assert got[0].annualized_sharpe_ratio > 5 > abs(got[1].annualized_sharpe_ratio)  # chosen before it stopped to work
+    for k, (a, b) in enumerate((("20240331", "20240630"), ("20240630", "20241130"))):  # each fold by itself
+        some = df.where(f"call_date <= '{b}'")
+        train = {r.config: r.annualized_sharpe_ratio for r in B.grid(df.where(f"call_date <= '{a}'"), ("a", "b"), ("ret_1d",)).collect()}
+        assert got[k].config == max(train, key=lambda c: (train[c], -c)) and got[k].train_sharpe == pytest.approx(max(train.values()))
+        want = {r.config: r for r in B.out_of_sample(some, a, ("a", "b"), ("ret_1d",)).collect()}[got[k].config]
+        assert got[k].annualized_sharpe_ratio == pytest.approx(want.annualized_sharpe_ratio) and got[k].total_trades == want.total_trades
+    with pytest.raises(ValueError):
+        B.walk_forward(df, ["20240630", "20240331"], ("a",), ("ret_1d",))
+
+
+def test_sketches_keep_their_error_when_merged(spark):
+    rnd = random.Random(6)
+    rows = [("x", 1_700_000_000 + 60 * i, rnd.lognormvariate(0, 2)) for i in range(30_000)] + [("x", None, 1.0), ("x", 1_700_000_000, None), ("x", 1_700_000_000, float("nan")), ("y", 1_700_000_000, 5.0)]
+    df = spark.createDataFrame(rows, "api string, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    hours = St.latency_sketches(df, "v", "ts", "api")
+    assert hours.where("api = 'x'").count() == 501 and hours.agg(F.sum("n")).first()[0] == 30_001
+    for span in ("day", "year"):
+        for r in St.latency_over(hours, span, "api").where("api = 'x'").collect():
+            own = sorted(x.v for x in df.where(f"api = 'x' and v is not null and not isnan(v) and date_trunc('{span}', ts) = timestamp'{r.span}'").select("v").collect())
+            assert r.n == len(own)
+            for p, q in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+                low, high = sum(v < q for v in own) / len(own), sum(v <= q for v in own) / len(own)
+                assert low - 2 * St.RANK_ERROR <= p <= high + 2 * St.RANK_ERROR
+    one = St.latency_over(hours, "year", "api").where("api = 'y'").first()
+    assert (one.n, one.p50, one.p99) == (1, 5.0, 5.0)

@@ -254,6 +254,30 @@ def out_of_sample(data: DataFrame, train_to: str, signals: tuple[str, ...] = L.S
     return metrics(positions(rows.where(F.col("call_date") > train_to), cuts), *NAMES)
 
 
+def walk_forward(data: DataFrame, cuts: list[str], signals: tuple[str, ...] = L.SIGNALS, horizons: tuple[str, ...] = RETURNS, last: str = "99999999") -> DataFrame:
+    """A row for each fold: its configuration, chosen by the Sharpe ratio of the training span, and the figures of the span after it.
+
+    cuts: dates (YYYYMMDD), ascending. Fold k learns from all calls up to cuts[k], thresholds and choice alike, and is reported on later ones up to cuts[k + 1] (the last fold: up to last).
+    All folds are one job: a call is a row of every fold that learns from it or is reported on it. Of equal ratios the first configuration in the grid is chosen. A fold whose
+    configuration doesn't trade in its span has null figures, one without training trades has no row.
+    """
+    if list(cuts) != sorted(set(cuts)):
+        raise ValueError("cuts have to ascend")
+    spans = list(zip(cuts, [*cuts[1:], last], strict=True))
+    rows = configurations(held(data, *signals, *horizons), signals, horizons)
+    role = lambda k, a, b: F.when(F.col("call_date") <= b, F.struct(F.lit(k).alias("fold"), (F.col("call_date") <= a).alias("learns")))
+    every = rows.withColumn("f", F.explode(F.array_compact(F.array(*[role(k, a, b) for k, (a, b) in enumerate(spans)])))).select("*", "f.*").drop("f")
+    every = every.withColumn("cell", F.col("fold") * (2 * len(signals) * len(horizons)) + F.col("config"))
+    traded = positions(every, thresholds(every.where("learns"), by="cell"), by="cell")
+    figures = metrics(traded, "fold", "learns", *NAMES)
+    best_of = F.max_by(F.struct("config", F.col("annualized_sharpe_ratio").alias("train_sharpe")), F.struct("annualized_sharpe_ratio", -F.col("config")))
+    chosen = figures.where("learns").groupBy("fold").agg(best_of.alias("b")).select("fold", "b.*")
+    names = figures.select(*NAMES).distinct()  # a row for each configuration
+    dates = data.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(spans)], "fold int, train_to string, test_to string")
+    later = figures.where("not learns").drop("learns", *NAMES[1:])
+    return dates.join(chosen, "fold").join(names, "config").join(later, ["fold", "config"], "left")
+
+
 def ablation(data: DataFrame, variants: dict[str, Column], horizon: str = "ret_5d") -> DataFrame:
     """Figures of alternative signals (name -> expression) under one horizon."""
     names = tuple(variants)

@@ -97,3 +97,19 @@ def span_recall(rows: DataFrame) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.percentile(value, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+
+
+#: Size parameter of the latency sketches, and the rank error that it stands for: a quantile of a sketch is, with 99 %, the exact quantile of a share at most so far off, whatever was merged.
+SKETCH, RANK_ERROR = 400, 0.0075
+
+
+def latency_sketches(rows: DataFrame, value: str, ts: str, *by: str) -> DataFrame:
+    """by, hour, n and a mergeable quantile sketch of the values of each hour: a table to be stored. Null values and times are left out; values that aren't finite, too."""
+    known = rows.select(*by, F.date_trunc("hour", F.col(ts)).alias("hour"), F.col(value).cast("double").alias("v")).where("hour is not null and v is not null and not isnan(v) and abs(v) < double('infinity')")
+    return known.groupBy(*by, "hour").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("v", F.lit(SKETCH)).alias("sketch"))
+
+
+def latency_over(sketches: DataFrame, span: str, *by: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """by, span (start of the day, week or any unit of date_trunc), n and quantiles p50, ... of all hours of the span, from stored sketches alone."""
+    merged = sketches.groupBy(*by, F.date_trunc(span, F.col("hour")).alias("span")).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    return merged.select(*by, "span", "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{int(p * 100)}") for p in shares])

@@ -273,6 +273,14 @@ SQL: dict[str, str] = {
     "quintile_returns": query("SELECT bucket, count(*) AS n_calls, avg(ret_1d) AS mean_ret_1d, avg(ret_3d) AS mean_ret_3d, avg(ret_5d) AS mean_ret_5d FROM (SELECT *, ntile(5) OVER (ORDER BY confidence_score, ticker, call_date) AS bucket FROM trade) GROUP BY bucket", "mean_ret_1d", "mean_ret_3d", "mean_ret_5d"),
     "sharpe_rollup": query(f"SELECT actual_signal_used, holding_period, sector, year, count(*) AS n_trades, {ratio('tr', 'avg(days)')} AS sharpe FROM (SELECT *, substr(call_date, 1, 4) AS year, {_DAYS} AS days FROM pos JOIN {_sectors} USING (ticker) WHERE position <> 0) GROUP BY ROLLUP (actual_signal_used, holding_period, sector, year)", "sharpe"),
     "oos_split": query(f"SELECT CAST(config AS BIGINT) AS config, signal_column, holding_period, actual_signal_used, {METRICS} FROM (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active FROM grid JOIN (SELECT config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM grid WHERE call_date <= '20240115' GROUP BY ALL) USING (config) WHERE call_date > '20240115') WHERE position <> 0 GROUP BY ALL", *FIGURES),
+    "walk_forward": query(f"""
+        WITH f AS (SELECT CAST(fold AS BIGINT) AS fold, train_to, test_to FROM (VALUES (0, '20240108', '20240115'), (1, '20240115', '20240122'), (2, '20240122', '99999999')) v(fold, train_to, test_to)),
+        wq AS (SELECT fold, config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM grid, f WHERE call_date <= train_to GROUP BY ALL),
+        wp AS (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active, call_date <= train_to AS learns FROM grid JOIN wq USING (config) JOIN f USING (fold) WHERE call_date <= test_to),
+        wr AS (SELECT fold, learns, config, signal_column, holding_period, actual_signal_used, {METRICS} FROM wp WHERE position <> 0 GROUP BY ALL),
+        pick AS (SELECT fold, config, signal_column, holding_period, actual_signal_used, annualized_sharpe_ratio AS train_sharpe FROM wr WHERE learns QUALIFY row_number() OVER (PARTITION BY fold ORDER BY annualized_sharpe_ratio DESC, config) = 1)
+        SELECT pick.* REPLACE (CAST(pick.config AS BIGINT) AS config), train_to, test_to, wr.* EXCLUDE (fold, learns, config, signal_column, holding_period, actual_signal_used)
+        FROM pick JOIN f USING (fold) LEFT JOIN wr ON wr.fold = pick.fold AND wr.config = pick.config AND NOT wr.learns""", *FIGURES, "train_sharpe"),
     "ablation": query(f"SELECT CAST(config AS BIGINT) AS config, signal_column, holding_period, actual_signal_used, {METRICS} FROM (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active FROM ab JOIN (SELECT config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM ab GROUP BY ALL) USING (config)) WHERE position <> 0 GROUP BY ALL", *FIGURES).replace("SELECT * REPLACE", ", ab AS (" + " UNION ALL ".join(f"SELECT {i} AS config, '{n}' AS signal_column, 'ret_5d' AS holding_period, '{n}' AS actual_signal_used, {e} AS s, ret_5d AS r FROM trade WHERE ret_5d IS NOT NULL" for i, (n, e) in enumerate((("model_only", "qa_sentiment"), ("lexicon_only", "hedge_density"), ("composite", "0.5::DOUBLE * confidence_score + 0.5::DOUBLE * qa_sentiment")))) + ") SELECT * REPLACE", 1),
     "ticker_lookup": query(f"SELECT ticker, call_date, {', '.join(SIGNAL_COLUMNS)} FROM sig WHERE upper(ticker) = 'TK5'", *SIGNAL_COLUMNS),
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",

@@ -430,6 +430,11 @@ def oos_split(spark, sf_dir):  # noqa: ANN001, ANN201
     return B.out_of_sample(_trades(spark, sf_dir), "20240115")
 
 
+@query
+def walk_forward(spark, sf_dir):  # noqa: ANN001, ANN201
+    return B.walk_forward(_trades(spark, sf_dir), ["20240108", "20240115", "20240122"])
+
+
 @query
 def ablation(spark, sf_dir):  # noqa: ANN001, ANN201
     return B.ablation(_trades(spark, sf_dir), {"model_only": F.col("qa_sentiment"), "lexicon_only": F.col("hedge_density"), "composite": 0.5 * F.col("confidence_score") + 0.5 * F.col("qa_sentiment")})
@@ -445,5 +450,12 @@ def latency_percentiles(spark, sf_dir):  # noqa: ANN001, ANN201
     return St.latency_percentiles(views.table(spark, sf_dir, "events"), "value", "event_type")
 
 
+@query
+def latency_by_week(spark, sf_dir):  # noqa: ANN001, ANN201
+    hours = shared.written(St.latency_sketches(views.table(spark, sf_dir, "events"), "value", "ts", "event_type"), "sketches")
+    days = St.latency_over(hours, "day", "event_type").withColumn("unit", F.lit("day"))
+    return days.unionByName(St.latency_over(hours, "week", "event_type").withColumn("unit", F.lit("week")))
+
+
 ORACLE: dict[str, str] = dict(oracle.SQL)
 assert set(ORACLE) <= set(QUERIES) and L.FINANCE

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonefold import lexicon as L
 from tonefold.functions.text import clean_ticker
 from tonefold.operators.stats import keep_first, not_yet_stored
+from tonefold.sources import keyed
 
 
 def write_raw(raw: DataFrame, path: str, stored: DataFrame | None = None, order: tuple[str, ...] = ("dataset_row_id",)) -> None:
@@ -17,6 +18,12 @@ def write_raw(raw: DataFrame, path: str, stored: DataFrame | None = None, order:
     new.write.mode("append").json(path)
 
 
+def write_raw_files(raw: DataFrame, path: str, order: tuple[str, ...] = ("dataset_row_id",), least_bytes: int = 1000) -> None:
+    """A JSON file {ticker}_{date}.json for each key, the first of its rows, all or nothing (see keyed). Rows without a ticker or a date are keyed as unknown."""
+    known = raw.withColumn("ticker", F.coalesce(F.nullif(clean_ticker(F.col("ticker")), F.lit("")), F.lit("UNKNOWN"))).withColumn("date", F.coalesce("date", F.lit("19000101")))
+    keyed.write(keep_first(known, order), path, least_bytes)
+
+
 def _by_ticker(df: DataFrame, path: str) -> None:
     df.repartition("ticker", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
 

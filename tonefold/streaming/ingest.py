@@ -19,8 +19,7 @@ def transcript_stream(spark: SparkSession, path: str, late: str = "1 day") -> Da
 
 
 def scored_stream(transcripts: DataFrame) -> DataFrame:
-    counts = X.category_counts(F.col("raw_text"))
-    return transcripts.select("ticker", "date", "ts", *[c.alias(k) for k, c in X.scores(counts).items()])
+    return X.with_scores(transcripts.select("ticker", "date", "ts", "raw_text"), F.col("raw_text")).drop("raw_text", "n_tokens")
 
 
 def bar_stream(ticks: DataFrame, late: str = "1 day", size: str = "1 day", slide: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from tonefold.operators import diarize as D
 from tonefold.operators import returns as R
 from tonefold.operators import signals as S
 from tonefold.plans import service
-from tonefold.sources import paged, readers, sinks, synthetic
+from tonefold.sources import paged, paged_stream, readers, sinks, synthetic
 from tonefold.streaming import ingest
 
 
@@ -180,3 +180,35 @@ def test_a_job_that_fails_leaves_no_key(spark, tmp_path):
     assert keys() == []
     sinks.keyed.write(rows(False), path)
     assert len(keys()) == 200
+
+
+def test_a_paged_stream_reads_each_record_once(spark, tmp_path):
+    store, asked = tmp_path / "store.jsonl", tmp_path / "asked"
+
+    def fetch(at, size):
+        with asked.open("a") as f:
+            f.write(f"{at} {size}\n")
+        return [tuple(json.loads(x)) for x in store.read_text().splitlines()[at : at + size]]
+
+    def add(a, b):
+        with store.open("a") as f:
+            f.writelines(json.dumps([f"T{i}", "20240101", "x" * (5 if i % 4 == 1 else 30), "s"]) + "\n" for i in range(a, b))
+
+    def run(batches):
+        query = paged_stream.stream_pages(spark, fetch, page=5, per_second=1000, least_chars=10, pages=3).writeStream.foreachBatch(lambda df, n: batches.append((n, sorted(r.dataset_row_id for r in df.collect())))).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    add(0, 37)
+    first, second, third = [], [], []
+    run(first)
+    kept = lambda a, b: [i for i in range(a, b) if i % 4 != 1]
+    assert [i for _, rows in first for i in rows] == kept(0, 37) and len(first) >= 3  # 15 records a batch
+    run(second)
+    assert [i for _, rows in second for i in rows] == []
+    add(37, 60)
+    run(third)
+    assert [i for _, rows in third for i in rows] == kept(37, 60)
+    assert max(int(x.split()[1]) for x in asked.read_text().splitlines()) <= 5

@@ -135,6 +135,15 @@ def test_service(spark):
     assert service.health(spark, sig)["status"] == "ok"
 
 
+def test_a_table_of_requests(spark):
+    text = "We expect growth of approximately 5 percent next quarter. We must deliver record results, and we will be strong."
+    rows = [(1, text), (2, "short"), (3, None), (4, "x" * 60), (5, text), (6, "")]
+    got = {r.id: r for r in service.analyze_all(spark.createDataFrame(rows, "id long, text string")).collect()}
+    one = service.analyze(spark, text).first()
+    assert all(got[k][c] == one[c] for k in (1, 5) for c in ("remarks_sentiment", "confidence_score", "hedge_density", "total_words", "sentences_parsed"))
+    assert [(got[k].status, got[k].sentences_parsed, got[k].confidence_score) for k in (2, 3, 4, 6)] == [("too_short", 0, None), ("too_short", 0, None), ("ok", 0, None), ("too_short", 0, None)]
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

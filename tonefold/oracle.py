@@ -284,4 +284,23 @@ SQL: dict[str, str] = {
     "ablation": query(f"SELECT CAST(config AS BIGINT) AS config, signal_column, holding_period, actual_signal_used, {METRICS} FROM (SELECT *, {POSITION} AS position, ({POSITION}) * r AS tr, ({POSITION}) * r - r AS active FROM ab JOIN (SELECT config, quantile_cont(s, 0.7) AS q_long, quantile_cont(s, 0.3) AS q_short FROM ab GROUP BY ALL) USING (config)) WHERE position <> 0 GROUP BY ALL", *FIGURES).replace("SELECT * REPLACE", ", ab AS (" + " UNION ALL ".join(f"SELECT {i} AS config, '{n}' AS signal_column, 'ret_5d' AS holding_period, '{n}' AS actual_signal_used, {e} AS s, ret_5d AS r FROM trade WHERE ret_5d IS NOT NULL" for i, (n, e) in enumerate((("model_only", "qa_sentiment"), ("lexicon_only", "hedge_density"), ("composite", "0.5::DOUBLE * confidence_score + 0.5::DOUBLE * qa_sentiment")))) + ") SELECT * REPLACE", 1),
     "ticker_lookup": query(f"SELECT ticker, call_date, {', '.join(SIGNAL_COLUMNS)} FROM sig WHERE upper(ticker) = 'TK5'", *SIGNAL_COLUMNS),
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
+    "transcript_files": query("SELECT ticker, date, source, dataset_row_id, length(raw_text) AS n_chars, md5(raw_text) AS digest FROM raw QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY dataset_row_id) = 1"),
+    "sentence_files": query("SELECT sentence_id, ticker, date, speaker_role, speaker_name, section, text, word_count FROM sent"),
+    "price_files": query("SELECT ticker, date, open, high, low, close, volume FROM bar", "open", "high", "low", "close"),
+    "return_files": query("SELECT * FROM ret", *RETURNS),
+    "signal_files": query(f"SELECT ticker, call_date, {', '.join(SIGNAL_COLUMNS)} FROM sig", *SIGNAL_COLUMNS),
+    "result_files": query("SELECT CAST(config AS BIGINT) AS config, actual_signal_used, holding_period, total_trades, annualized_sharpe_ratio, row_number() OVER (ORDER BY annualized_sharpe_ratio DESC, config) = 1 AS is_best FROM res", "annualized_sharpe_ratio"),
+    "matcher_files": query(f"SELECT ticker, date, sentence_id, {span_count('text')} AS n_spans FROM sent"),
+    "dictionary_scan": f"""
+        WITH w AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM documents)
+        SELECT 'negative' AS category, word FROM w WHERE length(word) % 3 <> 1 UNION ALL SELECT 'positive', word FROM w WHERE length(word) % 4 = 0 UNION ALL SELECT 'strong_modal', word FROM w WHERE length(word) > 8""",
+    "analyze_requests": query(f"""
+        WITH g AS (SELECT ticker || ':' || date || ':' || block AS id, text, len({words('text')}) AS word_count, {tokens('text')} AS toks FROM glued WHERE len({words('text')}) > 3),
+        n AS (SELECT *, {share('toks', 'positive')} - {share('toks', 'negative')} AS net, {share('toks', 'strong_modal')} AS certainty, {span_count('text')} AS hedges, regexp_matches(text, '\\d') AS numeric FROM g),
+        a AS (SELECT id, avg(CASE WHEN net > 0.01 THEN 1 WHEN net < -0.01 THEN -1 ELSE 0 END) AS remarks_sentiment, 0.0::DOUBLE AS qa_sentiment, 0.0::DOUBLE AS qa_pushback_signal, 0.0::DOUBLE AS ceo_cfo_divergence, sum(hedges) / CAST(sum(word_count) AS DOUBLE) AS hedge_density,
+              avg(certainty) AS certainty, avg(CAST(numeric AS DOUBLE)) AS specificity, CAST(sum(word_count) AS BIGINT) AS total_words, count(*) AS sentences_parsed FROM n GROUP BY id),
+        r AS (SELECT ticker || ':' || date || ':' || block AS id, CASE WHEN length(text) >= 50 THEN 'ok' ELSE 'too_short' END AS status FROM blk)
+        SELECT r.id, status, remarks_sentiment, qa_sentiment, CASE WHEN a.id IS NOT NULL THEN {confidence('certainty', 'specificity', 'hedge_density', 'qa_pushback_signal')} END AS confidence_score, hedge_density, ceo_cfo_divergence, qa_pushback_signal,
+               coalesce(total_words, 0) AS total_words, coalesce(sentences_parsed, 0) AS sentences_parsed
+        FROM r LEFT JOIN a ON a.id = r.id AND status = 'ok'""", *SIGNAL_COLUMNS),
 }

@@ -39,6 +39,19 @@ def analyze(spark: SparkSession, text: str, ticker: str = "ADHOC", lexicon: L.Le
     return S.transcript_signals(S.scored(sents, lexicon)).drop("has_qa", "certainty", "specificity").join(totals, "ticker")
 
 
+def analyze_all(requests: DataFrame, lexicon: L.Lexicon = L.FINANCE) -> DataFrame:
+    """As analyze() for a table of requests (id, text; ids are unique): id, status (ok, or too_short for fewer than 50 characters or none), signals, total_words, sentences_parsed.
+    Requests that are too short, and texts without a sentence of over three words, have no signals."""
+    held = requests.select("id", "text", F.when(F.length("text") >= 50, "ok").otherwise("too_short").alias("status"))
+    sents = held.where("status = 'ok'").select("id", F.explode(T.split_sentences(T.clean_text(F.col("text")))).alias("text")).withColumn("word_count", T.word_count(F.col("text"))).where("word_count > 3")
+    sents = sents.withColumns({"speaker_role": F.lit("ceo"), "section": F.lit("remarks")})
+    scored = S.scored(sents, lexicon)
+    found = S.transcript_signals(scored, ("id",)).drop("has_qa", "certainty", "specificity")
+    totals = scored.groupBy("id").agg(F.sum("word_count").alias("total_words"), F.count("*").alias("sentences_parsed"))
+    out = held.drop("text").join(found.join(totals, "id"), "id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_words", "sentences_parsed")})
+
+
 def signals_of(signals: DataFrame, ticker: str) -> DataFrame:
     """All rows of a ticker, case ignored; NotFound if there are none. On Parquet by ticker, the filter reaches the scan for upper-case names."""
     found = signals.where(F.upper("ticker") == ticker.upper())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from tonefold import lexicon as L
-from tonefold import oracle, shared, views
+from tonefold import oracle, schemas, shared, views
 from tonefold.functions import lexical as X
 from tonefold.functions import phrases as P
 from tonefold.functions import text as T
@@ -20,7 +21,7 @@ from tonefold.operators import scorer, tagger
 from tonefold.operators import signals as S
 from tonefold.operators import stats as St
 from tonefold.plans import service
-from tonefold.sources import readers
+from tonefold.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -457,5 +458,80 @@ def latency_by_week(spark, sf_dir):  # noqa: ANN001, ANN201
     return days.unionByName(St.latency_over(hours, "week", "event_type").withColumn("unit", F.lit("week")))
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared.root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query
+def transcript_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "raw")
+    sinks.write_raw_files(raw(spark, sf_dir), path)
+    return readers.raw_transcripts(spark, path).select("ticker", "date", "source", "dataset_row_id", F.length("raw_text").alias("n_chars"), F.md5(F.col("raw_text").cast("binary")).alias("digest"))
+
+
+@query
+def sentence_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = f"{_place(spark, 'sentences')}/parquet"
+    sinks.write_sentences(_sentences(spark, sf_dir), path)
+    return readers.sentences(spark, path)
+
+
+@query
+def price_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "prices")
+    sinks.write_prices(views.bars(spark, sf_dir), path)
+    stored = readers.prices(spark, path)
+    return readers.with_fallback(stored.where("ticker < 'U5'"), stored)
+
+
+@query
+def return_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "returns")
+    sinks.write_returns(_returns(spark, sf_dir), path)
+    return spark.read.schema(schemas.RETURNS_INDEX).parquet(path)
+
+
+@query
+def signal_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "signals")
+    sinks.write_signals(_signals(spark, sf_dir).drop("has_qa", "certainty", "specificity"), path)
+    return readers.signals(spark, path)
+
+
+@query
+def result_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "results")
+    results = B.grid(_trades(spark, sf_dir))
+    sinks.write_results(B.results_json(results), path)
+    stored = spark.read.text(path).select(F.from_json("value", Ty.StructType([Ty.StructField("optimal_primary_strategy", results.schema), Ty.StructField("ablation_tests", Ty.ArrayType(results.schema))])).alias("x"))
+    tests = stored.select(F.col("x.optimal_primary_strategy.config").alias("best"), F.explode("x.ablation_tests").alias("t"))
+    return tests.select("t.config", "t.actual_signal_used", "t.holding_period", "t.total_trades", "t.annualized_sharpe_ratio", (F.col("best") == F.col("t.config")).alias("is_best"))
+
+
+@query
+def matcher_files(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "matcher")
+    sinks.write_matcher(spark, path)
+    pattern = readers.matcher(spark, path)
+    return _sentences(spark, sf_dir).select("ticker", "date", "sentence_id", F.size(X.hedge_spans(F.col("text"), pattern=pattern)).alias("n_spans"))
+
+
+@query
+def dictionary_scan(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = _place(spark, "dictionary")
+    words = views.table(spark, sf_dir, "documents").select(F.explode(T.alpha_tokens(F.col("text"))).alias("w")).distinct()
+    n = F.length("w")
+    flags = {"Negative": n % 3 - 1, "Positive": (n % 4 == 0).cast("int") * 2009, "Strong_Modal": F.when(n > 8, 1).otherwise(0), "Syllables": n}
+    words.select(F.upper("w").alias("Word"), *[c.alias(k) for k, c in flags.items()]).write.option("header", True).csv(path)
+    return readers.dictionary(spark, path)
+
+
+@query
+def analyze_requests(spark, sf_dir):  # noqa: ANN001, ANN201
+    blocks = D.blocks(D.annotated(raw(spark, sf_dir)))
+    return service.analyze_all(blocks.select(F.concat_ws(":", "ticker", "date", "block").alias("id"), "text"))
+
+
 ORACLE: dict[str, str] = dict(oracle.SQL)
 assert set(ORACLE) <= set(QUERIES) and L.FINANCE

@@ -166,7 +166,8 @@ def spans(docs: DataFrame, alpha: float = 1.25, prior: float = 0.1) -> DataFrame
     some = known.where("size(spans) > 0").select("row", "text", "spans").dropDuplicates(["row"])
     some = scratch.table(_replaced(some, "text", "spans", blank, "masked").select("row", "text", "masked", "spans"), "masked")
     hide = scratch.table(disclosing(rows.select("row", "text"), some, scratch, alpha, prior), "hide")
-    words = _occurrences(spread(some.select("row", "masked"), "row"), "masked", _RUN, "term").select("row", F.explode("term").alias("at"))
+    words = _occurrences(spread(some.select("row", "masked"), "row"), "masked", _RUN, "term")
+    words = words.select("row", F.explode(F.filter("term", lambda x: x["start"] < x["end"])).alias("at"))  # of a plain column Spark infers a filter, for which it is made thrice
     told = words.withColumn("term", F.lower("at.value")).join(hide, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("term"))  # as many as the document has words
     both = known.join(scratch.table(told, "told"), "row", "left")
     return both.select("doc_id", "row", *KINDS, F.coalesce("term", F.array().cast(_SPANS)).alias("term"))

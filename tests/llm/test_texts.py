@@ -469,7 +469,7 @@ def test_marginals_sum_over_paths():
 
 
 def test_queries_are_registered(sf_dir):
-    assert [q for q in QUERIES if re.match(r"op\d+_", q)] == list(QUERIES) and len(QUERIES) == 10
+    assert [q for q in QUERIES if re.match(r"op\d+_", q)] == list(QUERIES) and len(QUERIES) == 13
     assert set(ORACLE) <= set(QUERIES)
 
 

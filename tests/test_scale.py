@@ -26,7 +26,7 @@ def unpivoted_and_broadcast(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["backtest_grid"])
+@pytest.mark.parametrize("name", ["backtest_grid", "sharpe_rollup"])
 def test_rows_by_configuration_are_not_broadcast(spark, sf_dir, name, monkeypatch):
     plans, written = [], shared.written
     monkeypatch.setattr(shared, "written", lambda df, to: plans.append(df) or written(df, to))

@@ -1,8 +1,11 @@
 """What plans and sinks do with tables whose size Spark can't tell, or that have many keys."""
 
+import datetime as dt
+
 import pytest
 
 from tonefold import shared
+from tonefold.operators import returns as R
 from tonefold.queries import QUERIES
 
 
@@ -34,3 +37,21 @@ def test_rows_by_configuration_are_not_broadcast(spark, sf_dir, name, monkeypatc
     plans.append(QUERIES[name](spark, sf_dir))
     assert any(n.startswith("Generate") for df in plans for _, n in nodes(df))
     assert [x for df in plans for x in unpivoted_and_broadcast(df)] == []
+
+
+def test_asof_windows_are_not_gone_through_anew_for_each_row(spark, sf_dir):
+    for name in ("asof_hourly", "asof_entry"):
+        frames = [n for _, n in nodes(QUERIES[name](spark, sf_dir)) if n.startswith("Window")]
+        assert frames and not [n[:200] for n in frames if "unboundedfollowing" in n.lower()], name
+
+
+def test_backwards_asof_keeps_ties_and_nulls(spark):
+    day = lambda k: k and dt.date(2024, 1, k)
+    bars = spark.createDataFrame([("A", day(k), float(k), float(k)) for k in (2, 3, 5, 9)] + [("B", day(4), 4.0, 4.0)], "ticker string, date date, open double, close double")
+    calls = spark.createDataFrame([("A", day(k)) for k in (1, 2, 4, 5, 5, 9, 10, None)] + [("B", day(4)), ("B", day(5)), ("C", day(1))], "ticker string, call_date date")
+    want = {("A", 1): 2, ("A", 2): 2, ("A", 4): 5, ("A", 5): 5, ("A", 9): 9, ("A", 0): 2, ("B", 4): 4}
+    found = R.entries(calls, bars).collect()
+    assert {(r.ticker, r.call_date.day if r.call_date else 0): r.entry_date.day for r in found} == want and len(found) == len(want) + 1  # two equal calls
+    for width in (86_400, 3 * 86_400, 64 * 86_400):
+        slotted = R.bucketed_entries(calls.where("call_date is not null"), bars, width=width, block=5).collect()
+        assert {(r.ticker, r.call_date.day): r.entry_date.day for r in slotted} == {k: v for k, v in want.items() if k[1]}

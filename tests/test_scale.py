@@ -7,6 +7,7 @@ import pytest
 from tonefold import shared
 from tonefold.operators import returns as R
 from tonefold.queries import QUERIES
+from tonefold.sources import readers, sinks
 
 
 def nodes(df):
@@ -55,3 +56,17 @@ def test_backwards_asof_keeps_ties_and_nulls(spark):
     for width in (86_400, 3 * 86_400, 64 * 86_400):
         slotted = R.bucketed_entries(calls.where("call_date is not null"), bars, width=width, block=5).collect()
         assert {(r.ticker, r.call_date.day): r.entry_date.day for r in slotted} == {k: v for k, v in want.items() if k[1]}
+
+
+def test_prices_of_many_tickers_are_few_files(spark, tmp_path):
+    path, columns = str(tmp_path / "prices"), "ticker string, date date, open double, high double, low double, close double, volume long"
+    rows = lambda tickers, close: [(t, dt.date(2024, 1, d), 1.0, 2.0, 0.5, close, 9) for t in tickers for d in (2, 3)]
+    tickers = [*[f"T{k}" for k in range(400)], "", "007", "A/B", None]
+    read = lambda: sorted(map(tuple, readers.prices(spark, path).collect()), key=repr)
+    sinks.write_prices(spark.createDataFrame(rows(tickers, 1.0), columns), path)
+    assert read() == sorted(rows(tickers, 1.0), key=repr)
+    assert len(list(tmp_path.rglob("*.parquet"))) <= sinks.PRICE_PARTS * sinks.PART_FILES
+    assert len(list((tmp_path / "prices").glob("*=*"))) <= sinks.PRICE_PARTS
+    again = ["T7", "T999", "", None]
+    sinks.write_prices(spark.createDataFrame(rows(again, 2.0), columns), path)  # replaces its own tickers only
+    assert read() == sorted(rows([t for t in tickers if t not in again], 1.0) + rows(again, 2.0), key=repr)

@@ -33,7 +33,8 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
     """The seven canonical columns of price bars, whatever else the files hold."""
-    return spark.read.schema(schemas.OHLCV).parquet(path)
+    canonical = [c.split()[0] for c in schemas.OHLCV.split(", ")]
+    return spark.read.schema(schemas.OHLCV).parquet(path).select(*canonical)
 
 
 def signals(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Sinks. Partitioned by ticker and written with dynamic overwrite, so that a rerun replaces only what it holds."""
+"""Sinks. Sentences are partitioned by ticker, prices by a hash of it, both written with dynamic overwrite, so that a rerun replaces only what it holds."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonefold import lexicon as L
+from tonefold import schemas
 from tonefold.functions.text import clean_ticker
 from tonefold.operators.stats import keep_first, not_yet_stored
 from tonefold.sources import keyed
@@ -32,8 +34,24 @@ def write_sentences(sents: DataFrame, path: str) -> None:
     _by_ticker(sents, path)
 
 
+#: Folders of a price store and files in each that a write makes at most. A store's folders can't be changed later.
+PRICE_PARTS, PART_FILES = 32, 8
+
+
 def write_prices(bars: DataFrame, path: str) -> None:
-    _by_ticker(bars, path)
+    """Bars in folders by a hash of the ticker (part), sorted by ticker and date: so many files however many tickers there are. Tickers of the store that
+    bars holds are replaced; others stay, those of folders that are written anew are written again."""
+    new = bars.withColumn("part", F.pmod(F.xxhash64("ticker"), F.lit(PRICE_PARTS)).cast("int"))
+    try:
+        stored = bars.sparkSession.read.schema(f"{schemas.OHLCV}, part int").parquet(path)
+        tickers, same = new.select(F.col("ticker").alias("_new")).distinct(), F.col("ticker").eqNullSafe(F.col("_new"))
+        kept = stored.join(F.broadcast(new.select("part").distinct()), "part", "left_semi").join(tickers, same, "left_anti")  # PRICE_PARTS numbers
+        new = new.unionByName(kept, allowMissingColumns=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    dealt = new.repartition("part", F.pmod(F.xxhash64(*bars.columns), F.lit(PART_FILES))).sortWithinPartitions("part", "ticker", "date")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def write_returns(index: DataFrame, path: str) -> None:

@@ -1,10 +1,12 @@
 """What plans and sinks do with tables whose size Spark can't tell, or that have many keys."""
 
 import datetime as dt
+import json
 
 import pytest
 
 from tonefold import shared
+from tonefold.llm import bpe
 from tonefold.operators import returns as R
 from tonefold.queries import QUERIES
 from tonefold.sources import readers, sinks
@@ -70,3 +72,14 @@ def test_prices_of_many_tickers_are_few_files(spark, tmp_path):
     again = ["T7", "T999", "", None]
     sinks.write_prices(spark.createDataFrame(rows(again, 2.0), columns), path)  # replaces its own tickers only
     assert read() == sorted(rows([t for t in tickers if t not in again], 1.0) + rows(again, 2.0), key=repr)
+
+
+def test_an_encoder_forgets_words(tmp_path):
+    alphabet = bpe.byte_alphabet()
+    vocab = {c: i for i, c in enumerate(alphabet)}
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": vocab | {"ab": 300}, "merges": ["a b"]}}))
+    enc, small = bpe.Encoder(str(tmp_path / "t.json")), bpe.Encoder(str(tmp_path / "t.json"), words=8)
+    text = " ".join(f"ab{k}" for k in range(400_000))
+    found = enc.encode(text)
+    assert len(enc.later) + len(getattr(enc.later, "old", ())) <= 300_000  # the rest of a Python process's memory is for other stages
+    assert small.encode(text[:5000] + " ab1 ab2 ab1") == enc.encode(text[:5000] + " ab1 ab2 ab1") and enc.decode(found).decode() == text

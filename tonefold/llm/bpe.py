@@ -97,7 +97,7 @@ class Automaton:
         new = np.ones(len(at), bool)
         new[1:] = at[1:] > end[:-1]
         last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
-        self.bounds = array("q", np.column_stack([at[new], end[last] if len(at) else end]).reshape(-1).tolist())
+        self.bounds = array("q", np.column_stack([at[new], end[last] if len(at) else end]).tobytes())
         self.row, self.col = [r * self.n for r in row], col
 
     def _words(self, tokens: list[int]) -> None:
@@ -203,6 +203,7 @@ class _Words(dict):
         super().__init__()
         self.auto, self.prefix, self.most, self.split = auto, prefix, most, regex.compile(PATTERN)
         self.rest: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the words before; those met again come back
 
     def _rest(self, word: str) -> bytes:
         """Of words that don't begin with a blank."""
@@ -212,6 +213,16 @@ class _Words(dict):
         return out
 
     def __missing__(self, piece: str) -> bytes:
+        if (out := self.old.get(piece)) is None:
+            out = self._encoded(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+    def _encoded(self, piece: str) -> bytes:
         words, run = self.split.findall(self.prefix + piece), self.auto.run
         if len(words) == 1:
             out = array("I", run(words[0].encode())).tobytes()
@@ -219,15 +230,11 @@ class _Words(dict):
             out = b""
             for word in words:
                 if word[0] == " " and self.prefix and len(word) > 1:  # also found as a piece of its own
-                    if (known := self.get(word[1:])) is None:
+                    if (known := self.get(word[1:]) or self.old.get(word[1:])) is None:
                         known = self[word[1:]] = array("I", run(word.encode())).tobytes()
                     out += known
                 else:
                     out += self.rest.get(word) or self._rest(word)
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = out
         return out
 
 
@@ -237,9 +244,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Reads a tokenizer file (vocab, merges, added tokens of a byte-level BPE)."""
+    """Reads a tokenizer file (vocab, merges, added tokens of a byte-level BPE). words: how many words are remembered; a Python process keeps its encoder
+    beside what the tasks after it need, so words that weren't met for long are forgotten."""
 
-    def __init__(self, path: str, words: int = 700_000) -> None:
+    def __init__(self, path: str, words: int = 300_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()

@@ -32,7 +32,7 @@ def unpivoted_and_broadcast(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["backtest_grid", "sharpe_rollup", "equity_curve", "backtest_best", "walk_forward", "key_figures", "max_drawdown", "quantile_positions"])
+@pytest.mark.parametrize("name", ["backtest_grid", "sharpe_rollup", "equity_curve", "backtest_best", "walk_forward", "key_figures", "max_drawdown", "quantile_positions", "result_files"])
 def test_rows_by_configuration_are_not_broadcast(spark, sf_dir, name, monkeypatch):
     plans, written = [], shared.written
     monkeypatch.setattr(shared, "written", lambda df, to: plans.append(df) or written(df, to))

@@ -42,6 +42,18 @@ def test_rows_by_configuration_are_not_broadcast(spark, sf_dir, name, monkeypatc
     assert [x for df in plans for x in unpivoted_and_broadcast(df)] == []
 
 
+@pytest.mark.parametrize("name", ["max_drawdown"])
+def test_trades_and_days_meet_by_named_side(spark, sf_dir, name):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # estimates decide nothing: for max_drawdown those of both sides are equal
+    try:
+        plan = [n for _, n in nodes(QUERIES[name](spark, sf_dir))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins = [n for n in plan if "Join" in n.split("[")[0]]
+    assert len(joins) == 1 and joins[0].startswith("BroadcastHashJoin") and "BuildRight" in joins[0]
+
+
 def test_asof_windows_are_not_gone_through_anew_for_each_row(spark, sf_dir):
     for name in ("asof_hourly", "asof_entry"):
         frames = [n for _, n in nodes(QUERIES[name](spark, sf_dir)) if n.startswith("Window")]

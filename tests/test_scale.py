@@ -42,7 +42,7 @@ def test_rows_by_configuration_are_not_broadcast(spark, sf_dir, name, monkeypatc
     assert [x for df in plans for x in unpivoted_and_broadcast(df)] == []
 
 
-@pytest.mark.parametrize("name", ["max_drawdown"])
+@pytest.mark.parametrize("name", ["equity_curve", "max_drawdown"])
 def test_trades_and_days_meet_by_named_side(spark, sf_dir, name):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # estimates decide nothing: for max_drawdown those of both sides are equal
